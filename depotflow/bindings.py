@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from depotflow.functions.numbers import exact
+from depotflow.session import stage
 
 # Fixed values of the bindings.
 HOLDOUT_DAYS = 92
@@ -120,14 +121,16 @@ class TestTables:
 
     @cached_property
     def ship_days(self) -> DataFrame:
+        """First and last ship date; one row, staged because many plans take a bound from it."""
         day = F.to_date("l_shipdate")
-        return self.table("lineitem").agg(F.min(day).alias("first"), F.max(day).alias("last"))
+        return stage(self.table("lineitem").agg(F.min(day).alias("first"), F.max(day).alias("last")))
 
-    def demand_source(self, lines: DataFrame | None = None) -> DataFrame:
+    @cached_property
+    def demand_source(self) -> DataFrame:
         """Daily demand as its source file would hold it: text columns, revenue missing when nothing was fulfilled."""
         kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
         amount = money(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-        daily = (lines or self.lines).groupBy("ship_date", "l_partkey", "warehouse_id").agg(
+        daily = self.lines.groupBy("ship_date", "l_partkey", "warehouse_id").agg(
             F.sum("l_quantity").cast("bigint").alias("_demanded"),
             F.sum(kept).cast("bigint").alias("_fulfilled"),
             F.sum(amount).alias("_revenue"),

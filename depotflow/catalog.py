@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,33 +39,57 @@ def query(build: Callable[[Products], DataFrame]) -> Callable[[Products], DataFr
     return build
 
 
+def once(build: Callable[[Products], DataFrame]) -> Callable[[Products], DataFrame]:
+    """Build a shared table only once per query."""
+
+    @wraps(build)
+    def cached(p: Products) -> DataFrame:
+        if build.__name__ not in p.built:
+            p.built[build.__name__] = build(p)
+        return p.built[build.__name__]
+
+    return cached
+
+
 class Products:
     """The tables the queries share, built from the test tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.t = spark, TestTables(spark, folder)
+        self.built: dict[str, DataFrame] = {}
 
     # star schema
+    @once
     def dates(self) -> DataFrame:
         return date_dimension(self.t.ship_days)
 
+    @once
     def month_end_dates(self) -> DataFrame:
         """The calendar up to the end of its last month, where the last stock snapshot lies."""
         bounds = self.t.ship_days.select("first", F.last_day("last").alias("last"))
         return date_dimension(bounds)
 
+    @once
     def sites(self) -> DataFrame:
         return site_dimension(self.t.sites)
 
+    @once
     def suppliers(self) -> DataFrame:
         return star.dim_supplier(self.t.supplier_source)
 
+    @once
     def skus(self) -> DataFrame:
         return star.dim_sku(self.t.item_source)
 
+    @once
+    def demand_rows(self) -> DataFrame:
+        return star.demand_rows(self.t.demand_source, self.dates(), self.skus(), self.sites())
+
+    @once
     def demand(self) -> DataFrame:
-        return star.fact_daily_demand(self.t.demand_source(), self.dates(), self.skus(), self.sites())
+        return star.fact_daily_demand(self.demand_rows())
 
+    @once
     def inventory(self) -> DataFrame:
         return star.fact_inventory_snapshot(self.t.inventory_source, self.month_end_dates(), self.skus(), self.sites())
 
@@ -86,8 +111,10 @@ class Products:
         )
 
     # customers
+    @once
     def orders(self) -> DataFrame:
-        return customers.clean_orders(self.t.order_source, ["order_date"])
+        """The order table, staged: every customer product reads it more than once."""
+        return stage(customers.clean_orders(self.t.order_source, ["order_date"]))
 
     def customers(self, orders: DataFrame, scores: DataFrame) -> DataFrame:
         empty = self.spark.createDataFrame([], schemas.schema("dim_customer")).drop("etl_loaded_at")
@@ -97,6 +124,7 @@ class Products:
     def current_scores(self, orders: DataFrame) -> DataFrame:
         return stage(customers.rfm_scores(orders)).withColumn("is_current_flag", F.lit(True))
 
+    @once
     def mart_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         orders = self.orders()
         scores = self.current_scores(orders)
@@ -118,10 +146,12 @@ class Products:
         return experiments.record_outcomes(self.trial(), self.orders(), "at_risk_retention_campaign")
 
     # warehouse
+    @once
     def operators(self) -> DataFrame:
         empty = self.spark.createDataFrame([], schemas.schema("dim_operator")).drop("etl_loaded_at")
         return warehouse.load_operators(empty, warehouse.clean_tasks(self.t.task_source))
 
+    @once
     def tasks(self) -> DataFrame:
         loaded = self.spark.createDataFrame([], schemas.schema("fact_wms_tasks")).select("task_id")
         return warehouse.new_tasks(self.t.task_source, loaded, self.operators())
@@ -130,6 +160,7 @@ class Products:
         """Cleaned tasks for products that do not need the operator dimension."""
         return warehouse.clean_tasks(self.t.task_source)
 
+    @once
     def locations(self) -> DataFrame:
         """Location history after three deliveries."""
         history = empty_history(self.t.location_batch(1), "location_surrogate_id")
@@ -193,12 +224,12 @@ def fact_inventory_snapshot(p: Products) -> DataFrame:
 
 @query
 def star_monthly_revenue(p: Products) -> DataFrame:
-    return star.monthly_revenue(p.demand(), p.dates(), p.skus(), p.sites())
+    return star.monthly_revenue(p.demand_rows(), p.dates(), p.skus(), p.sites())
 
 
 @query
 def top_stockout_items(p: Products) -> DataFrame:
-    return star.top_stockout_items(p.demand(), p.skus())
+    return star.top_stockout_items(p.demand_rows(), p.skus())
 
 
 @query
@@ -208,7 +239,7 @@ def monthly_inventory_accuracy(p: Products) -> DataFrame:
 
 @query
 def supplier_two_hop(p: Products) -> DataFrame:
-    return star.demand_by_supplier(p.demand(), p.skus(), p.suppliers())
+    return star.demand_by_supplier(p.demand_rows(), p.skus(), p.suppliers())
 
 
 @query
@@ -242,7 +273,7 @@ def demand_features_expanding(p: Products) -> DataFrame:
 @query
 def star_features(p: Products) -> DataFrame:
     """Feature store at item level, from the star schema."""
-    demand = forecasting.active_demand(p.demand(), p.dates(), p.skus(), p.sites())
+    demand = forecasting.active_demand(p.demand_rows(), p.dates(), p.skus(), p.sites())
     return _rounded_features(forecasting.feature_store(demand))
 
 
@@ -480,26 +511,24 @@ def adjacency_top(p: Products) -> DataFrame:
 def incremental_demand(p: Products) -> DataFrame:
     """Demand loaded in three steps by date watermark, appended to a table."""
     store, table = p.new_store(), "daily_demand"
-    source = stage(star.clean_demand(p.t.demand_source())).drop("category")
+    source = stage(star.clean_demand(p.t.demand_source)).drop("category")
     last = source.agg(F.max("date")).first()[0]
-    empty = source.schema.simpleString()[7:-1]
     for cutoff in (date(1998, 12, 31), date(2000, 6, 30), last, last):
-        mark = watermark(store.read(table, empty), "date", date(1900, 1, 1))
+        mark = watermark(store.read(table, source.schema), "date", date(1900, 1, 1))
         if mark < cutoff:
             store.append(table, after_watermark(source, "date", mark, cutoff))
-    return store.read(table, empty)
+    return store.read(table)
 
 
 @query
 def incremental_orders(p: Products) -> DataFrame:
     """Orders loaded in overlapping deliveries by key difference, appended to a table."""
     store, table = p.new_store(), "fact_orders"
-    orders = stage(p.orders()).drop("warehouse_id")
-    empty = orders.schema.simpleString()[7:-1]
+    orders = p.orders().drop("warehouse_id")
     part = F.abs(F.xxhash64("order_id")) % 3
     for delivered in (part == 0, part <= 1, part >= 1, part >= 0):
-        store.append(table, not_yet_loaded(orders.filter(delivered), store.read(table, empty), "order_id"))
-    return store.read(table, empty)
+        store.append(table, not_yet_loaded(orders.filter(delivered), store.read(table, orders.schema), "order_id"))
+    return store.read(table)
 
 
 @query
@@ -531,13 +560,14 @@ def streamed_lines(p: Products) -> DataFrame:
     store, table = p.new_store(), "lines"
     schema = p.t.table("lineitem").schema
     ddl = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_quantity double, day date"
-    for number, cutoff in enumerate((date(1999, 12, 31), date(2100, 1, 1))):
-        load = load_by_date(store, table, "day", date(1900, 1, 1), cutoff, ddl)
-        slim = lambda batch, load=load: load(
-            batch.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.to_date("l_shipdate").alias("day"))
-        )
-        drain(p.spark, p.t.folder, schema, slim, f"{store.root}/progress-{number}", "lineitem.parquet")
-    return store.read(table)
+    slim = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.to_date("l_shipdate").alias("day")]
+    for delivery, cutoff in (("first", date(1999, 12, 31)), ("second", date(2100, 1, 1))):
+        load = load_by_date(store, table, "day", delivery, date(1900, 1, 1), cutoff, ddl)
+        drain(
+            p.spark, p.t.folder, schema, lambda batch, n, load=load: load(batch.select(*slim), n),
+            f"{store.root}/progress-{delivery}", "lineitem.parquet",
+        )
+    return store.read(table).drop("delivery", "batch")
 
 
 @query
@@ -578,7 +608,7 @@ def dq_star(p: Products) -> DataFrame:
         "fact_daily_demand": p.demand(),
         "fact_inventory_snapshot": p.inventory(),
     }
-    sources = {"fact_daily_demand": p.t.demand_source(), "fact_inventory_snapshot": p.t.inventory_source}
+    sources = {"fact_daily_demand": p.t.demand_source, "fact_inventory_snapshot": p.t.inventory_source}
     return checks.star_checks(tables, sources, date(1995, 1, 1), date(2001, 6, 30))
 
 

@@ -55,16 +55,18 @@ def with_star_keys(df: DataFrame, day: str, dates: DataFrame, skus: DataFrame, s
     return lookup(df, sites.select("warehouse_id", "warehouse_key"), {"warehouse_id": "warehouse_id"}, ["warehouse_key"])
 
 
-def fact_daily_demand(
-    raw: DataFrame, dates: DataFrame, skus: DataFrame, sites: DataFrame, after: DataFrame | None = None
-) -> DataFrame:
-    """Demand fact; rows without a partner in a dimension keep a NULL key. `after` continues its key numbers."""
+def demand_rows(raw: DataFrame, dates: DataFrame, skus: DataFrame, sites: DataFrame) -> DataFrame:
+    """Demand with dimension keys but no number of its own; rows without a partner keep a NULL key."""
     keyed = with_star_keys(clean_demand(raw), "date", dates, skus, sites)
-    keyed = keyed.select(
+    return keyed.select(
         "date_key", "sku_key", "warehouse_key", "abc_class", "xyz_class", "quantity_demanded", "quantity_fulfilled",
         "quantity_unfulfilled", "stockout_flag", "revenue", "fill_rate",
     )
-    return with_dense_key(keyed, "demand_key", ["date_key", "sku_key", "warehouse_key"], after)
+
+
+def fact_daily_demand(rows: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """Number the demand rows in date order, which also lays the table out by date; `after` continues its numbers."""
+    return with_dense_key(rows, "demand_key", ["date_key", "sku_key", "warehouse_key"], after)
 
 
 def fact_inventory_snapshot(raw: DataFrame, dates: DataFrame, skus: DataFrame, sites: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +52,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder once and read it back, so that later branches see identical rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` once as Parquet in the shared folder and read it back.
+
+    Later branches then see identical rows whatever happens to an executor, read only the columns they need, and
+    the optimizer knows the real size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

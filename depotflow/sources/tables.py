@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from pyspark.sql.types import StructType
+
 from depotflow import schemas
 
 
@@ -39,13 +41,14 @@ class TableStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}/version={self._versions(table)[-1]}"
 
-    def read(self, table: str, empty: str | None = None) -> DataFrame:
-        """Newest complete version; a table never written is an error, or empty with the given DDL."""
-        if not self.exists(table):
-            if empty is None:
-                raise LookupError(f"table {table} has no complete version under {self.root}")
-            return self.spark.createDataFrame([], empty)
-        return self.spark.read.parquet(self.path(table))
+    def read(self, table: str, schema: str | StructType | None = None) -> DataFrame:
+        """Newest complete version; with a schema, a table never written reads as empty instead of failing."""
+        if self.exists(table):
+            reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+            return reader.parquet(self.path(table))
+        if schema is None:
+            raise LookupError(f"table {table} has no complete version under {self.root}")
+        return self.spark.createDataFrame([], schema)
 
     def refresh(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
         """Write a new version and return it."""
@@ -61,6 +64,14 @@ class TableStore:
             return
         df.write.mode("append").partitionBy(*(partition_by or [])).parquet(self.path(table))
 
+    def put(self, table: str, df: DataFrame, partition_by: list[str]) -> None:
+        """Replace exactly the partitions `df` has rows for; doing it twice changes nothing."""
+        if not self.exists(table):
+            self.refresh(table, df, partition_by)
+            return
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*partition_by).parquet(self.path(table))
+
 
 def aligned(df: DataFrame, table: str) -> DataFrame:
     """Columns the target knows, by name, in target order, with target types."""

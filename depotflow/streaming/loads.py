@@ -16,7 +16,7 @@ def drain(
     spark: SparkSession,
     folder: str,
     schema: T.StructType,
-    load: Callable[[DataFrame], None],
+    load: Callable[[DataFrame, int], None],
     progress: str,
     file_filter: str = "*.parquet",
     files_per_batch: int = 1000,
@@ -29,7 +29,7 @@ def drain(
         .parquet(folder)
     )
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: load(batch))
+        stream.writeStream.foreachBatch(load)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
@@ -37,21 +37,30 @@ def drain(
     query.awaitTermination()
 
 
-def load_by_key(store: TableStore, table: str, key: str, tie_break: list[str], ddl: str) -> Callable[[DataFrame], None]:
-    """Append rows with keys the table lacks. A repeated micro-batch adds nothing, so a retry is safe."""
+def load_by_key(store: TableStore, table: str, key: str, tie_break: list[str], ddl: str) -> Callable[[DataFrame, int], None]:
+    """Append rows with keys the table lacks. A repeated micro-batch finds its keys loaded and adds nothing."""
 
-    def load(batch: DataFrame) -> None:
+    def load(batch: DataFrame, _: int) -> None:
         fresh = first_per_key(batch, [key], tie_break)
         store.append(table, not_yet_loaded(fresh, store.read(table, ddl), key))
 
     return load
 
 
-def load_by_date(store: TableStore, table: str, day: str, floor: date, cutoff: date, ddl: str) -> Callable[[DataFrame], None]:
-    """Append rows after the largest loaded date, up to the cutoff; late rows are not loaded."""
+def load_by_date(
+    store: TableStore, table: str, day: str, delivery: str, floor: date, cutoff: date, ddl: str
+) -> Callable[[DataFrame, int], None]:
+    """Append rows after the largest date that earlier deliveries loaded, up to the cutoff; late rows are not loaded.
 
-    def load(batch: DataFrame) -> None:
-        mark = watermark(store.read(table, ddl).select(F.col(day)), day, floor)
-        store.append(table, after_watermark(batch, day, mark, cutoff))
+    The mark leaves out rows of this delivery, so it is the same for all its micro-batches and after a restart. Each
+    micro-batch owns one partition (delivery, batch); repeating it replaces that partition.
+    """
+    layout = f"{ddl}, delivery string, batch bigint"
+    earlier = store.read(table, layout).filter(F.col("delivery") != delivery)
+    mark = watermark(earlier.select(day), day, floor)
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        fresh = after_watermark(batch, day, mark, cutoff)
+        store.put(table, fresh.withColumns({"delivery": F.lit(delivery), "batch": F.lit(batch_id)}), ["delivery", "batch"])
 
     return load
