@@ -83,7 +83,7 @@ class Products:
 
     @once
     def demand_rows(self) -> DataFrame:
-        return star.demand_rows(self.t.demand_source, self.dates(), self.skus(), self.sites())
+        return star.demand_rows(star.clean_demand(self.t.demand_source), self.dates(), self.skus(), self.sites())
 
     @once
     def demand(self) -> DataFrame:
@@ -534,10 +534,10 @@ def incremental_orders(p: Products) -> DataFrame:
 @query
 def incremental_features(p: Products) -> DataFrame:
     """Feature store filled in two steps; a look-back that reaches before the series uses the mean known then."""
-    demand = stage(p.t.series)
+    demand = stage(p.t.series)  # read by both steps
     cut = F.lit(date(2000, 6, 30))
     empty = p.spark.createDataFrame([], "feature_id bigint, feature_date date")
-    first = stage(forecasting.new_features(demand.filter(F.col("feature_date") <= cut), empty, date(1900, 1, 1)))
+    first = forecasting.new_features(demand.filter(F.col("feature_date") <= cut), empty, date(1900, 1, 1))
     both = first.unionByName(forecasting.new_features(demand, first))
     return _rounded_features(both)
 
@@ -600,6 +600,8 @@ def _metric_history(p: Products) -> DataFrame:
 
 @query
 def dq_star(p: Products) -> DataFrame:
+    # the raw rows stand in for source files, which the load and the completeness check both read
+    p.t.demand_source, p.t.inventory_source = stage(p.t.demand_source), stage(p.t.inventory_source)
     tables = {
         "dim_date": p.month_end_dates(),
         "dim_warehouse": p.sites(),

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-MONEY = "decimal(18,4)"
+AMOUNT = "decimal(18,4)"  # one transaction
+TOTAL = "decimal(28,4)"  # an amount that already sums many transactions
+EXACT_DOUBLES = float(2**53)  # from here on a double has no digits after the point
 
 
 def _col(x: Column | str) -> Column:
@@ -31,8 +33,9 @@ def ratio(part: Column | str, whole: Column | str) -> Column:
 def rounded(x: Column | str, digits: int) -> Column:
     """Round half away from zero on the binary value, as the C library does (1.005 gives 1.0)."""
     x, scale = _col(x), float(10**digits)
-    shifted = F.floor(F.abs(x) * scale + F.lit(0.5)).cast("double") / F.lit(scale)
-    return F.when(x < 0, -shifted).otherwise(shifted)
+    scaled = F.abs(x) * F.lit(scale)
+    shifted = F.floor(scaled + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.when(scaled >= EXACT_DOUBLES, x).when(x < 0, -shifted).otherwise(shifted)
 
 
 def percent(part: Column | str, whole: Column | str, digits: int = 2) -> Column:
@@ -46,16 +49,16 @@ def not_below_zero(x: Column | str) -> Column:
     return F.when(x < 0, F.lit(0)).otherwise(x)
 
 
-def exact(x: Column | str) -> Column:
+def exact(x: Column | str, kind: str = AMOUNT) -> Column:
     """Fixed-point form of an amount: its sums do not depend on the order of the rows."""
-    return _col(x).cast(MONEY)
+    return _col(x).cast(kind)
 
 
-def exact_sum(x: Column | str) -> Column:
+def exact_sum(x: Column | str, kind: str = AMOUNT) -> Column:
     """Order-independent sum of amounts, as double."""
-    return F.sum(exact(x)).cast("double")
+    return F.sum(exact(x, kind)).cast("double")
 
 
-def exact_mean(x: Column | str) -> Column:
+def exact_mean(x: Column | str, kind: str = AMOUNT) -> Column:
     """Order-independent mean of amounts, as double; NULL for no rows."""
-    return F.try_divide(exact_sum(x), F.count(_col(x)).cast("double"))
+    return F.try_divide(exact_sum(x, kind), F.count(_col(x)).cast("double"))

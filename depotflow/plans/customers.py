@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.functions.dates import lenient_date
-from depotflow.functions.numbers import exact, not_below_zero, percent, rounded, to_double, to_whole
+from depotflow.functions.numbers import TOTAL, exact_mean, exact_sum, not_below_zero, percent, rounded, to_double, to_whole
 from depotflow.functions.rules import customer_segment
 from depotflow.functions.text import snake_columns, to_boolean
 from depotflow.operators.joins import first_per_key, known, unknown
@@ -69,7 +69,7 @@ def lifetime_metrics(orders: DataFrame) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
         F.count(F.lit(1)).alias("lifetime_orders"),
-        F.sum(exact("revenue")).cast("double").alias("lifetime_revenue"),
+        exact_sum("revenue").alias("lifetime_revenue"),
     )
 
 
@@ -82,7 +82,7 @@ def rfm_scores(orders: DataFrame, strict: bool = False) -> DataFrame:
     base = orders.groupBy("customer_id").agg(
         F.max("order_date").alias("_last"),
         F.count(F.lit(1)).alias("frequency_count"),
-        F.sum(exact("revenue")).cast("double").alias("monetary_value"),
+        exact_sum("revenue").alias("monetary_value"),
     )
     base = stage(base)  # customer grain; the orders are scanned once
     scoring_date = base.agg(F.max("_last")).scalar()
@@ -175,12 +175,12 @@ def segment_performance(customers: DataFrame, scores: DataFrame, orders: DataFra
     )
 
     def mean(c: str, digits: int) -> Column:
-        return rounded(F.try_divide(F.sum(exact(c)).cast("double"), F.count(c).cast("double")), digits)
+        return rounded(exact_mean(c, TOTAL), digits)
 
     return joined.groupBy(F.col("current_rfm_segment").alias("segment")).agg(
         F.count(F.lit(1)).alias("customer_count"),
         mean("lifetime_revenue", 2).alias("avg_lifetime_revenue"),
-        rounded(F.sum(exact("lifetime_revenue")).cast("double"), 2).alias("total_segment_revenue"),
+        rounded(exact_sum("lifetime_revenue", TOTAL), 2).alias("total_segment_revenue"),
         mean("lifetime_orders", 1).alias("avg_orders_per_customer"),
         percent(F.sum("_otif"), F.sum("_orders")).alias("otif_rate_pct"),
         mean("recency_days", 0).alias("avg_recency_days"),

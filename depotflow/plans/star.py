@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.functions.dates import strict_date
-from depotflow.functions.numbers import exact_sum, not_below_zero, percent, ratio, rounded, to_double, to_whole
+from depotflow.functions.numbers import TOTAL, exact, exact_sum, not_below_zero, percent, ratio, rounded, to_double, to_whole
 from depotflow.functions.text import snake_columns, to_boolean
 from depotflow.operators.joins import lookup
 from depotflow.operators.positions import with_dense_key
@@ -55,9 +55,9 @@ def with_star_keys(df: DataFrame, day: str, dates: DataFrame, skus: DataFrame, s
     return lookup(df, sites.select("warehouse_id", "warehouse_key"), {"warehouse_id": "warehouse_id"}, ["warehouse_key"])
 
 
-def demand_rows(raw: DataFrame, dates: DataFrame, skus: DataFrame, sites: DataFrame) -> DataFrame:
-    """Demand with dimension keys but no number of its own; rows without a partner keep a NULL key."""
-    keyed = with_star_keys(clean_demand(raw), "date", dates, skus, sites)
+def demand_rows(clean: DataFrame, dates: DataFrame, skus: DataFrame, sites: DataFrame) -> DataFrame:
+    """Cleaned demand with dimension keys but no number of its own; rows without a partner keep a NULL key."""
+    keyed = with_star_keys(clean, "date", dates, skus, sites)
     return keyed.select(
         "date_key", "sku_key", "warehouse_key", "abc_class", "xyz_class", "quantity_demanded", "quantity_fulfilled",
         "quantity_unfulfilled", "stockout_flag", "revenue", "fill_rate",
@@ -100,7 +100,7 @@ def monthly_revenue(fact: DataFrame, dates: DataFrame, skus: DataFrame, sites: D
         sites.select("warehouse_key", "warehouse_id"),
     )
     return joined.groupBy("year", "month_num", "abc_class", "warehouse_id").agg(
-        rounded(exact_sum("revenue"), 2).alias("total_revenue"),
+        rounded(exact_sum("revenue", TOTAL), 2).alias("total_revenue"),
         F.sum("quantity_demanded").alias("units_demanded"),
         F.count(F.lit(1)).alias("demand_rows"),
     )
@@ -133,7 +133,7 @@ def monthly_inventory_accuracy(fact: DataFrame, dates: DataFrame, sites: DataFra
     mean = F.try_divide(F.sum(accuracy).cast("double"), F.count(accuracy).cast("double"))
     return joined.groupBy("year", "month_num", "warehouse_id").agg(
         rounded(mean * 100, 2).alias("avg_accuracy_pct"),
-        rounded(exact_sum("inventory_value"), 2).alias("total_inventory_value"),
+        rounded(exact_sum("inventory_value", TOTAL), 2).alias("total_inventory_value"),
         F.count(F.lit(1)).alias("snapshot_rows"),
     )
 
@@ -143,7 +143,7 @@ def demand_by_supplier(fact: DataFrame, skus: DataFrame, suppliers: DataFrame) -
     per_item = fact.groupBy("sku_key").agg(
         F.sum("quantity_demanded").alias("_units"),
         F.sum("quantity_fulfilled").alias("_filled"),
-        F.sum(F.col("revenue").cast("decimal(18,4)")).alias("_revenue"),
+        F.sum(exact("revenue", TOTAL)).alias("_revenue"),
     )
     return (
         per_item.join(skus.select("sku_key", "supplier_id"), "sku_key")

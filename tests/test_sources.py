@@ -57,7 +57,7 @@ def test_star_from_csv_files(spark, store, tmp_path):
         (1, "S1", 2.0, 1, None), (2, "S2", None, None, None),
     ]
     assert suppliers.first().lead_time_std_days is None and suppliers.first().active_flag
-    demand = star.fact_daily_demand(star.demand_rows(raw["daily_demand"], dates, skus, sites))
+    demand = star.fact_daily_demand(star.demand_rows(star.clean_demand(raw["daily_demand"]), dates, skus, sites))
     rows = {r.demand_key: r for r in demand.collect()}
     assert sorted(rows) == [1, 2, 3]
     first = next(r for r in rows.values() if r.date_key == 20230101)
