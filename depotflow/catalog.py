@@ -539,7 +539,7 @@ def incremental_features(p: Products) -> DataFrame:
     empty = p.spark.createDataFrame([], "feature_id bigint, feature_date date")
     first = forecasting.new_features(demand.filter(F.col("feature_date") <= cut), empty, date(1900, 1, 1))
     both = first.unionByName(forecasting.new_features(demand, first))
-    return _rounded_features(both)
+    return _rounded_features(both).drop("feature_id")
 
 
 @query

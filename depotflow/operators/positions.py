@@ -8,38 +8,36 @@ per partition is ever gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.session import stage
 
 ROWS_IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id() counts rows in its low 33 bits
 
 
-def with_position(df: DataFrame, order_by: list[Column | str], name: str = "position") -> DataFrame:
-    """Add the 0-based position of each row in the global order; give an order without ties."""
+def with_position(df: DataFrame, order_by: list[Column | str] | None, name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row in the global order; give an order without ties.
+
+    Without an order the rows are numbered as they lie, which needs no shuffle.
+    """
+    if order_by:
+        df = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = stage(
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_part", F.spark_partition_id())
+        df.withColumn("_part", F.spark_partition_id())
         .withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_IN_PARTITION)))
     )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))  # one row per partition from here on
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    return (
-        placed.join(F.broadcast(starts), "_part")
-        .withColumn(name, F.col("_start") + F.col("_row"))
-        .drop("_part", "_row", "_start")
-    )
+    sizes = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}  # one number per partition
+    starts = list(accumulate((sizes.get(part, 0) for part in range(max(sizes, default=0) + 1)), initial=0))
+    start = F.element_at(F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>"), F.col("_part") + 1)
+    return placed.withColumn(name, start + F.col("_row")).drop("_part", "_row")
 
 
 def with_dense_key(
-    df: DataFrame, name: str, order_by: list[Column | str], after: DataFrame | None = None
+    df: DataFrame, name: str, order_by: list[Column | str] | None, after: DataFrame | None = None
 ) -> DataFrame:
-    """Put a surrogate key start+1..start+n in front, in the given order; start is the largest key in `after`."""
+    """Put a surrogate key start+1..start+n in front, in the given order, if any; start is the largest key in `after`."""
     start = F.lit(0)
     if after is not None:
         start = after.agg(F.coalesce(F.max(name), F.lit(0)).cast("bigint")).scalar()

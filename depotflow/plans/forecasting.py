@@ -51,7 +51,7 @@ def new_features(demand: DataFrame, stored: DataFrame, floor: date = FIRST_LOAD_
     """
     mark = stored.agg(F.coalesce(F.max("feature_date"), F.lit(floor))).scalar()
     fresh = feature_store(demand).filter(F.col("feature_date") > mark)
-    return with_dense_key(fresh, "feature_id", [*SERIES, "feature_date"], after=stored)
+    return with_dense_key(fresh, "feature_id", None, after=stored)  # the windows' own partitioning is kept
 
 
 def baseline_forecasts(

@@ -450,9 +450,7 @@ _QUERIES = {
     "incremental_features": f"""WITH early AS (SELECT * FROM series WHERE feature_date <= DATE '2000-06-30'),
         a AS ({FEATURE_KEYS}, {calendar("feature_date")}, {features("early")}),
         b AS (SELECT * FROM series_features WHERE feature_date > DATE '2000-06-30')
-        SELECT {SIX_DIGITS} FROM (
-            SELECT row_number() OVER (ORDER BY sku_id, warehouse_id, feature_date) AS feature_id, * FROM a UNION ALL BY NAME
-            SELECT row_number() OVER (ORDER BY sku_id, warehouse_id, feature_date) + (SELECT count(*) FROM a) AS feature_id, * FROM b)""",
+        SELECT {SIX_DIGITS} FROM (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)""",
     "streamed_orders": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders",
     "streamed_lines": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CAST(l_shipdate AS DATE) AS day FROM lineitem",
     "metric_drift": DRIFT,

@@ -34,6 +34,13 @@ def test_dense_key_continues(frame):
     assert with_dense_key(frame("id string", []), "k", ["id"], after=first).count() == 0
 
 
+def test_numbering_without_an_order(spark):
+    df = spark.range(1000, numPartitions=5).filter("id % 200 > 30")
+    once = with_dense_key(df, "k", None)
+    assert once.select(F.min("k"), F.max("k"), F.count_distinct("k")).first()[:] == (1, df.count(), df.count())
+    assert "Exchange rangepartitioning" not in once._jdf.queryExecution().executedPlan().toString()
+
+
 def pandas_scores(values: pd.Series, small_is_good: bool) -> list[int]:
     """Quintiles by pandas, with the average-rank percentile when the edges are not distinct."""
     try:
