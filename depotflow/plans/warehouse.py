@@ -34,11 +34,15 @@ def operators_seen(tasks: DataFrame) -> DataFrame:
     Different raw ids can share the 32-bit anonymous id; such operators count as one, with the earliest task.
     """
     first = F.struct("task_date", "task_id")
-    return (
+    per_id = (
         tasks.filter("operator_id is not null")
-        .groupBy(anonymous_id("operator_id").alias("operator_id"))
-        .agg(F.min("task_date").alias("_first"), F.min_by("warehouse_id", first).alias("warehouse_id"))
-        .select("operator_id", "warehouse_id", quarter_label("_first").alias("hire_date_cohort"), F.lit(True).alias("active_flag"))
+        .groupBy("operator_id")
+        .agg(F.min(first).alias("_first"), F.min_by("warehouse_id", first).alias("warehouse_id"))
+    )  # hashing starts after the rows have collapsed to operators
+    return (
+        per_id.groupBy(anonymous_id("operator_id").alias("operator_id"))
+        .agg(F.min("_first.task_date").alias("_day"), F.min_by("warehouse_id", "_first").alias("warehouse_id"))
+        .select("operator_id", "warehouse_id", quarter_label("_day").alias("hire_date_cohort"), F.lit(True).alias("active_flag"))
     )
 
 
