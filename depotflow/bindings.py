@@ -309,7 +309,7 @@ class TestTables:
         """Parts as storage locations, delivered three times with changes.
 
         Batch 2 moves every 10th to another zone and changes the capacity of every 7th; batch 3 also flips the active
-        flag of every 15th and brings the locations (every 11th) that the first two left out.
+        flag of every 15th and brings newly built locations (size above 46).
         """
         key, size = F.col("p_partkey"), F.col("p_size")
         zones = F.array(*[F.lit(z) for z in ("Bulk", "Pick_Face", "Reserve")])
@@ -317,7 +317,7 @@ class TestTables:
         zone = F.element_at(zones, ((F.length("p_type") + moved.cast("int")) % 3 + 1).cast("int"))
         capacity = size * 10 + F.when(F.lit(number >= 2) & (key % 7 == 0), 5).otherwise(0)
         active = (size <= 45) != (F.lit(number >= 3) & (key % 15 == 0))
-        delivered = self.table("part") if number >= 3 else self.table("part").filter(key % 11 != 0)
+        delivered = self.table("part") if number >= 3 else self.table("part").filter(size <= 46)
         return delivered.select(
             identifier("LOC", key).alias("location_id"),
             F.concat(F.lit("WH-"), (key % SITES_OF_TASKS).cast("string")).alias("warehouse_id"),

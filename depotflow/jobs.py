@@ -13,6 +13,7 @@ from depotflow import schemas
 from depotflow.functions.text import snake_columns
 from depotflow.operators import experiments
 from depotflow.operators.positions import with_dense_key
+from depotflow.operators.profiling import profile_table
 from depotflow.operators.versions import (
     after_watermark,
     date_load_status,
@@ -152,6 +153,31 @@ class Jobs:
         self.store.append("metric_history", row.withColumn("feature_rows", features))
         return self.store.read("metric_history")
 
+    def check_features(self) -> DataFrame:
+        return checks.feature_checks(
+            self._table("fact_feature_store"), self._active_demand(), self._table("dim_sku"), self._table("dim_warehouse")
+        )
+
+    def check_forecast(self, basis_days: int = 61) -> DataFrame:
+        """Checks of the last forecast run against the run log and the metric history."""
+        demand = self._active_demand()
+        last = demand.agg(F.max("feature_date")).scalar()
+        skus = self._table("dim_sku")
+        return checks.forecast_checks(
+            self._table("run_log"), self._table("fact_forecast"),
+            demand.filter(F.col("feature_date") >= F.date_sub(last, basis_days - 1)), skus,
+            self.store.read("metric_history"), len(forecasting.MODEL_FORECASTS), forecasting.HORIZON_DAYS,
+        )
+
+    def profile(self, table: str, approximate: bool = False) -> DataFrame:
+        return profile_table(self._table(table), table, approximate)
+
+    def save_report(self, report: DataFrame, name: str, folder: str) -> None:
+        """Append a report to its history and export it as CSV, with the time of the run."""
+        timed = report.withColumn("timestamp", utc(self.run_at))
+        self.store.append(f"report_{name}", timed)
+        export_csv(timed, f"{folder}/{name}")
+
     # -- customers -----------------------------------------------------------------------------------------
 
     def load_customers(self) -> DataFrame:
@@ -192,6 +218,11 @@ class Jobs:
         recorded = experiments.record_outcomes(grown, self._table("fact_orders"), trial.name)
         return experiments.analyse(self.store.refresh("fact_ab_assignments", recorded).filter(F.col("test_name") == trial.name))
 
+    def check_customers(self) -> DataFrame:
+        return checks.customer_checks(
+            self._table("dim_customer"), self._table("fact_rfm_scores"), self._table("fact_ab_assignments")
+        )
+
     # -- warehouse -----------------------------------------------------------------------------------------
 
     def load_locations(self) -> DataFrame:
@@ -239,6 +270,10 @@ class Jobs:
         numbered = with_dense_key(pairs, "pair_id", ["warehouse_id", F.desc("lift_score"), "sku_id_1", "sku_id_2"])
         return self.store.refresh("fact_cooccurrence", aligned(numbered, "fact_cooccurrence"))
 
+    def check_tasks(self, sites: DataFrame | None = None) -> DataFrame:
+        """Task checks against the site dimension, or another table with warehouse_id."""
+        return checks.task_checks(self._table("fact_wms_tasks"), sites or self._table("dim_warehouse"))
+
     # -- marts ---------------------------------------------------------------------------------------------
 
     def marts(self) -> dict[str, DataFrame]:

@@ -142,7 +142,7 @@ def location_batch(n: int) -> str:
            CAST(p_size * 10 + CASE WHEN {n} >= 2 AND p_partkey % 7 = 0 THEN 5 ELSE 0 END AS INTEGER) AS capacity_units,
            CASE WHEN {BRAND_NUMBER} % 2 = 0 THEN 'Ambient' ELSE 'Bulk' END AS storage_type,
            (p_size <= 45) <> ({n} >= 3 AND p_partkey % 15 = 0) AS active_flag
-    FROM part WHERE {n} >= 3 OR p_partkey % 11 <> 0"""
+    FROM part WHERE {n} >= 3 OR p_size <= 46"""
 
 
 def recommendations(tasks: str, last_day: str, lookback: int = 90) -> str:
@@ -336,8 +336,9 @@ VIEWS = {
     "first_run": f"""SELECT row_number() OVER (ORDER BY warehouse_id, sku_id) AS slotting_id, *
         FROM ({recommendations("early_tasks", "(SELECT max(task_date) FROM early_tasks)")}) WHERE recommended_zone IS NOT NULL""",
     "decided": """SELECT slotting_id, sku_id, warehouse_id, (SELECT max(task_date) FROM early_tasks) AS recommendation_date,
-        prior_zone, recommended_zone, pick_count, ['implemented', 'rejected', 'pending'][slotting_id % 3 + 1] AS implementation_status,
-        CASE WHEN slotting_id % 3 = 0 THEN DATE '2024-01-16' END AS implementation_date FROM first_run""",
+        prior_zone, recommended_zone, pick_count,
+        CASE warehouse_id WHEN 'WH-0' THEN 'implemented' WHEN 'WH-1' THEN 'rejected' ELSE 'pending' END AS implementation_status,
+        CASE WHEN warehouse_id = 'WH-0' THEN DATE '2024-01-16' END AS implementation_date FROM first_run""",
     "second_run": f"""SELECT row_number() OVER (ORDER BY warehouse_id, sku_id) + (SELECT max(slotting_id) FROM decided) AS slotting_id,
         sku_id, warehouse_id, (SELECT d FROM last_task) AS recommendation_date, prior_zone, recommended_zone, pick_count,
         'pending' AS implementation_status, CAST(NULL AS DATE) AS implementation_date

@@ -9,7 +9,7 @@ from depotflow.bindings import TestTables
 from depotflow.jobs import Jobs
 from depotflow.operators.experiments import Trial
 from depotflow.sources.files import export_csv
-from depotflow.sources.tables import TableStore
+from depotflow.sources.tables import TableStore, log_steps
 
 FOLDER = "/root/testdata/sf0.001"
 FIRST, LAST = date(1995, 1, 1), date(2001, 12, 31)
@@ -69,6 +69,15 @@ def test_star_and_forecast(spark, store, sources, tmp_path):
     plan = j.planner_forecast()
     assert plan.count() == series.count() * 30 and plan.columns[0] == "SKU_ID"
     assert j.record_metrics(1).count() == 1 and j.record_metrics(2).count() == 2
+    log_steps(store, [("features", "OK", 1, 0.1, ""), ("models", "OK", 1, 0.1, "")], F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    report = j.check_forecast(basis_days=180)
+    # an active item that was not ordered in the basis window has no forecast
+    assert {r.check for r in report.collect() if r.status != "PASS"} <= {"no_missing_skus"}
+    assert j.check_features().filter("check = 'no_duplicates' and status = 'PASS'").count() == 1
+    j.save_report(report, "monitoring", str(tmp_path))
+    j.save_report(report, "monitoring", str(tmp_path))
+    assert store.read("report_monitoring").count() == 10
+    assert j.profile("dim_sku").count() == len(store.read("dim_sku").columns)
 
 
 def test_customers_and_trial(spark, store, sources):
@@ -87,6 +96,7 @@ def test_customers_and_trial(spark, store, sources):
     first = j.run_trial(trial, date(2000, 8, 1)).first()
     second = j.run_trial(trial, date(2000, 8, 1)).first()
     assert first == second and first.n_test + first.n_control > 0
+    assert {r.check for r in j.check_customers().collect() if r.status != "PASS"} <= {"segment_distribution"}
 
 
 def test_warehouse_and_marts(spark, store, sources, tmp_path):
@@ -97,6 +107,7 @@ def test_warehouse_and_marts(spark, store, sources, tmp_path):
     pending = j.recommend_slots().count()
     assert pending > 0 and jobs(spark, store, sources, day=2).recommend_slots().count() == pending
     assert j.refresh_pairs().count() > 0
+    assert j.check_tasks(store.read("dim_location")).filter("status = 'FAIL'").count() == 0
     j.publish_marts(str(tmp_path / "marts"))
     for name in j.marts():
         exported = spark.read.option("header", True).csv(str(tmp_path / "marts" / name)).count()
