@@ -127,7 +127,7 @@ class TestTables:
 
     @cached_property
     def demand_source(self) -> DataFrame:
-        """Daily demand as its source file would hold it: text columns, revenue missing when nothing was fulfilled."""
+        """Daily demand with the columns of its source file; revenue is missing when nothing was fulfilled."""
         kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
         amount = money(F.col("l_extendedprice") * (1 - F.col("l_discount")))
         daily = self.lines.groupBy("ship_date", "l_partkey", "warehouse_id").agg(
@@ -138,16 +138,16 @@ class TestTables:
         parts = self.table("part").select("p_partkey", "p_type", "p_size")
         size = F.col("p_size")
         return daily.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("ship_date").cast("string").alias("Date"),
+            F.col("ship_date").alias("Date"),
             identifier("SKU", F.col("l_partkey")).alias("SKU_ID"),
             F.col("p_type").alias("Category"),
             F.col("warehouse_id").alias("Warehouse_ID"),
             F.when(size <= 16, "A").when(size <= 33, "B").otherwise("C").alias("ABC_Class"),
             F.when(size % 3 == 0, "X").when(size % 3 == 1, "Y").otherwise("Z").alias("XYZ_Class"),
-            F.col("_demanded").cast("string").alias("Quantity_Demanded"),
-            F.col("_fulfilled").cast("string").alias("Quantity_Fulfilled"),
-            F.when(F.col("_fulfilled") < F.col("_demanded"), "True").otherwise("False").alias("Stockout_Flag"),
-            F.when(F.col("_fulfilled") > 0, F.col("_revenue").cast("string")).alias("Revenue"),
+            F.col("_demanded").alias("Quantity_Demanded"),
+            F.col("_fulfilled").alias("Quantity_Fulfilled"),
+            (F.col("_fulfilled") < F.col("_demanded")).alias("Stockout_Flag"),
+            F.when(F.col("_fulfilled") > 0, F.col("_revenue")).alias("Revenue"),
         )
 
     @cached_property
@@ -164,17 +164,16 @@ class TestTables:
             F.sum(money(F.col("l_extendedprice"))).alias("value"),
         )
         parts = self.table("part").select("p_partkey", "p_type")
-        text = lambda c: F.col(c).cast("string")
         return monthly.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
-            text("day").alias("Snapshot_Date"),
+            F.col("day").alias("Snapshot_Date"),
             identifier("SKU", F.col("l_partkey")).alias("SKU_ID"),
             F.col("warehouse_id").alias("Warehouse_ID"),
             F.col("p_type").alias("Category"),
-            text("on_hand").alias("On_Hand_Qty"),
-            text("in_transit").alias("In_Transit_Qty"),
-            text("committed").alias("Committed_Qty"),
-            (F.col("on_hand") - F.col("committed")).cast("string").alias("Available_Qty"),
-            text("value").alias("Inventory_Value"),
+            F.col("on_hand").alias("On_Hand_Qty"),
+            F.col("in_transit").alias("In_Transit_Qty"),
+            F.col("committed").alias("Committed_Qty"),
+            (F.col("on_hand") - F.col("committed")).alias("Available_Qty"),
+            F.col("value").alias("Inventory_Value"),
         )
 
     @cached_property
@@ -234,22 +233,21 @@ class TestTables:
         day = F.to_date("o_orderdate")
         on_time = F.coalesce(F.col("ship") <= F.date_add(day, 30), F.lit(False))
         in_full = F.coalesce(F.col("ordered") == F.col("shipped"), F.lit(False))
-        flag = lambda c: F.when(c, "True").otherwise("False")
         joined = self.table("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         return joined.select(
             identifier("ORD", F.col("o_orderkey")).alias("Order_ID"),
-            day.cast("string").alias("Order_Date"),
-            F.coalesce(F.col("ship").cast("string"), F.lit("not shipped")).alias("Ship_Date"),
+            day.alias("Order_Date"),
+            F.col("ship").alias("Ship_Date"),
             identifier("SKU", F.col("part")).alias("SKU_ID"),
             identifier("CUST", F.col("o_custkey")).alias("Customer_ID"),
             F.lit(None).cast("string").alias("Warehouse_ID"),
             F.col("o_orderpriority").alias("Channel"),
-            F.col("ordered").cast("string").alias("Ordered_Qty"),
-            F.col("shipped").cast("string").alias("Shipped_Qty"),
-            F.col("o_totalprice").cast("decimal(18,4)").cast("string").alias("Revenue"),
-            flag(on_time).alias("On_Time_Flag"),
-            flag(in_full).alias("In_Full_Flag"),
-            flag(on_time & in_full).alias("OTIF_Flag"),
+            F.col("ordered").alias("Ordered_Qty"),
+            F.col("shipped").alias("Shipped_Qty"),
+            F.col("o_totalprice").alias("Revenue"),
+            on_time.alias("On_Time_Flag"),
+            in_full.alias("In_Full_Flag"),
+            (on_time & in_full).alias("OTIF_Flag"),
         )
 
     @cached_property
@@ -262,21 +260,20 @@ class TestTables:
         customer = F.when(F.col("l_partkey") % 97 == 0, F.lit("CUST-?")).otherwise(identifier("CUST", F.col("o_custkey")))
         kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
         on_time = F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 30 days")
-        flag = lambda c: F.when(c, "1").otherwise("0")
         return line.select(
             F.concat_ws("-", identifier("ORD", F.col("l_orderkey")), F.col("l_linenumber").cast("string")).alias("Order_ID"),
-            F.to_date("o_orderdate").cast("string").alias("Order_Date"),
-            F.to_date("l_shipdate").cast("string").alias("Ship_Date"),
+            F.to_date("o_orderdate").alias("Order_Date"),
+            F.to_date("l_shipdate").alias("Ship_Date"),
             identifier("SKU", F.col("l_partkey")).alias("SKU_ID"),
             customer.alias("Customer_ID"),
             identifier("SUP", F.col("l_suppkey")).alias("Warehouse_ID"),
             F.col("o_orderpriority").alias("Channel"),
-            F.col("l_quantity").cast("bigint").cast("string").alias("Ordered_Qty"),
-            kept.cast("bigint").cast("string").alias("Shipped_Qty"),
-            F.col("l_extendedprice").cast("decimal(18,4)").cast("string").alias("Revenue"),
-            flag(on_time).alias("On_Time_Flag"),
-            flag(F.col("l_returnflag") != "R").alias("In_Full_Flag"),
-            flag(on_time & (F.col("l_returnflag") != "R")).alias("OTIF_Flag"),
+            F.col("l_quantity").alias("Ordered_Qty"),
+            kept.alias("Shipped_Qty"),
+            F.col("l_extendedprice").alias("Revenue"),
+            on_time.alias("On_Time_Flag"),
+            (F.col("l_returnflag") != "R").alias("In_Full_Flag"),
+            (on_time & (F.col("l_returnflag") != "R")).alias("OTIF_Flag"),
         )
 
     # -- warehouse -----------------------------------------------------------------------------------------
@@ -289,15 +286,15 @@ class TestTables:
         accurate = k % 20 != 0
         return self.table("events").select(
             identifier("TASK", F.col("event_id")).alias("task_id"),
-            F.to_date("ts").cast("string").alias("task_date"),
+            F.to_date("ts").alias("task_date"),
             F.when(F.col("event_type") == "click", "Pick").otherwise(F.initcap("event_type")).alias("task_type"),
             F.when(shift < 8, "Night").when(shift < 16, "Morning").otherwise("Afternoon").alias("shift"),
             identifier("SKU", k).alias("sku_id"),
             F.concat(F.lit("WH-"), (F.col("user_id") % SITES_OF_TASKS).cast("string")).alias("warehouse_id"),
             identifier("EMP", F.col("user_id")).alias("operator_id"),
-            F.col("value").cast("string").alias("duration_min"),
-            (1 + k % 10).cast("string").alias("quantity"),
-            F.when(accurate, "True").otherwise("False").alias("accuracy_flag"),
+            F.col("value").alias("duration_min"),
+            (1 + k % 10).alias("quantity"),
+            accurate.alias("accuracy_flag"),
             F.when(accurate, "nan").otherwise(F.concat(F.lit("E"), (k % 5).cast("string"))).alias("error_code"),
         )
 

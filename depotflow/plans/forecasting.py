@@ -99,14 +99,13 @@ def evaluate(
     predicted = features.filter(days).select(*SERIES, "feature_date", F.array(*predictions).alias("_models"))
     error = F.col("_predicted") - F.col("_actual")
     scaled = F.when(F.col("_actual") > 0, F.abs(error) / F.col("_actual"))
-    keys = ["model_id", *(SERIES if by_site else SERIES[:1])]
+    keys = ["model_id", *(SERIES if by_site else SERIES[:1]), "abc_class"]  # an item has one class
     return (
         actual.join(predicted, [*SERIES, "feature_date"])
         .select("sku_id", "warehouse_id", "abc_class", "_actual", F.inline("_models"))
         .filter("_predicted is not null")
         .groupBy(*keys)
         .agg(
-            F.min("abc_class").alias("abc_class"),
             rounded(F.avg(scaled) * 100, 6).alias("mape"),
             rounded(F.sqrt(F.avg(error * error)), 6).alias("rmse"),
             rounded(F.avg(F.abs(error)), 6).alias("mae"),

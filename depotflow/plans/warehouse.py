@@ -29,20 +29,19 @@ def load_locations(history: DataFrame, batch: DataFrame, loaded_at: Column) -> D
 
 
 def operators_seen(tasks: DataFrame) -> DataFrame:
-    """Anonymous id, first site and cohort of each raw operator id.
+    """Anonymous id, first site and cohort of each raw operator id (on the first day at two sites: the smaller site id).
 
-    Different raw ids can share the 32-bit anonymous id; such operators count as one, with the earliest task.
+    Different raw ids can share the 32-bit anonymous id; such operators count as one, with the earliest day.
     """
-    first = F.struct("task_date", "task_id")
-    per_id = (
+    per_site = (
         tasks.filter("operator_id is not null")
-        .groupBy("operator_id")
-        .agg(F.min(first).alias("_first"), F.min_by("warehouse_id", first).alias("warehouse_id"))
-    )  # hashing starts after the rows have collapsed to operators
+        .groupBy("operator_id", "warehouse_id")
+        .agg(F.min("task_date").alias("_day"))
+    )  # hashing and ordering start after the rows have collapsed
     return (
-        per_id.groupBy(anonymous_id("operator_id").alias("operator_id"))
-        .agg(F.min("_first.task_date").alias("_day"), F.min_by("warehouse_id", "_first").alias("warehouse_id"))
-        .select("operator_id", "warehouse_id", quarter_label("_day").alias("hire_date_cohort"), F.lit(True).alias("active_flag"))
+        per_site.groupBy(anonymous_id("operator_id").alias("operator_id"))
+        .agg(F.min("_day").alias("_first"), F.min_by("warehouse_id", F.struct("_day", "warehouse_id")).alias("warehouse_id"))
+        .select("operator_id", "warehouse_id", quarter_label("_first").alias("hire_date_cohort"), F.lit(True).alias("active_flag"))
     )
 
 

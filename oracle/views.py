@@ -288,7 +288,7 @@ VIEWS = {
         CAST(greatest(CAST(l_shipdate AS DATE) - CAST(o_orderdate AS DATE), 0) AS INTEGER) AS days_to_ship
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "first_orders": """SELECT * FROM repeated_orders QUALIFY row_number() OVER (PARTITION BY order_id
-        ORDER BY ship_date, sku_id, warehouse_id, CAST(CAST(revenue AS DECIMAL(18,4)) AS VARCHAR)) = 1""",
+        ORDER BY ship_date, sku_id, warehouse_id, revenue) = 1""",
     "scores": rfm("ords"),
     "custdim": customers_with("scores", "ords"),
     "past_orders": "SELECT * FROM ords WHERE order_date <= DATE '2000-08-01'",
@@ -315,7 +315,7 @@ VIEWS = {
         CASE WHEN k % 20 = 0 THEN 'E' || CAST(k % 5 AS VARCHAR) END AS error_code
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
     "staff": """SELECT row_number() OVER (ORDER BY operator_id) AS operator_surrogate_id, * FROM (
-        SELECT operator_id, arg_min(warehouse_id, (task_date, task_id)) AS warehouse_id,
+        SELECT operator_id, arg_min(warehouse_id, (task_date, warehouse_id)) AS warehouse_id,
                CAST(year(min(task_date)) AS VARCHAR) || '-Q' || CAST(quarter(min(task_date)) AS VARCHAR) AS hire_date_cohort,
                true AS active_flag FROM tasks GROUP BY operator_id)""",
     "loaded_tasks": """SELECT t.* EXCLUDE (operator_id), CAST(NULL AS VARCHAR) AS location_id, operator_surrogate_id
