@@ -35,7 +35,7 @@ def cooccurring_pairs(
         .join(totals, site)
         .withColumn("bound", rounded(F.col("n") / F.col("c"), 4))
     )  # the set holds at most one entry per session of the site, and sessions are bounded by the calendar
-    items = first_per_key(items, [site, "_where"], ["item"], top + 1).drop("_where")
+    items = stage(first_per_key(items, [site, "_where"], ["item"], top + 1).drop("_where"))
 
     rarest = first_per_key(items, [site], ["c", "item"], probe)
     reached = (
