@@ -91,10 +91,13 @@ def _rate(steps: list[np.ndarray], domains: int, floor: float) -> Column:
     """A row's rate after the steps so far: each moves it along its posterior, and the floor clips it."""
     if not steps:
         return F.greatest(F.lit(1.0), F.lit(floor))
-    flat = F.array_agg  # noqa: F841
-    moves = F.split(F.lit(";".join(",".join(f"{v:.17g}" for v in s) for s in steps)), ";")
-    along = lambda s: sum((F.get(F.split(s, ",").cast("array<double>"), k) * F.get("posterior", k) for k in range(domains)), F.lit(0.0))
-    return F.aggregate(moves, F.greatest(F.lit(1.0), F.lit(floor)), lambda r, s: F.greatest(r + along(s), F.lit(floor)))
+    moves = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
+
+    def move(rate: Column, step: Column) -> Column:
+        along = sum((F.get(step, k) * F.get("posterior", k) for k in range(domains)), F.lit(0.0))
+        return F.greatest(rate + along, F.lit(floor))
+
+    return F.aggregate(moves, F.greatest(F.lit(1.0), F.lit(floor)), move)
 
 
 def fit_steps(members: DataFrame, targets: list[float], floor: float) -> list[np.ndarray]:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depotflow.llm import curves, shards, simhash
+from depotflow.llm import chat, curves, decontaminate, mixing, quality, shards, simhash, suffixes, token_files
+from depotflow.llm.common import stage
 
 SHARDS = 24
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
+TARGETS = {"plain": 0.95, "toxic": 0.04, "junk": 0.01}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def domains(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "labels").select("doc_id", mixing.label_domain().alias("domain"))
+
+
+def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return token_files.read_documents(token_files.write_tokens(docs, public_tokenizers.path(TOKENIZER), END_ID))
+
+
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     text = F.coalesce("text", F.lit(""))
@@ -22,6 +35,62 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, domains(spark, folder), TARGETS)
+    parts = [F.get("posterior", k).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_tokens", *parts, "rate", "copies")
+
+
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+# A conversation whose texts hold what common templates use to mark turns.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text"),
+    )
+    return chat.digests(stage(chat.format_chats(turns.unionByName(tricky))))
+
+
+CHAT_SQL = r"""
+WITH given AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), ordered AS (
+    SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM given
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+    SELECT *,
+        length(text) + length(text) - length(replace(text, '\', '')) + length(text) - length(replace(text, '<', '')) AS text_chars,
+        length(role) + length(role) - length(replace(role, '\', '')) + length(role) - length(replace(role, '<', '')) AS role_chars
+    FROM ordered
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(text_chars + CASE WHEN before = role THEN length('<and>')
+        ELSE role_chars + length('<turn><says>') + length('<end>') + 1 END) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, folder, "documents"), words=3, bits=2)
 
@@ -30,5 +99,15 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return curves.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op9_simhash": op9_simhash, "op10_nearest": op10_nearest}
-ORACLE: dict[str, str] = {}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op2_sharding": op2_sharding,
+    "op3_mixing": op3_mixing,
+    "op4_decontamination": op4_decontamination,
+    "op5_chat_format": op5_chat_format,
+    "op6_quality": op6_quality,
+    "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_simhash": op9_simhash,
+    "op10_nearest": op10_nearest,
+}
+ORACLE = {"op5_chat_format": CHAT_SQL}
