@@ -48,6 +48,10 @@ def _numbers(values: np.ndarray) -> Column:
     return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
 
 
+def _adder(ratios: Column):
+    return lambda total, bucket: total + F.get(ratios, bucket)
+
+
 def fit_weights(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Log priors, and log ratios by bucket and domain; from at most `sample` labelled documents."""
     known = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
@@ -78,7 +82,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] =
     scored = scored.withColumn("_mx_all", F.array_distinct(F.filter("_mx_all", lambda b: F.get(telling, b) > 0)))
     for k in range(len(domains)):
         ratios = _numbers(weights[:, k])
-        total = F.aggregate("_mx_all", F.lit(float(prior[k])), lambda s, b, ratios=ratios: s + F.get(ratios, b))
+        total = F.aggregate("_mx_all", F.lit(float(prior[k])), _adder(ratios))
         scored = scored.withColumn(f"_mx_{k}", total)
     logs = [F.col(f"_mx_{k}") for k in range(len(domains))]
     top = F.greatest(*logs)
