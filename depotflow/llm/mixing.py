@@ -8,7 +8,7 @@ documents that are free to move, and clips them at the floor. A step needs two s
 state but the list of steps so far, from which a row computes its own rate.
 
 The classifier is a naive Bayes over hashed words. It is fitted on at most `SAMPLE` labelled documents, chosen by hash;
-only buckets whose frequency differs between domains beyond chance count.
+only buckets whose frequency differs between domains beyond chance, and clearly, count.
 
 Nulls: a null text is empty; an empty text has the prior as posterior, no tokens, and a rate. Labels with nulls don't count.
 Repeated rows are rated alike. Without labels all domains are equally likely. Targets are weights and must not be negative.
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.llm.common import stage
 
-SAMPLE, BUCKETS, LEAST_Z = 20_000, 8_192, 6.0
+SAMPLE, BUCKETS, LEAST_Z, LEAST_RATIO = 20_000, 8_192, 6.0, 1.0
 STEPS, CLOSE = 40, 1e-6
 UNIFORM = 1 << 30
 DOMAINS = ("junk", "plain", "toxic")
@@ -53,7 +53,7 @@ def _adder(ratios: Column):
 
 
 def fit_weights(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...], sample: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log priors, and log ratios by bucket and domain; from at most `sample` labelled documents."""
+    """Log odds of no telling bucket by domain, and what each bucket adds; from at most `sample` labelled documents."""
     known = labelled.filter(F.col("doc_id").isNotNull() & F.col("domain").isin(*domains))
     known = known.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id")).limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `sample` bounds it
@@ -66,11 +66,13 @@ def fit_weights(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...],
         holds[r["bucket"], domains.index(r["domain"])] = r["count"]
     # share of a domain's documents that hold the bucket, against that of the other domains
     others, rest = holds.sum(axis=1, keepdims=True) - holds, n.sum() - n
-    p, q = (holds + 0.5) / (n + 1), (others + 0.5) / (rest + 1)
     both = (holds + others + 1) / (n.sum() + 2)
+    p, q = (holds + 2 * both) / (n + 2), (others + 2 * both) / (rest + 2)
     z = (p - q) / np.sqrt(both * (1 - both) * (1 / np.maximum(n, 1) + 1 / np.maximum(rest, 1)) + 1e-12)
-    weights = np.where((np.abs(z) >= LEAST_Z) & (n > 0) & (rest > 0), np.log(p / q), 0.0)
-    return np.log((n + 1) / (n.sum() + len(domains))), weights
+    telling = ((np.abs(z) >= LEAST_Z) & (np.abs(np.log(p / q)) >= LEAST_RATIO) & (n > 0) & (rest > 0)).any(axis=1, keepdims=True)
+    present, absent = (np.where(telling, np.log(x), 0.0) for x in (p, 1 - p))
+    prior = np.log((n + 1) / (n.sum() + len(domains))) + absent.sum(axis=0)
+    return prior, present - absent
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAINS, sample: int = SAMPLE) -> DataFrame:

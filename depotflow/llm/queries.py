@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from depotflow.llm import chat, curves, decontaminate, mixing, quality, shards, simhash, suffixes, token_files
+from depotflow.llm import chat, curves, decontaminate, mixing, quality, shards, simhash, suffixes, surrogates, token_files
 from depotflow.llm.common import stage
 
 SHARDS = 24
@@ -87,6 +87,10 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.replace_entities(table(spark, folder, "documents").select("doc_id", "text"), secret="corpus")
+
+
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, folder, "documents")).drop("kept")
 
@@ -106,6 +110,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_chat_format": op5_chat_format,
     "op6_quality": op6_quality,
+    "op7_surrogates": op7_surrogates,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_simhash": op9_simhash,
     "op10_nearest": op10_nearest,

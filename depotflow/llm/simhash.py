@@ -7,6 +7,10 @@ most two bits exactly if they meet: one step from either side covers every way t
 the key holds the other segment too, a key never has more than 65 different fingerprints, however large a group of near
 copies is, so a star to the smallest one gives the same components as all pairs would.
 
+For near copies down to a given share of common shingles two bits are far too few. `similar_groups` searches a longer fingerprint of 256 bits over the
+different words, in 16 segments, by every pair of equal segments; each key is a table lookup whose first and last
+member are the candidates of all others (never all pairs), and the complete distance of 256 bits over word shingles decides.
+
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
 and never becomes a component's id unless nothing else is in it. Repeated rows come back as often as they came in.
 """
@@ -184,6 +188,77 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     )
 
 
+# Odd multipliers that derive four hashes from one.
+STREAMS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)]
+LONG_BITS, LONG_SEGMENTS, SEGMENT_WIDTH = 256, 16, 16
+MARGIN_BITS = 4  # the distance of 256 bits scatters by about six around its expectation
+WORD_PARTS, SHINGLE_PARTS = (tuple(f"{kind}{k}" for k in range(4)) for kind in "ws")
+
+
+def _long_prints(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    parts = []
+    for stream in STREAMS:
+        h = hashes * stream
+        h ^= h >> np.uint64(32)
+        parts.append(majority(h * stream, counts).astype("<u8").view(np.int64))
+    return parts
+
+
+def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    owner = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, owner))
+    h, o = hashes[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    return h[new], np.bincount(o[new], minlength=len(counts))
+
+
+def long_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, w0..w3: fingerprint of the different words, s0..s3: of the different shingles) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in text_slices(batches):
+            parts = [p for n in (1, words) for p in _long_prints(*_distinct(*shingle_hashes(texts, n)))]
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, parts)], ["doc_id", *WORD_PARTS, *SHINGLE_PARTS])
+
+    schema = ", ".join(["doc_id long", *(f"{c} long" for c in (*WORD_PARTS, *SHINGLE_PARTS))])
+    return text_rows(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def most_bits(similarity: float) -> int:
+    """Distance of 256-bit fingerprints expected at this share of common shingles, plus a margin."""
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
+    return int(np.arccos(cosine) / np.pi * LONG_BITS) + MARGIN_BITS
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id: the smallest doc_id that links of this similarity reach) of every row.
+
+    The search finds a pair with a probability that depends on its distance (tests measure it); links that are found are
+    decided by the complete distance. Texts without words are one group.
+    """
+    parts = [*WORD_PARTS, *SHINGLE_PARTS]
+    prints = stage(long_fingerprints(docs, words, id_col, text_col).withColumn("node", F.xxhash64(*parts)))
+    classes = stage(prints.groupBy("node", *parts).agg(F.min("doc_id").alias("first_id")))
+    segments = [
+        F.shiftrightunsigned(w, SEGMENT_WIDTH * k).bitwiseAND(F.lit((1 << SEGMENT_WIDTH) - 1)) for w in WORD_PARTS for k in range(4)
+    ]
+    pairs = [(a, b) for a in range(LONG_SEGMENTS) for b in range(a + 1, LONG_SEGMENTS)]
+    keys = F.array(*[segments[a] + segments[b] * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(pairs)])
+    probes = classes.select("node", F.explode(keys).alias("key"))
+    tables = probes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    met = probes.join(tables, "key").select("node", F.explode(F.array("low", "high")).alias("hub"))
+    met = met.filter("node <> hub").select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst")).distinct()
+    shingles = classes.select("node", F.array(*SHINGLE_PARTS).alias("s"))
+    both = met.join(shingles.toDF("src", "s_src"), "src").join(shingles.toDF("dst", "s_dst"), "dst")
+    distance = sum((F.bit_count(F.get("s_src", k).bitwiseXOR(F.get("s_dst", k))) for k in range(4)), F.lit(0))
+    labels = components(both.filter(distance <= most_bits(similarity)).select("src", "dst"))
+    joined = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    named = joined.join(smallest, "label").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint as 16 hex digits, component_id: the smallest doc_id that links reach)."""
     prints = stage(fingerprints(docs, words, id_col, text_col))
