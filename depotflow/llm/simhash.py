@@ -9,7 +9,8 @@ copies is, so a star to the smallest one gives the same components as all pairs
 
 For near copies down to a given share of common shingles two bits are far too few. `similar_groups` searches a longer fingerprint of 256 bits over the
 different words, in 16 segments, by every pair of equal segments; each key is a table lookup whose first and last
-member are the candidates of all others (never all pairs), and the complete distance of 256 bits over word shingles decides.
+member are the candidates of all others (never all pairs). The complete distance of 256 bits over word shingles is verified, and what
+passes is checked exactly on the sets of shingles.
 
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
 and never becomes a component's id unless nothing else is in it. Repeated rows come back as often as they came in.
@@ -191,7 +192,7 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
 # Odd multipliers that derive four hashes from one.
 STREAMS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)]
 LONG_BITS, LONG_SEGMENTS, SEGMENT_WIDTH = 256, 16, 16
-MARGIN_BITS = 4  # the distance of 256 bits scatters by about six around its expectation
+MARGIN_BITS = 18  # the distance of 256 bits scatters by about six around its expectation
 WORD_PARTS, SHINGLE_PARTS = (tuple(f"{kind}{k}" for k in range(4)) for kind in "ws")
 
 
@@ -234,8 +235,8 @@ def most_bits(similarity: float) -> int:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id: the smallest doc_id that links of this similarity reach) of every row.
 
-    The search finds a pair with a probability that depends on its distance (tests measure it); links that are found are
-    decided by the complete distance. Texts without words are one group.
+    The search finds a pair with a probability that depends on its distance (tests measure it); whether what it finds is a link is
+    decided exactly. Texts without words are one group. Rows that share an id should not differ in text: the first decides.
     """
     parts = [*WORD_PARTS, *SHINGLE_PARTS]
     prints = stage(long_fingerprints(docs, words, id_col, text_col).withColumn("node", F.xxhash64(*parts)))
@@ -252,7 +253,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     shingles = classes.select("node", F.array(*SHINGLE_PARTS).alias("s"))
     both = met.join(shingles.toDF("src", "s_src"), "src").join(shingles.toDF("dst", "s_dst"), "dst")
     distance = sum((F.bit_count(F.get("s_src", k).bitwiseXOR(F.get("s_dst", k))) for k in range(4)), F.lit(0))
-    labels = components(both.filter(distance <= most_bits(similarity)).select("src", "dst"))
+    close = stage(both.filter(distance <= most_bits(similarity)).select("src", "dst"))
+    # the exact check: hashes of the different shingles of the texts in question, one text for each class
+    asked = close.select(F.col("src").alias("node")).unionAll(close.select(F.col("dst").alias("node"))).distinct()
+    firsts = classes.join(asked, "node").select("node", F.col("first_id").alias("_first"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "text").dropDuplicates(["node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in text_slices(batches):
+            hashes, counts = _distinct(*shingle_hashes(found, words))
+            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, hashes.view(np.int64))], ["node", "set"])
+
+    listed = texts.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sets, "node long, set array<long>")
+    listed = stage(listed)
+    sized = close.join(listed.toDF("src", "a"), "src").join(listed.toDF("dst", "b"), "dst")
+    common = F.size(F.array_intersect("a", "b"))
+    labels = components(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
     joined = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = joined.join(smallest, "label").select("node", "component_id")
