@@ -3,9 +3,8 @@
 A classifier learned from the labelled table gives every document a posterior for each domain. Rates are then fitted so
 that the expected tokens of each domain, the sum of rate * tokens * posterior over all documents, come closest to their
 targets in the least-squares sense, with every rate at or above a floor of at least zero. The fit is a projected gradient:
-starting from rate 1, each step moves all rates along their posteriors, scaled by the inverse Hessian over the
-documents that are free to move, and clips them at the floor. A step needs two small sums over all documents and no
-state but the list of steps so far, from which a row computes its own rate.
+starting from rate 1, each step moves all rates along their posteriors and clips them at the floor. A step needs a few sums over
+all documents and no state but the list of steps so far, from which a row computes its own rate.
 
 The classifier is a naive Bayes over hashed words. It is fitted on at most `SAMPLE` labelled documents, chosen by hash;
 only buckets whose frequency differs between domains beyond chance, and clearly, count.
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from depotflow.llm.common import stage
 
 SAMPLE, BUCKETS, LEAST_Z, LEAST_RATIO = 20_000, 8_192, 6.0, 1.0
-STEPS, CLOSE = 40, 1e-6
+STEPS, CLOSE, PATIENCE = 60, 1e-6, 10
 UNIFORM = 1 << 30
 DOMAINS = ("junk", "plain", "toxic")
 
@@ -93,44 +92,66 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] =
     return parts.withColumn("posterior", F.transform("_mx_exp", lambda x: x / norm)).drop("_mx_all", "_mx_exp", *[f"_mx_{k}" for k in range(len(domains))])
 
 
-def _rate(steps: list[np.ndarray], domains: int, floor: float) -> Column:
-    """A row's rate after the steps so far: each moves it along its posterior, and the floor clips it."""
+def _moved(steps: list[np.ndarray], domains: int, floor: float) -> Column:
+    """A row's rate after the steps so far, and the point ahead that the next one starts from.
+
+    A step is its momentum and one move for each domain: it moves the point ahead along the row's posterior, and the floor clips it.
+    """
+    begin = F.struct(F.lit(max(1.0, floor)).alias("rate"), F.lit(max(1.0, floor)).alias("ahead"))
     if not steps:
-        return F.greatest(F.lit(1.0), F.lit(floor))
+        return begin
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in step]) for step in steps])
 
-    def move(rate: Column, step: Column) -> Column:
-        along = sum((F.get(step, k) * F.get("posterior", k) for k in range(domains)), F.lit(0.0))
-        return F.greatest(rate + along, F.lit(floor))
+    def move(at: Column, step: Column) -> Column:
+        along = sum((F.get(step, k + 1) * F.get("posterior", k) for k in range(domains)), F.lit(0.0))
+        rate = F.greatest(at["ahead"] + along, F.lit(floor))
+        return F.struct(rate.alias("rate"), (rate + F.get(step, 0) * (rate - at["rate"])).alias("ahead"))
 
-    return F.aggregate(moves, F.greatest(F.lit(1.0), F.lit(floor)), move)
+    return F.aggregate(moves, begin, move)
 
 
 def fit_steps(members: DataFrame, targets: list[float], floor: float) -> list[np.ndarray]:
-    """The steps of the projected gradient; members: n_tokens and posterior of every document, staged."""
-    d = len(targets)
+    """The steps of the projected gradient; members: n_tokens and posterior of every document, staged.
+
+    First steps are scaled by the inverse Hessian of the documents free to move, which meets targets that can be met at once. When
+    such a step no longer closes half the gap it is taken back, and accelerated gradient steps of safe length go on.
+    """
+    d, wanted = len(targets), np.array(targets)
     total = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n")).first()["n"]
     if not total:
         return []
     steps: list[np.ndarray] = []
     share = F.col("n_tokens") / F.lit(float(total))
     p = [F.get("posterior", k) for k in range(d)]
-    last = math.inf
+    scaled, momentum, misses = True, 0, [math.inf]
     for _ in range(STEPS):
-        rated = members.withColumn("_rate", _rate(steps, d, floor))
-        free = F.when((F.col("_rate") > floor) | (F.col("_rate") >= 1), share).otherwise(0.0)
-        sums = [F.sum(share * F.col("_rate") * p[k]) for k in range(d)]
-        sums += [F.sum(free * p[i] * p[j]) for i in range(d) for j in range(i, d)]
-        got = rated.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first()
-        gap = np.array(targets) - np.array(got[:d], float)
-        worst = float(np.abs(gap).max())
-        if worst < CLOSE or worst > 0.999 * last and len(steps) > 3:
+        rated = members.withColumn("_at", _moved(steps, d, floor))
+        rate, ahead = F.col("_at.rate"), F.col("_at.ahead")
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        sums = [F.sum(share * x * p[k]) for x in (rate, ahead) for k in range(d)]
+        sums += [F.sum(share * weight * p[i] * p[j]) for weight in (F.lit(1.0), (rate > floor).cast("double")) for i, j in pairs]
+        got = np.array(rated.agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).first(), float)
+        miss = float(np.square(wanted - got[:d]).sum())
+        if miss < CLOSE**2:
+            break
+        if scaled and steps and miss > 0.25 * misses[-1]:
+            steps.pop()
+            scaled = False
+            continue
+        if not scaled and len(misses) > PATIENCE and miss > 0.99 * misses[-PATIENCE]:
             break
-        last = worst
-        hessian = np.zeros((d, d))
-        hessian[np.triu_indices(d)] = got[d:]
-        hessian = hessian + np.triu(hessian, 1).T + 1e-6 * np.eye(d)
-        steps.append(np.linalg.solve(hessian, gap))
+        momentum = 0 if miss > misses[-1] else momentum + 1
+        misses.append(miss)
+        hessian, free = (np.zeros((d, d)) for _ in range(2))
+        for matrix, values in ((hessian, got[2 * d :]), (free, got[2 * d + len(pairs) :])):
+            for (i, j), v in zip(pairs, values):
+                matrix[i, j] = matrix[j, i] = v
+        gap = wanted - got[d : 2 * d]
+        if scaled:
+            some = free if np.trace(free) > 0 else hessian
+            steps.append(np.concatenate(([0.0], np.linalg.solve(some + 1e-9 * np.eye(d), gap))))
+        else:
+            steps.append(np.concatenate(([momentum / (momentum + 3)], gap / np.linalg.eigvalsh(hessian)[-1])))
     return steps
 
 
@@ -150,7 +171,7 @@ def mix(
     whole = sum(targets.values())
     steps = fit_steps(members, [budget * targets.get(x, 0.0) / whole for x in domains], floor)
     chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(UNIFORM)) / F.lit(float(UNIFORM))
-    rated = rows.withColumn("rate", _rate(steps, len(domains), floor))
+    rated = rows.withColumn("rate", _moved(steps, len(domains), floor)["rate"])
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
 
 
