@@ -71,7 +71,7 @@ def read_turns(chats: DataFrame) -> DataFrame:
     role = F.last(F.when(F.col("tag") == "turn", F.col("body")), ignorenulls=True)
     parts = parts.withColumn("role", role.over(order)).filter(F.col("tag").isin("says", "and"))
     spans = chats.select(F.col("conv_id").alias("_conv"), F.explode("loss").alias("_span"))
-    masked = spans.select("_conv", F.col("_span.start").alias("_start"), F.col("_span.stop").alias("_stop"))
+    masked = spans.select("_conv", F.col("_span.start").alias("_start"), F.col("_span.stop").alias("_stop"), F.lit(True).alias("_learned"))
     under = (
         F.col("conv_id").eqNullSafe(F.col("_conv"))
         & (F.col("start") == F.col("_start"))
@@ -79,7 +79,7 @@ def read_turns(chats: DataFrame) -> DataFrame:
     )
     # an empty text may start where a span does; it must also end there
     return parts.join(masked.distinct(), under, "left").select(
-        "conv_id", "n", unescape(F.col("role")).alias("role"), unescape(F.col("body")).alias("text"), F.col("_conv").isNotNull().alias("learned")
+        "conv_id", "n", unescape(F.col("role")).alias("role"), unescape(F.col("body")).alias("text"), F.coalesce("_learned", F.lit(False)).alias("learned")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -10,14 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depotflow.session import stage
 
-__all__ = ["SLICE_BYTES", "partitions", "stage", "text_rows", "text_slices"]
+__all__ = ["SLICE_BYTES", "partitions", "reach_package", "stage", "text_rows", "text_slices"]
 
 # Texts are worked on in slices of about so many bytes, so that temporary arrays stay small; one text is never split.
 SLICE_BYTES = 2_000_000
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, also when it is not installed."""
+    root, env = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, as doc_id and text; a null text is empty. Other columns don't travel."""
+    reach_package(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from depotflow.llm.common import partitions, stage
+from depotflow.llm.common import reach_package, stage
 from depotflow.operators.positions import with_position
 
 ORDERINGS, DIRECTIONS, BITS, SEED = 24, 6, 8, 20_240
@@ -68,7 +68,7 @@ def nearest(
     """(query_id, rank from 1, vec_id, score: Euclidean distance) of the k nearest found for every row that `is_query`, an
     expression on the id column; ties go to the smaller id. Null ids take no part; rows of one id count as one candidate each.
     """
-    spark = vectors.sparkSession
+    reach_package(vectors.sparkSession)
     rows = vectors.filter(is_query.isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), is_query.alias("q")
     )

@@ -123,6 +123,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
     country = F.char_length(F.regexp_extract(value, r"^\+([0-9]{1,3})[ .(-]", 1))
     prefix = F.regexp_extract(value, rf"^(?i:{SECRET_NAMES})\s?[=:]\s?[\"']?", 0)
     kept = F.substring(value, F.char_length(prefix) + 1, F.char_length(value))
+    hexed = F.substring(F.sha2(seed, 512), F.lit(1), F.char_length(kept))
     title = F.regexp_extract(value, r"^\p{L}+\.? ", 0)
     script = F.when(value.rlike(r" \p{IsCyrillic}"), "cyrillic").when(value.rlike(r" \p{IsLatin}"), "latin")
     name = F.concat(title, _relettered(F.substring(value, F.char_length(title) + 1, F.char_length(value)), seed))
@@ -139,7 +140,7 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
         .when(kind == "card", card)
         .when(kind == "phone", _relettered(value, seed, country))
         .when(kind == "key", _relettered(value, seed, F.lit(4)))
-        .when(kind == "secret", F.concat(prefix, _relettered(kept, seed)))
+        .when(kind == "secret", F.concat(prefix, F.when(kept.rlike("^[0-9a-f]{16,128}$"), hexed).otherwise(_relettered(kept, seed))))
         .otherwise(name)
     )
 

@@ -116,7 +116,7 @@ class SequenceFile:
         of = {"ids": pa.from_numpy_dtype(dtype), "mask": pa.bool_(), "ends": pa.bool_()}
         self.schema = pa.schema([(name, pa.list_(pa.field("item", kind, False), length)) for name, kind in of.items()])
         self.writer = pa.ipc.new_stream(sink, self.schema)
-        self.first_at, self.batch_bytes, self.sequences, self.held = sink.tell(), 0, 0, 0
+        self.first_at = self.batch_bytes = self.sequences = self.held = 0
 
     def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
         self.kept.append((ids, ends))
@@ -131,9 +131,11 @@ class SequenceFile:
 
     def _write(self, *columns: np.ndarray) -> None:
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(c), type=f.type) for c, f in zip(columns, self.schema)]
-        at = self.sink.tell()
-        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
-        self.batch_bytes = self.batch_bytes or self.sink.tell() - at
+        batch = pa.RecordBatch.from_arrays(lists, schema=self.schema)
+        self.writer.write_batch(batch)
+        if not self.batch_bytes:  # the schema stands before the first batch
+            self.batch_bytes = pa.ipc.get_record_batch_size(batch)
+            self.first_at = self.sink.tell() - self.batch_bytes
         self.sequences += len(lists[0])
 
     def close(self) -> None:
