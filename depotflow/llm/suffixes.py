@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from depotflow.llm.common import partitions, stage, text_slices
+from depotflow.llm.common import partitions, reach_package, stage, text_slices
 
 LENGTH, GRAM = 200, 64
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
+KEY_BUCKETS = 1 << 20
 CHUNK = 20_000  # classes compared at a time; a gram's classes are never parted
 
 
@@ -213,6 +214,17 @@ def repeated_extents(
     return lefts, rights
 
 
+def _parted(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in `keys`, and those whose key is not, told by a table of occupied hash buckets.
+
+    The table has at most KEY_BUCKETS rows, so it can be sent to every executor; once nearly all buckets are occupied it spares nothing.
+    """
+    bucket = F.pmod(F.col("key"), F.lit(KEY_BUCKETS)).alias("bucket")
+    occupied = F.broadcast(keys.select(bucket).distinct())
+    tagged = rows.select("*", bucket)
+    return tuple(tagged.join(occupied, "bucket", how).drop("bucket") for how in ("left_semi", "left_anti"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, spans: (start, stop) of repeated stretches, unmerged) of (key, text), only for rows that have some."""
     reach, spark = length - gram, rows.sparkSession
@@ -224,16 +236,18 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             columns = [pa.array(grams), pa.array(around), keys.take(pa.array(text)), pa.array(at.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["gram", "around", "key", "at"])
 
-    found = stage(rows.select("key", "text").mapInArrow(find, place))
-    often = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # the anchors are found twice rather than stored: most grams occur once, and only their counts are shuffled then
+    found = rows.select("key", "text").mapInArrow(find, place)
+    often = stage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     kept = stage(found.join(often, "gram"))
     classes = kept.groupBy("gram", "around").agg(F.count("*").alias("n"), F.min(F.struct("key", "at")).alias("one"))
     classes = stage(classes.select("gram", "around", (F.col("n") > 1).alias("twice"), "one.key", "one.at"))
     several = classes.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     wanted = classes.join(several, "gram")
-    by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "around", "twice", "at")).alias("wanted"))  # of one text
+    by_text = stage(wanted.groupBy("key").agg(F.collect_list(F.struct("gram", "around", "twice", "at")).alias("wanted")))  # of one text
     raw = F.col("text").cast("binary")
-    texts = rows.select("key", raw.alias("raw")).join(by_text, "key")
+    maybe, _ = _parted(rows, by_text)
+    texts = maybe.select("key", raw.alias("raw")).join(by_text, "key")
 
     def surroundings(w):
         left, right = F.least(w["at"], F.lit(reach)), F.least(F.octet_length("raw") - w["at"] - gram, F.lit(reach))
@@ -284,6 +298,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept: the bytes that stay, kept_sha256) of every row."""
+    reach_package(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("key"))
     spans = stage(repeated_spans(rows, length, gram))
@@ -310,5 +325,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             columns = [pa.array(list(x), k) for x, k in zip(numbers, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    maybe, clean = _parted(rows, spans)
+    joined = maybe.join(spans, "key", "left").select("doc_id", "text", "spans")
+    whole = joined.unionByName(clean.select("doc_id", "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
+    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
