@@ -13,6 +13,8 @@ all their words, so only a text of just these words matches. Repeated rows and i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -47,21 +49,26 @@ def word_kind(word: Column) -> Column:
     )
 
 
-def template_windows(table: DataFrame, text_col: str) -> DataFrame:
-    """Adds `n_words` and `windows`, the hashes of all runs of WORDS template words; a shorter text has one window."""
-    hashed = table.withColumn(
-        "_h1", F.transform(marked_words(F.col(text_col)), lambda w: F.xxhash64(F.coalesce(word_kind(w), w)))
-    ).withColumn("n_words", F.size("_h1"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
 
-    def widen(df: DataFrame, name: str, left: str, right: str, by: int) -> DataFrame:
+def template_windows(text: Column) -> Column:
+    """Hashes of all runs of WORDS (five) template words; a text of fewer words has one, of all its words."""
+
+    def wider(left: Column, right: Column, by: int) -> Column:
         """Hash of a run from the hash of its beginning and of the rest, which starts `by` words later."""
-        shifted = F.slice(F.col(right), F.lit(by + 1), F.greatest(F.size(right) - by, F.lit(0)))
-        return df.withColumn(name, F.zip_with(F.col(left), shifted, lambda a, b: F.xxhash64(a, b)))
+        rest = F.slice(right, F.lit(by + 1), F.greatest(F.size(right) - by, F.lit(0)))
+        return F.zip_with(left, rest, lambda a, b: F.xxhash64(a, b))
+
+    def runs(one: Column) -> Column:
+        # past the end of the text a run is shorter than its place says; only a text that is short as a whole keeps one
+        whole = F.greatest(F.size(one) - (WORDS - 1), F.least(F.size(one), F.lit(1)))
+        five = _let(wider(one, one, 1), lambda two: _let(wider(two, two, 2), lambda four: wider(four, one, 4)))
+        return F.slice(five, F.lit(1), whole)
 
-    wide = widen(widen(widen(hashed, "_h2", "_h1", "_h1", 1), "_h4", "_h2", "_h2", 2), "_h5", "_h4", "_h1", 4)
-    # past the end of the text a run is shorter than its place says; only a text that is short as a whole keeps one
-    whole = F.greatest(F.col("n_words") - (WORDS - 1), F.least(F.col("n_words"), F.lit(1)))
-    return wide.withColumn("windows", F.slice("_h5", F.lit(1), whole)).drop("_h1", "_h2", "_h4", "_h5")
+    return _let(F.transform(marked_words(text), lambda w: F.xxhash64(F.coalesce(word_kind(w), w))), runs)
 
 
 def _slots(table: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -71,13 +78,13 @@ def _slots(table: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, coverage, n_slots, n_changed) of every document that holds an item, as it is or with other values."""
-    items = template_windows(benchmark.filter("item_id is not null").select("item_id", F.col("text").alias("_t")), "_t")
-    known = stage(items.select("item_id", F.posexplode("windows").alias("at", "window")))
+    items = benchmark.filter("item_id is not null")
+    known = stage(items.select("item_id", F.posexplode(template_windows(F.col("text"))).alias("at", "window")))
     totals = known.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"))
     small = known.count() <= BROADCAST_WINDOWS
     sought = F.broadcast(known) if small else known
     texts = docs.filter("doc_id is not null").select("doc_id", F.col("text").alias("_t"))
-    windows = template_windows(texts, "_t").select("doc_id", F.posexplode("windows").alias("pos", "window"))
+    windows = texts.select("doc_id", F.posexplode(template_windows(F.col("_t"))).alias("pos", "window"))
     hits = stage(windows.join(sought, "window").select("doc_id", "item_id", "pos", "at", "window"))
     covered = hits.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_found")).join(totals, "item_id")
     candidates = stage(
