@@ -57,9 +57,12 @@ class TestTables:
 
     @cached_property
     def site_of_supplier(self) -> DataFrame:
+        """Site of each supplier, staged: with its real size known, lines need not be shuffled to join it."""
         nations = self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        return self.table("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-            F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("warehouse_id")
+        return stage(
+            self.table("supplier")
+            .join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("warehouse_id"))
         )
 
     @cached_property
@@ -300,7 +303,9 @@ class TestTables:
 
     @cached_property
     def task_sites(self) -> DataFrame:
-        return self.task_source.select("warehouse_id").distinct()
+        """The sites on record: two of the three that tasks name, so that a check against them has something to find."""
+        key = F.col("r_regionkey")
+        return self.table("region").filter(key < SITES_OF_TASKS - 1).select(F.concat(F.lit("WH-"), key.cast("string")).alias("warehouse_id"))
 
     def location_batch(self, number: int) -> DataFrame:
         """Parts as storage locations, delivered three times with changes.

@@ -130,20 +130,21 @@ class Products:
         scores = self.current_scores(orders)
         return self.customers(orders, scores), scores, orders
 
+    WINBACK = experiments.Trial("winback_trial", "A letter brings back At Risk customers", "At Risk", "conversion_rate", TRIAL_START, TRIAL_END)
+
+    def registry(self) -> DataFrame:
+        return experiments.register(self.spark.createDataFrame([], experiments.REGISTRY_SCHEMA), self.WINBACK)
+
     def trial(self) -> DataFrame:
-        """Assignments of the retention test with outcomes; segments are as of the day of assignment."""
-        test = experiments.Trial(
-            "at_risk_retention_campaign", "Re-engagement raises the conversion of At Risk customers", "At Risk",
-            "conversion_rate", TRIAL_START, TRIAL_END,
-        )
-        registry = experiments.register(self.spark.createDataFrame([], experiments.REGISTRY_SCHEMA), test)
+        """Assignments of the win-back test; segments are as of the day of assignment."""
+        test, registry = self.WINBACK, self.registry()
         none = self.spark.createDataFrame([], experiments.ASSIGNMENT_SCHEMA)
         past = self.orders().filter(F.col("order_date") <= F.lit(TRIAL_START))
         known = self.customers(past, stage(customers.rfm_scores(past)))
         return experiments.assign(experiments.eligible(known, registry, none, test), none, test, TRIAL_START)
 
     def trial_outcomes(self) -> DataFrame:
-        return experiments.record_outcomes(self.trial(), self.orders(), "at_risk_retention_campaign")
+        return experiments.record_outcomes(self.trial(), self.orders(), self.WINBACK.name)
 
     # warehouse
     @once
@@ -437,7 +438,7 @@ def ab_outcomes(p: Products) -> DataFrame:
 
 @query
 def ab_analysis(p: Products) -> DataFrame:
-    return experiments.analyse(p.trial_outcomes())
+    return experiments.analyse(p.trial_outcomes(), p.registry())
 
 
 # -- warehouse -------------------------------------------------------------------------------------------------

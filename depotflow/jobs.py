@@ -5,12 +5,14 @@ Each job reads published table versions, writes its result and returns a small s
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from depotflow import schemas
-from depotflow.functions.text import snake_columns
+from depotflow.functions.text import snake_columns, to_boolean
 from depotflow.operators import experiments
 from depotflow.operators.positions import with_dense_key
 from depotflow.operators.profiling import profile_table
@@ -26,7 +28,7 @@ from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import stage
 from depotflow.sources import generated
 from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
-from depotflow.sources.tables import LoadResult, TableStore, aligned, full_refresh
+from depotflow.sources.tables import LoadResult, TableStore, aligned, full_refresh, log_steps
 
 
 class Jobs:
@@ -82,7 +84,7 @@ class Jobs:
         numbered = stage(star.fact_daily_demand(star.demand_rows(fresh, dates, skus, sites), loaded))
         rows = numbered.count()
         if rows:
-            audited = with_audit(numbered, utc(self.run_at), "daily_demand.csv (incremental)")
+            audited = with_audit(numbered, utc(self.run_at), "daily_demand.csv since the mark")
             self.store.append("fact_daily_demand", aligned(audited, "fact_daily_demand"))
         return date_load_status(mark, cutoff, rows), rows
 
@@ -96,6 +98,28 @@ class Jobs:
     def _active_demand(self) -> DataFrame:
         return forecasting.active_demand(self._table("fact_daily_demand"), *self._dimensions())
 
+    def run_forecast(self, train_from: date, test_from: date, test_to: date, basis_days: int = 61) -> int:
+        """All steps of a forecast run, each with a row in the run log, also when it fails; returns the id of the run."""
+        run_id = int(self.run_at.timestamp())
+        steps: dict[str, Callable[[], tuple[str, int]]] = {
+            "features": self.update_features,
+            "forecasts": lambda: ("OK", self.forecast(basis_days)),
+            "evaluation": lambda: ("OK", self.evaluate(train_from, test_from, test_to)),
+            "metrics": lambda: ("OK", self.record_metrics(run_id).count()),
+        }
+        for step, work in steps.items():
+            started = time.perf_counter()
+            status, rows, note = "FAILED", 0, ""
+            try:
+                status, rows = work()
+            except Exception as error:
+                note = str(error)[:200]
+                raise
+            finally:
+                seconds = round(time.perf_counter() - started, 3)
+                log_steps(self.store, [(step, status, rows, seconds, note)], utc(self.run_at), run_id)
+        return run_id
+
     def update_features(self, floor: date = forecasting.FIRST_LOAD_MARK) -> tuple[str, int]:
         """Append features of dates that are not stored yet."""
         stored = self._table("fact_feature_store")
@@ -142,7 +166,7 @@ class Jobs:
         return forecasting.planner_forecast(self._table("fact_forecast"), best, skus, self._table("dim_model"))
 
     def record_metrics(self, run_id: int) -> DataFrame:
-        """Append this run's mean error and feature rows to the history that drift checks compare."""
+        """Put this run's mean error and feature rows into the history that drift checks compare; a repeated run replaces its row."""
         mape = F.col("mape").cast("decimal(18,6)")
         row = self._table("fact_model_performance").agg(
             F.lit(run_id).cast("bigint").alias("run_id"),
@@ -150,8 +174,10 @@ class Jobs:
             F.count(F.lit(1)).alias("n_evaluations"),
         )
         features = self._table("fact_feature_store").agg(F.count(F.lit(1))).scalar()
-        self.store.append("metric_history", row.withColumn("feature_rows", features))
-        return self.store.read("metric_history")
+        row = row.withColumn("feature_rows", features)
+        if self.store.exists("metric_history"):
+            row = self.store.read("metric_history").filter(F.col("run_id") != run_id).unionByName(row)
+        return self.store.refresh("metric_history", row)
 
     def check_features(self) -> DataFrame:
         return checks.feature_checks(
@@ -213,10 +239,14 @@ class Jobs:
         registry = self.store.read("dim_ab_test_registry", experiments.REGISTRY_SCHEMA)
         registry = self.store.refresh("dim_ab_test_registry", experiments.register(registry, trial))
         known = self._table("fact_ab_assignments")
-        candidates = experiments.eligible(self._table("dim_customer"), registry, known, trial)
+        # segments as of the day of assignment, not today's
+        past = self._table("fact_orders").filter(F.col("order_date") <= F.lit(assigned))
+        people = customers.with_segment(self._table("dim_customer"), stage(customers.rfm_scores(past)))
+        candidates = experiments.eligible(people, registry, known, trial)
         grown = experiments.assign(candidates, known, trial, assigned)
         recorded = experiments.record_outcomes(grown, self._table("fact_orders"), trial.name)
-        return experiments.analyse(self.store.refresh("fact_ab_assignments", recorded).filter(F.col("test_name") == trial.name))
+        mine = self.store.refresh("fact_ab_assignments", recorded).filter(F.col("test_name") == trial.name)
+        return experiments.analyse(mine, registry)
 
     def check_customers(self) -> DataFrame:
         return checks.customer_checks(
@@ -230,7 +260,7 @@ class Jobs:
         whole = ("bay", "level", "capacity_units")
         batch = raw.withColumns(
             {c: F.col(c).try_cast("double").try_cast("int") for c in whole}
-            | {"active_flag": F.lower("active_flag").isin("true", "1", "yes"), "etl_loaded_at": utc(self.run_at)}
+            | {"active_flag": to_boolean("active_flag"), "etl_loaded_at": utc(self.run_at)}
         )
         history = self.store.read("dim_location", schemas.schema("dim_location")) if self.store.exists("dim_location") else (
             empty_history(batch, "location_surrogate_id")

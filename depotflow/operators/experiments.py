@@ -110,8 +110,8 @@ def record_outcomes(assignments: DataFrame, orders: DataFrame, test_name: str) -
     return assignments.filter(F.col("test_name") != test_name).unionByName(recorded)
 
 
-def analyse(assignments: DataFrame) -> DataFrame:
-    """One row per test: sizes, rates, lift, z-test, confidence interval, effect size and verdicts."""
+def analyse(assignments: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row per test: sizes, rates, lift, z-test, confidence interval, effect size and verdict on its registered segment."""
     in_group = lambda g: F.col("test_group") == g
     counts = assignments.groupBy("test_name").agg(
         F.count_if(in_group("test")).alias("n_test"),
@@ -122,28 +122,15 @@ def analyse(assignments: DataFrame) -> DataFrame:
     stats = two_proportions(
         F.col("conversions_test"), F.col("n_test"), F.col("conversions_control"), F.col("n_control")
     )
-    full = counts.select("*", *[c.alias(f"_{n}") for n, c in stats.items()])
+    targets = registry.select("test_name", "target_segment").dropDuplicates(["test_name"])
+    full = counts.select("*", *[c.alias(f"_{n}") for n, c in stats.items()]).join(targets, "test_name", "left")
     significant = F.col("_p_value") < SIGNIFICANCE
-    target = F.when(F.lower("test_name").contains("risk"), "At Risk").otherwise("")
-    verdict = F.when(
-        significant,
-        F.concat(
-            F.lit("SIGNIFICANT — test group shows "),
-            F.format_string("%+.1f", F.col("_lift_pct")),
-            F.lit("% lift in conversion rate. Recommend deploying to full "),
-            target,
-            F.lit(" segment."),
-        ),
-    ).otherwise(
-        F.concat(
-            F.lit("NOT SIGNIFICANT (p="),
-            F.format_string("%.3f", F.col("_p_value")),
-            F.lit(
-                ") — insufficient evidence to prefer test over control. "
-                "Consider running longer or with larger sample."
-            ),
-        )
+    verdict = F.concat(
+        F.when(significant & (F.col("_lift_pct") > 0), "adopt").when(significant, "reject").otherwise("undecided"),
+        F.coalesce(F.concat(F.lit(" for "), F.col("target_segment")), F.lit("")),
+        F.format_string(": %+.1f %% conversions, p %.3f", "_lift_pct", "_p_value"),
     )
+    verdict = F.when(F.col("_lift_pct").isNotNull() & F.col("_p_value").isNotNull(), verdict)
     return full.select(
         "test_name",
         "n_test",

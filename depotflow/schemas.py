@@ -72,7 +72,7 @@ TABLES = {
     "fact_cooccurrence": """pair_id bigint, sku_id_1 string, sku_id_2 string, warehouse_id string,
         co_occurrence_count bigint, co_occurrence_window string, lift_score double,
         last_calculated_at timestamp""",
-    "run_log": "step string, status string, rows_processed bigint, duration_s double, notes string, run_at timestamp",
+    "run_log": "step string, status string, rows_processed bigint, duration_s double, notes string, run_at timestamp, run_id bigint",
 }
 
 # Source files and the columns each must have.

@@ -105,8 +105,8 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def log_steps(store: TableStore, steps: list[tuple[str, str, int, float, str]], run_at: Column) -> None:
-    """Append one row per step (step, status, rows, seconds, notes) to the run log."""
+def log_steps(store: TableStore, steps: list[tuple[str, str, int, float, str]], run_at: Column, run_id: int) -> None:
+    """Append one row per step (step, status, rows, seconds, notes) of a run to the run log."""
     spark = store.spark
     rows = spark.createDataFrame(steps, "step string, status string, rows_processed bigint, duration_s double, notes string")
-    store.append("run_log", rows.withColumn("run_at", run_at).coalesce(1))
+    store.append("run_log", rows.withColumns({"run_at": run_at, "run_id": F.lit(run_id).cast("bigint")}).coalesce(1))

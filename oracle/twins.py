@@ -42,13 +42,13 @@ def _star_report() -> str:
     }
     rows = []
     for table, key in {**dims, **facts}.items():
-        rows.append(_rule(f"null_pk_{table}", views[table], f"{key} IS NULL", f"'table={table}, pk={key}'"))
+        rows.append(_rule(f"null_pk_{table}", views[table], f"{key} IS NULL", f"'{table}.{key}'"))
     for table, key in dims.items():
         view = views[table]
         rows.append(
             _row(
                 f"dup_pk_{table}", f"(SELECT count(*) FROM {view})",
-                f"(SELECT count(*) FROM (SELECT {key} FROM {view} GROUP BY 1 HAVING count(*) > 1))", f"'table={table}, pk={key}'",
+                f"(SELECT count(*) FROM (SELECT {key} FROM {view} GROUP BY 1 HAVING count(*) > 1))", f"'{table}.{key}'",
             )
         )
     for table in facts:
@@ -58,11 +58,11 @@ def _star_report() -> str:
             rows.append(
                 _rule(
                     f"ri_{table}_{fk}", view, f"{fk} IS NOT NULL AND {fk} NOT IN (SELECT {fk} FROM {views[dim]})",
-                    f"'{table}.{fk} → {dim}.{fk}'",
+                    f"'{fk} in {dim}'",
                 )
             )
         late = "date_key IN (SELECT date_key FROM stock_dates WHERE full_date NOT BETWEEN DATE '1995-01-01' AND DATE '2001-06-30')"
-        rows.append(_rule(f"date_range_{table}", view, late, "'expected 1995-01-01 to 2001-06-30'"))
+        rows.append(_rule(f"date_range_{table}", view, late, "'1995-01-01 .. 2001-06-30'"))
         rows.append(
             _row(
                 f"completeness_{table}", f"(SELECT count(*) FROM ({source[table]}))",
@@ -75,12 +75,12 @@ def _star_report() -> str:
         ("fact_inventory_snapshot", ("on_hand_qty", "available_qty")),
     ):
         for c in cols:
-            rows.append(_rule(f"qty_non_negative_{table}_{c}", views[table], f"{c} < 0", f"'table={table}, col={c}'"))
+            rows.append(_rule(f"qty_non_negative_{table}_{c}", views[table], f"{c} < 0", f"'{table}.{c}'"))
     rows.append(_rule("revenue_non_negative", "star_demand", "revenue < 0", "''"))
     rows.append(
         _rule(
             "stockout_consistency", "star_demand", "quantity_fulfilled > quantity_demanded",
-            "'stockout=TRUE but fulfilled > demanded'", applies="stockout_flag",
+            "'more fulfilled than demanded'", applies="stockout_flag",
         )
     )
     return f"""SELECT "check" AS check_name, status, rows_checked, rows_failed,
@@ -95,31 +95,29 @@ def _feature_report() -> str:
     cols = ["day_of_week", "week_of_year", "month", "quarter", "is_weekend", "season"]
     nulls = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in cols)
     skus, sites = "(SELECT count(DISTINCT sku_id) FROM series_items WHERE active_flag)", "(SELECT count(*) FROM region)"
-    listed = str(cols).replace("'", "''")
     return _all(
         [
-            _row("calendar_nulls", total, f"(SELECT {nulls} FROM series_features)", f"'cols checked: {listed}, nulls: ' || {_n('f')}"),
+            _row("calendar_nulls", total, f"(SELECT {nulls} FROM series_features)", f"{_n('f')} || ' empty cells'"),
             _row(
                 "rolling_avg_bounds", total,
                 "(SELECT count(*) FROM series_features WHERE rolling_avg_7 < 0 OR rolling_avg_14 < 0 OR rolling_avg_28 < 0)",
-                "'negative rolling avg rows: ' || CAST(f AS VARCHAR)",
+                f"{_n('f')} || ' below zero'",
             ),
             _row(
                 "row_count", total, f"greatest({skus} * {sites} - {total}, 0)",
-                f"""'actual=' || {_n("c")} || ', min_expected=' || {_n(f"{skus} * {sites}")} || ' (' || {skus} || ' SKUs × '
-                    || {sites} || ' warehouses)'""",
+                f"""{_n("c")} || ' of at least ' || {_n(f"{skus} * {sites}")}""",
             ),
             _row(
                 "lag1_correctness", f"(SELECT count(*) FROM {pairs})",
                 f"(SELECT count(*) FROM {pairs} WHERE abs(lag_1 - quantity_demanded) > 0.01)",
-                f"'checked ' || {_n('c')} || ' rows, ' || {_n('f')} || ' mismatches — edge rows filled with mean'",
+                f"{_n('f')} || ' of ' || {_n('c')} || ' differ'",
                 "CASE WHEN c = 0 OR f * 100.0 / c <= 5 THEN 'PASS' ELSE 'FAIL' END",
             ),
             _row(
                 "no_duplicates", total,
                 """(SELECT count(*) FROM (SELECT 1 FROM series_features GROUP BY sku_id, warehouse_id, feature_date
                     HAVING count(*) > 1))""",
-                f"'duplicate combinations: ' || {_n('f')}",
+                f"{_n('f')} || ' repeated keys'",
             ),
         ]
     )
@@ -132,7 +130,7 @@ DRIFT = """SELECT h.run_id, round(h.avg_mape, 4) AS avg_mape, round(p.avg_mape,
     h.n_evaluations, h.feature_rows, p.feature_rows AS prior_rows,
     CASE WHEN h.feature_rows > 0 AND (p.feature_rows IS NULL OR h.feature_rows >= p.feature_rows) THEN 'PASS' ELSE 'FAIL' END
         AS growth_status
-    FROM metric_history h LEFT JOIN metric_history p ON p.run_id = h.run_id - 1"""
+    FROM metric_history h LEFT JOIN metric_history p ON p.run_id = (SELECT max(run_id) FROM metric_history WHERE run_id < h.run_id)"""
 
 
 def _run_report() -> str:
@@ -140,21 +138,21 @@ def _run_report() -> str:
     within = f"c BETWEEN {expected} * 0.8 AND {expected} * 1.2"
     last = "(SELECT * FROM drift ORDER BY run_id DESC LIMIT 1)"
     return f"""SELECT * FROM (WITH drift AS ({DRIFT}) {_all([
-        _row("run_steps_completed", "(SELECT count(*) FROM metric_history)", "0", f"{_n('f')} || ' of ' || {_n('c')} || ' steps failed'"),
+        _row("run_steps_completed", "(SELECT count(*) FROM metric_history)", "0", f"{_n('f')} || ' of ' || {_n('c')} || ' not completed'"),
         _row(
             "forecast_row_count", "(SELECT count(*) FROM forecasts)",
             f"(SELECT CASE WHEN {within} THEN 0 ELSE abs(c - {expected}) END FROM (SELECT count(*) AS c FROM forecasts))",
-            f"'actual=' || {_n('c')} || ', expected≈' || {_n(expected)} || ', tolerance ±20%'",
+            f"{_n('c')} || ' where ' || {_n(expected)} || ' are usual'",
         ),
         _row(
             "no_missing_skus", "(SELECT count(DISTINCT sku_id) FROM series_items WHERE active_flag)",
             "(SELECT count(DISTINCT sku_id) FROM series_items WHERE active_flag AND sku_id NOT IN (SELECT sku_id FROM forecasts))",
-            f"{_n('f')} || ' of ' || {_n('c')} || ' active SKUs without forecast'",
+            f"{_n('f')} || ' of ' || {_n('c')} || ' not forecast'",
         ),
-        f'''SELECT 'mape_drift', drift_status, n_evaluations, 0, 'avg_mape=' || printf('%.4f', avg_mape)
-            || coalesce(' vs prior=' || printf('%.4f', prior_mape), ' — no prior run') FROM {last}''',
+        f'''SELECT 'mape_drift', drift_status, n_evaluations, 0, printf('%.4f', avg_mape)
+            || coalesce(' after ' || printf('%.4f', prior_mape), ' first run') FROM {last}''',
         f'''SELECT 'feature_store_growth', growth_status, feature_rows, 0,
-            'rows ' || coalesce({_n('prior_rows')}, '') || ' → ' || {_n('feature_rows')} FROM {last}''',
+            {_n('feature_rows')} || ' after ' || coalesce({_n('prior_rows')}, '') FROM {last}''',
     ])})"""
 
 
@@ -169,29 +167,29 @@ def _customer_report() -> str:
             ),
             _rule(
                 "rfm_referential_integrity", "scores", "customer_id NOT IN (SELECT customer_id FROM custdim)",
-                f"'rfm rows with no matching customer: ' || {_n('f')} || ' of ' || {_n('c')}",
+                f"{_n('f')} || ' of ' || {_n('c')} || ' unknown'",
             ),
             _rule(
                 "rfm_score_bounds", "scores",
                 "recency_score NOT BETWEEN 1 AND 5 OR frequency_score NOT BETWEEN 1 AND 5 OR monetary_score NOT BETWEEN 1 AND 5",
-                f"'rows with score outside 1-5: ' || {_n('f')} || ' of ' || {_n('c')}",
+                f"{_n('f')} || ' of ' || {_n('c')} || ' outside 1..5'",
             ),
             _row(
                 "no_ab_test_contamination", "(SELECT count(*) FROM outcomes)",
                 """(SELECT count(*) FROM (SELECT 1 FROM outcomes GROUP BY customer_id, test_name
                     HAVING count(DISTINCT test_group) > 1))""",
-                f"'customers in both test and control for same test: ' || {_n('f')}",
+                f"{_n('f')} || ' in both groups'",
             ),
             _rule(
                 "conversion_date_order", "outcomes", "assigned_at >= conversion_date",
-                f"'conversions before assignment date: ' || {_n('f')} || ' of ' || {_n('c')} || ' converted customers'",
+                f"{_n('f')} || ' of ' || {_n('c')} || ' too early'",
                 applies="converted_flag AND conversion_date IS NOT NULL",
             ),
             _row(
                 "segment_distribution", "(SELECT count(*) FROM custdim WHERE active_flag AND current_rfm_segment IS NOT NULL)",
                 f"""(SELECT CASE WHEN {champions} * 100.0 <= 15 * count(*) THEN 0 ELSE {champions} END FROM custdim
                     WHERE active_flag AND current_rfm_segment IS NOT NULL)""",
-                f"'Champions=' || {_n(champions)} || ' of ' || {_n('c')} || ' — threshold ≤15%'",
+                f"{_n(champions)} || ' of ' || {_n('c')}",
                 "CASE WHEN c = 0 THEN 'WARN' WHEN f = 0 THEN 'PASS' ELSE 'FAIL' END",
             ),
         ]
@@ -207,27 +205,27 @@ def _task_report() -> str:
         [
             _rule(
                 "duration_bounds", "tasks", "duration_min <= 0 OR duration_min > 120",
-                f"'tasks with duration ≤0 or >120min: ' || {of}", "WARN",
+                f"{of} || ' out of bounds'", "WARN",
             ),
-            _rule("accuracy_flag_values", "tasks", "accuracy_flag IS NULL", f"'tasks with null accuracy_flag: ' || {_n('f')}"),
+            _rule("accuracy_flag_values", "tasks", "accuracy_flag IS NULL", f"{_n('f')} || ' empty'"),
             _rule(
                 "error_code_consistency", "tasks", "accuracy_flag AND error_code NOT IN ('', 'None')",
-                f"'tasks with error_code but accuracy_flag=True: ' || {_n('f')}", "WARN",
+                f"{_n('f')} || ' accurate with a code'", "WARN",
             ),
-            _rule("warehouse_ref_integrity", "tasks", "warehouse_id IS NULL", f"'tasks with unknown warehouse_id: ' || {of}"),
+            _rule("warehouse_ref_integrity", "tasks", "warehouse_id IS NULL OR warehouse_id NOT IN ('WH-0', 'WH-1')", f"{of} || ' unknown'"),
             _row(
                 "no_duplicate_task_ids", "(SELECT count(*) FROM tasks)", "(SELECT count(*) - count(DISTINCT task_id) FROM tasks)",
                 f"'total=' || {_n('c')} || ', distinct=' || {_n('c - f')} || ', duplicates=' || {_n('f')}",
             ),
             _row(
                 "daily_pick_volume", f"(SELECT count(*) FROM {daily})", f"(SELECT count(*) FROM {daily} WHERE n NOT BETWEEN 50 AND 500)",
-                f"'warehouse-day combinations outside expected range (50–500 picks/day): ' || {of}", status,
+                f"'site days out of band: ' || {of}", status,
             ),
             _row(
                 "operator_productivity", f"(SELECT count(*) FROM {shifts})",
                 f"""(SELECT count(*) FROM {shifts}, (SELECT avg(n) AS mean, stddev_samp(n) AS std FROM {shifts})
                     WHERE abs(n - mean) > 3 * std)""",
-                f"'operator-shift records beyond ±3σ from mean: ' || {of}", status,
+                f"'shifts far from the mean: ' || {of}", status,
             ),
         ]
     )
@@ -290,10 +288,8 @@ Z_TEST = f"""
         round(pc, 4) AS conversion_rate_control, round(lift, 2) AS lift_pct, round(z, 4) AS z_statistic, round(p, 4) AS p_value,
         p < 0.05 AS significant, p < 0.05 AND lift > 0 AS deploy, round(pt - pc - 1.96 * sd, 4) AS ci_lower_95,
         round(pt - pc + 1.96 * sd, 4) AS ci_upper_95, round(abs(2 * asin(sqrt(pt)) - 2 * asin(sqrt(pc))), 4) AS cohens_h,
-        CASE WHEN p < 0.05 THEN 'SIGNIFICANT — test group shows ' || printf('%+.1f', lift)
-             || '% lift in conversion rate. Recommend deploying to full At Risk segment.'
-             ELSE 'NOT SIGNIFICANT (p=' || printf('%.3f', p) || ') — insufficient evidence to prefer test over control. '
-             || 'Consider running longer or with larger sample.' END AS recommendation
+        CASE WHEN p < 0.05 AND lift > 0 THEN 'adopt' WHEN p < 0.05 THEN 'reject' ELSE 'undecided' END || ' for At Risk: '
+            || printf('%+.1f', lift) || ' % conversions, p ' || printf('%.3f', p) AS recommendation
     FROM (SELECT *, (0.254829592 * t - 0.284496736 * t ** 2 + 1.421413741 * t ** 3 - 1.453152027 * t ** 4 + 1.061405429 * t ** 5)
                     * exp(-x * x) AS p
           FROM (SELECT *, {ERF} AS t FROM (SELECT *, abs(z) / sqrt(2) AS x FROM (

@@ -295,9 +295,9 @@ VIEWS = {
     "past_scores": rfm("past_orders"),
     "past_custdim": customers_with("past_scores", "past_orders"),
     "assigned": """SELECT row_number() OVER (ORDER BY test_group DESC, customer_id) AS assignment_id, customer_id,
-        'at_risk_retention_campaign' AS test_name, test_group, DATE '2000-08-01' AS assigned_at, DATE '2001-08-01' AS test_end_date
+        'winback_trial' AS test_name, test_group, DATE '2000-08-01' AS assigned_at, DATE '2001-08-01' AS test_end_date
         FROM (SELECT customer_id, CASE WHEN row_number() OVER (
-                  ORDER BY md5('42|at_risk_retention_campaign|' || customer_id), customer_id)
+                  ORDER BY md5('42|winback_trial|' || customer_id), customer_id)
                   <= floor(count(*) OVER () * 0.5) THEN 'test' ELSE 'control' END AS test_group
               FROM past_custdim WHERE current_rfm_segment = 'At Risk' AND active_flag)""",
     "outcomes": """SELECT a.*, first_order IS NOT NULL AS converted_flag, first_order AS conversion_date,

@@ -173,3 +173,11 @@ def test_profile(frame):
 def test_null_census(frame):
     rows = null_census(frame("a int, b int", [(1, None), (None, None)])).collect()
     assert {r.column: (r.null_count, r.null_pct) for r in rows} == {"a": (1, 50.0), "b": (2, 100.0)}
+
+
+def test_drift_compares_with_the_largest_smaller_run(frame):
+    history = frame("run_id bigint, avg_mape double, n_evaluations bigint, feature_rows bigint", [(1, 10.0, 5, 100), (3, 50.0, 5, 50), (7, 51.0, 5, 60)])
+    rows = {r.run_id: r for r in checks.metric_drift(history).collect()}
+    assert rows[1].prior_mape is None and rows[1].drift_status == "PASS"
+    assert rows[3].prior_mape == 10.0 and (rows[3].drift_status, rows[3].growth_status) == ("FAIL", "FAIL")
+    assert rows[7].prior_rows == 50 and (rows[7].drift_status, rows[7].growth_status) == ("PASS", "PASS")

@@ -55,15 +55,15 @@ def test_outcomes_count_only_orders_inside_the_window(frame, empty):
 
 def groups(frame, test, control):
     rows = [("t", "test", i < test[0]) for i in range(test[1])] + [("t", "control", i < control[0]) for i in range(control[1])]
-    return ab.analyse(frame("test_name string, test_group string, converted_flag boolean", rows)).first()
+    registry = frame("test_name string, target_segment string", [("t", "At Risk"), ("other", "Lost")])
+    return ab.analyse(frame("test_name string, test_group string, converted_flag boolean", rows), registry).first()
 
 
 def test_analysis(frame):
     good = groups(frame, (30, 60), (12, 60))
-    assert good.significant and good.deploy and good.lift_pct == 150.0 and good.recommendation.startswith("SIGNIFICANT")
-    assert "+150.0% lift" in good.recommendation
+    assert good.significant and good.deploy and good.lift_pct == 150.0 and good.recommendation.startswith("adopt for At Risk: +150.0 %")
     bad = groups(frame, (12, 60), (30, 60))
-    assert bad.significant and not bad.deploy and bad.lift_pct == -60.0
+    assert bad.significant and not bad.deploy and bad.lift_pct == -60.0 and bad.recommendation.startswith("reject")
     none = groups(frame, (0, 30), (0, 30))
     assert (none.z_statistic, none.p_value, none.significant, none.lift_pct, none.cohens_h) == (0.0, 1.0, False, 0.0, 0.0)
     alone = groups(frame, (3, 10), (0, 0))

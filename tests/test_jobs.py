@@ -69,7 +69,7 @@ def test_star_and_forecast(spark, store, sources, tmp_path):
     plan = j.planner_forecast()
     assert plan.count() == series.count() * 30 and plan.columns[0] == "SKU_ID"
     assert j.record_metrics(1).count() == 1 and j.record_metrics(2).count() == 2
-    log_steps(store, [("features", "OK", 1, 0.1, ""), ("models", "OK", 1, 0.1, "")], F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    log_steps(store, [("features", "OK", 1, 0.1, ""), ("models", "OK", 1, 0.1, "")], F.lit("2024-01-01 00:00:00").cast("timestamp"), 1)
     report = j.check_forecast(basis_days=180)
     # an active item that was not ordered in the basis window has no forecast
     assert {r.check for r in report.collect() if r.status != "PASS"} <= {"no_missing_skus"}

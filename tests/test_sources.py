@@ -102,7 +102,7 @@ def test_run_log_appends(store):
     from datetime import datetime
 
     for hour in (1, 2):
-        tables.log_steps(store, [("features", "OK", 5, 0.5, ""), ("models", "OK", 7, 0.1, "")], utc(datetime(2024, 1, 1, hour)))
+        tables.log_steps(store, [("features", "OK", 5, 0.5, ""), ("models", "OK", 7, 0.1, "")], utc(datetime(2024, 1, 1, hour)), hour)
     assert store.read("run_log").count() == 4
     assert store.read("run_log").columns == schemas.columns("run_log")
 
