@@ -24,7 +24,8 @@ from depotflow.operators.versions import (
 from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import shared_folder, stage, tune
 from depotflow.sources.generated import date_dimension, model_dimension, site_dimension
-from depotflow.sources.tables import TableStore
+from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
+from depotflow.sources.tables import TableStore, full_refresh, log_steps, publish_view
 from depotflow.streaming.loads import drain, load_by_date, load_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,6 +211,42 @@ def dim_supplier(p: Products) -> DataFrame:
     return p.suppliers()
 
 
+@query
+def csv_suppliers(p: Products) -> DataFrame:
+    """Suppliers delivered as a CSV file: contract checked, typed, stamped, loaded twice by full refresh, read back."""
+    store = p.new_store()
+    required = {"suppliers.csv": schemas.REQUIRED_COLUMNS["suppliers.csv"]}
+    export_csv(p.t.supplier_source, f"{store.root}/landing/suppliers.csv")
+    delivered = read_all(p.spark, f"{store.root}/landing", required)["suppliers"]
+    for _ in range(2):
+        loaded = with_audit(star.dim_supplier(delivered), F.current_timestamp(), "suppliers.csv")
+        result = full_refresh(store, "dim_supplier", loaded)
+    if result.status != "OK":
+        raise ValueError(result.message or result.status)
+    return store.read("dim_supplier").drop("etl_loaded_at")
+
+
+@query
+def csv_champions(p: Products) -> DataFrame:
+    """The champion list as its planners get it: a view, exported in reading order, read back from the CSV files."""
+    dim, scores, _ = p.mart_inputs()
+    view = publish_view(stage(customers.customer_list(dim, scores, "Champions", customers.CHAMPION_ACTION)), "v_champion_customers")
+    store = p.new_store()
+    export_csv(p.spark.table("v_champion_customers"), f"{store.root}/champions", [F.desc("monetary_value"), "customer_id"])
+    back = read_csv(p.spark, f"{store.root}/champions")
+    return back.select(*[F.col(f.name).cast(f.dataType) for f in view.schema])
+
+
+@query
+def run_log_latest(p: Products) -> DataFrame:
+    """Steps of the latest run in a log of two runs, the first of which failed."""
+    store = p.new_store()
+    rows = {name: p.t.table(name).count() for name in ("lineitem", "orders")}
+    log_steps(store, [("lineitem", "FAILED", 0, 0.0, "no rows")], F.current_timestamp(), 1)
+    log_steps(store, [(name, "OK", n, 0.0, "") for name, n in rows.items()], F.current_timestamp(), 2)
+    return checks.latest_run(store.read("run_log")).select("run_id", "step", "status", "rows_processed")
+
+
 @query
 def dim_sku(p: Products) -> DataFrame:
     return p.skus()

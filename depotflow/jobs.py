@@ -77,7 +77,7 @@ class Jobs:
         """Append demand after the largest loaded date (after `floor` for an empty fact), up to the cutoff."""
         dates, skus, sites = self._dimensions()
         loaded = self._table("fact_daily_demand")
-        mark = watermark(loaded.join(dates, "date_key"), "full_date", floor)
+        mark = watermark(dates.join(loaded.agg(F.max("date_key").alias("date_key")), "date_key"), "full_date", floor)
         if mark >= cutoff:
             return date_load_status(mark, cutoff, 0), 0
         fresh = after_watermark(star.clean_demand(self._csv("daily_demand")), "date", mark, cutoff)

@@ -156,11 +156,8 @@ def forecast_checks(
     horizon: int,
 ) -> DataFrame:
     """5 checks of a forecast run; drift and growth compare the last two runs of the metric history."""
-    if "run_id" in run_log.columns:  # the log keeps all runs; the latest is judged
-        latest = run_log.agg(F.max("run_id").alias("run_id"))
-        run_log = run_log.join(F.broadcast(latest), "run_id", "left_semi")
     steps = run_row_rules(
-        run_log,
+        latest_run(run_log) if "run_id" in run_log.columns else run_log,
         [
             RowRule(
                 "run_steps_completed", ~F.col("status").isin(*PASSING_STATUSES), sentence("{failed} of {checked} not completed")
@@ -189,6 +186,11 @@ def forecast_checks(
     return report([steps, row_count, coverage, *history_checks(metric_history)])
 
 
+def latest_run(run_log: DataFrame) -> DataFrame:
+    """The steps of the latest run; the log keeps all runs."""
+    return run_log.join(F.broadcast(run_log.agg(F.max("run_id").alias("run_id"))), "run_id", "left_semi")
+
+
 def metric_drift(history: DataFrame) -> DataFrame:
     """Per run: mean MAPE and feature rows against the run before, the one with the largest smaller id."""
     runs = F.array_sort(F.collect_list(F.struct("run_id", "avg_mape", "n_evaluations", "feature_rows")))

@@ -312,6 +312,10 @@ _QUERIES = {
     "dim_date": "SELECT * FROM star_dates",
     "dim_warehouse": "SELECT * FROM sites",
     "dim_supplier": "SELECT * FROM star_suppliers",
+    "csv_suppliers": "SELECT *, 'suppliers.csv' AS etl_source_file FROM star_suppliers",
+    "csv_champions": _customer_list("Champions", "Upsell / loyalty programme — premium tier invitation"),
+    "run_log_latest": """SELECT CAST(2 AS BIGINT) AS run_id, 'lineitem' AS step, 'OK' AS status, count(*) AS rows_processed FROM lineitem
+        UNION ALL SELECT 2, 'orders', 'OK', count(*) FROM orders""",
     "dim_sku": "SELECT * FROM star_skus",
     "fact_daily_demand": "SELECT * FROM star_demand",
     "fact_inventory_snapshot": "SELECT * FROM star_stock",
