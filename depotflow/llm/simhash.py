@@ -247,7 +247,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     pairs = [(a, b) for a in range(LONG_SEGMENTS) for b in range(a + 1, LONG_SEGMENTS)]
     keys = F.array(*[segments[a] + segments[b] * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(pairs)])
     probes = classes.select("node", F.explode(keys).alias("key"))
-    tables = probes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
+    # staged, so that adaptive execution can split the join where a group of near copies makes a key hot
+    tables = stage(probes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"))
     met = probes.join(tables, "key").select("node", F.explode(F.array("low", "high")).alias("hub"))
     met = met.filter("node <> hub").select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst")).distinct()
     shingles = classes.select("node", F.array(*SHINGLE_PARTS).alias("s"))
