@@ -106,3 +106,26 @@ def test_large_session_is_joined_in_blocks(spark):
     support = baskets.select("site", "item", F.lit(1).cast("bigint").alias("c"), F.lit(2).cast("bigint").alias("n"))
     pairs = pair_lifts(baskets, support, "site", ["day"])
     assert pairs.count() == items * (items - 1) // 2 and "_block" in plan(pairs)
+
+
+@pytest.fixture
+def staged_plans(monkeypatch):
+    """Plans of everything a query writes while it is built."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **options):
+        seen.append(plan(self._df))
+        return write(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    return seen
+
+
+@pytest.mark.parametrize("name", ["fact_daily_demand", "fact_inventory_snapshot"])
+def test_lines_are_not_shuffled_to_find_their_site(spark, staged_plans, name):
+    text = "\n".join([plan(QUERIES[name](spark, FOLDER)), *staged_plans])
+    assert "l_orderkey" not in text and "lineitem" in text
+    assert "hashpartitioning(l_suppkey" not in text
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
