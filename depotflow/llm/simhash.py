@@ -8,8 +8,8 @@ the key holds the other segment too, a key never has more than 65 different fing
 copies is, so a star to the smallest one gives the same components as all pairs would.
 
 For near copies down to a given share of common shingles two bits are far too few. `similar_groups` searches a longer fingerprint of 256 bits over the
-different words, in 16 segments, by every pair of equal segments; each key is a table lookup whose first and last
-member are the candidates of all others (never all pairs). The complete distance of 256 bits over word shingles is verified, and what
+different words, in 16 segments, by every pair of equal segments; each key is a table lookup whose first
+member is the candidate of all others (never all pairs). The complete distance of 256 bits over word shingles is verified, and what
 passes is checked exactly on the sets of shingles.
 
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
@@ -248,8 +248,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     keys = F.array(*[segments[a] + segments[b] * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(pairs)])
     probes = classes.select("node", F.explode(keys).alias("key"))
     # staged, so that adaptive execution can split the join where a group of near copies makes a key hot
-    tables = stage(probes.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high"))
-    met = probes.join(tables, "key").select("node", F.explode(F.array("low", "high")).alias("hub"))
+    tables = stage(probes.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last").drop("_last"))
+    met = probes.join(tables, "key").select("node", "hub")
     met = met.filter("node <> hub").select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst")).distinct()
     shingles = classes.select("node", F.array(*SHINGLE_PARTS).alias("s"))
     both = met.join(shingles.toDF("src", "s_src"), "src").join(shingles.toDF("dst", "s_dst"), "dst")
