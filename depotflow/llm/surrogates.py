@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from depotflow.llm.common import stage
+from depotflow.llm.common import bound, stage
 
 ROUNDS = 20
 WORD = r"\p{L}0-9._%+-"
@@ -80,15 +80,20 @@ def _draw(seed: Column, at: Column | int, n: int) -> Column:
 def _relettered(text: Column, seed: Column, skip: Column | None = None) -> Column:
     """Each letter and digit becomes another of its script; the draw depends on its number among them, so other spellings agree."""
 
-    def swap(char: Column, at: Column) -> Column:
-        number = F.char_length(F.regexp_replace(F.substring(text, 1, at + 1), r"[^\p{L}0-9]", ""))
-        out = char
-        for low, high, letters in SCRIPTS:
-            pick = F.substring(F.lit(letters), _draw(seed, number, len(letters)).cast("int") + 1, 1)
-            out = F.when((char >= low) & (char <= high), pick).otherwise(out)
-        return out if skip is None else F.when(number <= skip, char).otherwise(out)
+    def letters(whole: Column) -> Column:
+        def swap(char: Column, at: Column) -> Column:
+            def other(number: Column) -> Column:
+                out = char
+                for low, high, alphabet in SCRIPTS:
+                    pick = F.substring(F.lit(alphabet), _draw(seed, number, len(alphabet)).cast("int") + 1, 1)
+                    out = F.when((char >= low) & (char <= high), pick).otherwise(out)
+                return out if skip is None else F.when(number <= skip, char).otherwise(out)
 
-    return F.array_join(F.transform(F.split(text, ""), swap), "")
+            return bound(F.char_length(F.regexp_replace(F.substring(whole, F.lit(1), at + 1), r"[^\p{L}0-9]", "")), other)
+
+        return F.array_join(F.transform(F.split(whole, ""), swap), "")
+
+    return bound(text, letters)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -105,21 +110,31 @@ def luhn_sum(digits: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
     """What stands for `value`, in its format."""
-    canon = canonical(kind, value)
-    seed = F.sha2(F.concat_ws("|", F.lit(secret), kind, canon, attempt.cast("string")), 256)
+    host = F.lower(F.substring_index(value, "@", -1))
+    given = F.struct(
+        kind.alias("kind"), value.alias("value"), canonical(kind, value).alias("canon"), attempt.cast("string").alias("attempt"),
+        F.sha2(F.concat_ws("|", F.lit(secret), F.lit("host"), host), 256).alias("of_host"),
+    )
+    seeded = lambda e: F.sha2(F.concat_ws("|", F.lit(secret), e["kind"], e["canon"], e["attempt"]), 256)
+    return bound(given, lambda e: bound(seeded(e), lambda seed: _drawn(e["kind"], e["value"], e["canon"], seed, e["of_host"])))
+
+
+def _drawn(kind: Column, value: Column, canon: Column, seed: Column, of_host: Column) -> Column:
     ip = F.concat_ws(".", *[(_draw(seed, k, 254) + 1).cast("string") for k in range(4)])
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     ending = F.substring_index(host, ".", -1)
     front = F.substring(host, F.lit(1), F.char_length(host) - F.char_length(ending))
-    # addresses of one host keep sharing one host, unless they draw again
-    of_host = F.sha2(F.concat_ws("|", F.lit(secret), F.lit("host"), F.lower(host)), 256)
+    # addresses of one host keep sharing one host
     email = F.concat(_relettered(local, seed), F.lit("@"), _relettered(front, of_host), ending)
-    drawn = _relettered(value, seed, F.lit(1))  # the first digit tells the issuer
-    digits = F.regexp_replace(drawn, "[^0-9]", "")
-    open_ = F.concat(F.substring(digits, F.lit(1), F.char_length(digits) - 1), F.lit("0"))
-    check = F.pmod(-luhn_sum(open_), F.lit(10)).cast("string")
-    valid = luhn_sum(canon) % 10 == 0
-    card = F.when(valid, F.concat(F.substring(drawn, F.lit(1), F.char_length(drawn) - 1), check)).otherwise(drawn)
+
+    def checked(drawn: Column) -> Column:
+        digits = F.regexp_replace(drawn, "[^0-9]", "")
+        open_ = F.concat(F.substring(digits, F.lit(1), F.char_length(digits) - 1), F.lit("0"))
+        check = F.pmod(-luhn_sum(open_), F.lit(10)).cast("string")
+        valid = luhn_sum(canon) % 10 == 0
+        return F.when(valid, F.concat(F.substring(drawn, F.lit(1), F.char_length(drawn) - 1), check)).otherwise(drawn)
+
+    card = bound(_relettered(value, seed, F.lit(1)), checked)  # the first digit tells the issuer
     country = F.char_length(F.regexp_extract(value, r"^\+([0-9]{1,3})[ .(-]", 1))
     prefix = F.regexp_extract(value, rf"^(?i:{SECRET_NAMES})\s?[=:]\s?[\"']?", 0)
     kept = F.substring(value, F.char_length(prefix) + 1, F.char_length(value))
