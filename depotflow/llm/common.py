@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from depotflow.session import stage
 
-__all__ = ["SLICE_BYTES", "bound", "partitions", "reach_package", "stage", "text_rows", "text_slices"]
+__all__ = ["SLICE_BYTES", "bound", "partitions", "reach_package", "stage", "text_key", "text_rows", "text_slices"]
 
 # Texts are worked on in slices of about so many bytes, so that temporary arrays stay small; one text is never split.
 SLICE_BYTES = 2_000_000
@@ -32,6 +32,11 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts apart; a null text is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value computed once, wherever the optimizer moves the expression."""
     return F.get(F.transform(F.array(value), body), 0)

@@ -7,10 +7,11 @@ most two bits exactly if they meet: one step from either side covers every way t
 the key holds the other segment too, a key never has more than 65 different fingerprints, however large a group of near
 copies is, so a star to the smallest one gives the same components as all pairs would.
 
-For near copies down to a given share of common shingles two bits are far too few. `similar_groups` searches a longer fingerprint of 256 bits over the
-different words, in 16 segments, by every pair of equal segments; each key is a table lookup whose first
-member is the candidate of all others (never all pairs). The complete distance of 256 bits over word shingles is verified, and what
-passes is checked exactly on the sets of shingles.
+For near copies down to a given share of common shingles two bits are far too few. `similar_groups` joins the sets of shingles on
+prefixes: in an order that all sets share, two sets of that similarity have an element in common among the first few of both, so no pair
+is missed. Each key first offers its first member to all others; then all members of a key that are not in one
+component yet are compared. Sizes and parity bitmaps rule out pairs by bounds that hold for certain; what passes is
+checked exactly on the sets of shingles.
 
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
 and never becomes a component's id unless nothing else is in it. Repeated rows come back as often as they came in.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from depotflow.llm.common import stage, text_rows, text_slices
+from depotflow.llm.common import reach_package, stage, text_key, text_rows, text_slices
 from depotflow.llm.components import components
 
 # Fixed values of the contract: white space, the five 64-bit primes of the public XXH64 description, and its seed.
@@ -189,23 +190,17 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     )
 
 
-# Odd multipliers that derive four hashes from one.
-STREAMS = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93)]
-LONG_BITS, LONG_SEGMENTS, SEGMENT_WIDTH = 256, 16, 16
-MARGIN_BITS = 18  # the distance of 256 bits scatters by about six around its expectation
-WORD_PARTS, SHINGLE_PARTS = (tuple(f"{kind}{k}" for k in range(4)) for kind in "ws")
-
-
-def _long_prints(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    parts = []
-    for stream in STREAMS:
-        h = hashes * stream
-        h ^= h >> np.uint64(32)
-        parts.append(majority(h * stream, counts).astype("<u8").view(np.int64))
-    return parts
+SET_MIX = np.uint64(0xBF58476D1CE4E5B9)  # an odd multiplier
+# Bits of the parity bitmap of a set: the distance of two bitmaps never exceeds the number of elements the sets don't share.
+MAP_WORDS, MAP_SHIFT = 16, np.uint64(20)
+# How common a shingle is, is estimated from so many texts and kept for so many shingles. It decides the order of the search only,
+# never its result.
+ORDER_TEXTS, ORDER_SHINGLES, ORDER_LEAST = 20_000, 500_000, 3
+KEY_BITS = 48  # of a shingle's hash; shingles that share them are told apart by the exact check
 
 
 def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes of each text in ascending order, and how many each text has."""
     owner = np.repeat(np.arange(len(counts)), counts)
     order = np.lexsort((hashes, owner))
     h, o = hashes[order], owner[order]
@@ -214,68 +209,149 @@ def _distinct(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[new], np.bincount(o[new], minlength=len(counts))
 
 
-def long_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, w0..w3: fingerprint of the different words, s0..s3: of the different shingles) of every row."""
+def _set_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One hash for each set, whatever the order of its elements; zero for the empty set."""
+    mixed = (hashes ^ (hashes >> np.uint64(31))) * SET_MIX
+    mixed ^= mixed >> np.uint64(29)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * P1, dtype=np.uint64)))
+    ends = np.cumsum(counts)
+    return sums[ends] - sums[ends - counts]
+
+
+def _parity_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(counts) * MAP_WORDS, np.uint64)
+    bit = (hashes >> MAP_SHIFT) % np.uint64(64 * MAP_WORDS)
+    at = np.repeat(np.arange(len(counts)), counts) * MAP_WORDS + (bit >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+    return out
+
+
+def prefix_sizes(counts: np.ndarray, similarity: float) -> np.ndarray:
+    """How many first elements of a set, in an order all sets share, hold one of every set of this similarity."""
+    return np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1, 0)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), values.view(np.int64))
+
+
+def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that several of a sample of the texts (doc_id: hash of the text, text) hold, and in how many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_slices(batches):
-            parts = [p for n in (1, words) for p in _long_prints(*_distinct(*shingle_hashes(texts, n)))]
-            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, parts)], ["doc_id", *WORD_PARTS, *SHINGLE_PARTS])
+        for _, found in text_slices(batches):
+            hashes, _ = _distinct(*shingle_hashes(found, words))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
+
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(texts.count(), 1))) < ORDER_TEXTS
+    held = texts.filter(part).dropDuplicates(["doc_id"]).mapInArrow(run, "h long").groupBy("h").count()
+    top = held.filter(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toPandas()
+    hashes, often = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], often[order]
 
-    schema = ", ".join(["doc_id long", *(f"{c} long" for c in (*WORD_PARTS, *SHINGLE_PARTS))])
-    return text_rows(docs, id_col, text_col).mapInArrow(run, schema)
 
+def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, node: hash of the set of shingles, n: its size, map: its parity bitmap, prefix: keys of the first elements) of
+    every row of (doc_id: hash of the text, text); elements are ordered by how common they are, rare ones first."""
+    known, often = _common_shingles(texts, words)
 
-def most_bits(similarity: float) -> int:
-    """Distance of 256-bit fingerprints expected at this share of common shingles, plus a margin."""
-    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
-    return int(np.arccos(cosine) / np.pi * LONG_BITS) + MARGIN_BITS
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, found in text_slices(batches):
+            hashes, counts = _distinct(*shingle_hashes(found, words))
+            owner = np.repeat(np.arange(len(counts)), counts)
+            rank = np.zeros(len(hashes), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                rank = np.where(known[at] == hashes, often[at], 0)
+            ordered = hashes[np.lexsort((rank, owner))]  # stable: equally common ones stay in the order of their hashes
+            taken = prefix_sizes(counts, similarity)
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keys = ordered[place < np.repeat(taken, counts)] & np.uint64((1 << KEY_BITS) - 1)
+            maps = _lists(_parity_maps(hashes, counts), np.full(len(counts), MAP_WORDS))
+            nodes = pa.array(_set_hashes(hashes, counts).view(np.int64))
+            yield pa.RecordBatch.from_arrays([ids, nodes, pa.array(counts), maps, _lists(keys, taken)], ["doc_id", "node", "n", "map", "prefix"])
+
+    return texts.mapInArrow(run, "doc_id long, node long, n long, map array<long>, prefix array<long>")
+
+
+def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(doc_id, label) of the different doc_id of (doc_id: hash of the text, text): texts that a chain of pairs of this similarity
+    connects share a label."""
+    rows = stage(set_rows(texts, words, similarity))
+    classes = stage(rows.groupBy("node").agg(F.min(F.struct("doc_id", "n", "map", "prefix")).alias("c")).select("node", "c.*"))
+    probes = classes.select("node", F.explode("prefix").alias("key"))
+    # staged, so that adaptive execution can split the joins where a group of near copies makes a key hot
+    tables = stage(probes.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last").drop("_last"))
+    members = stage(probes.join(tables, "key").select("key", "node", "hub"))
+    shape = classes.select("node", "n", "map")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (src, dst) whose sets have the similarity; two bounds that no such pair breaks come first."""
+        both = pairs.join(shape.toDF("src", "n_src", "m_src"), "src").join(shape.toDF("dst", "n_dst", "m_dst"), "dst")
+        apart = sum((F.bit_count(F.get("m_src", k).bitwiseXOR(F.get("m_dst", k))) for k in range(MAP_WORDS)), F.lit(0))
+        # similarity s leaves at most (1 - s) / (1 + s) of both sizes unshared
+        near = (F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - 1e-6) & (
+            apart <= (1 - similarity) / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) + 1e-6
+        )
+        close = stage(both.filter(near).select("src", "dst"))
+        asked = close.select(F.col("src").alias("node")).unionAll(close.select(F.col("dst").alias("node"))).distinct()
+        firsts = classes.join(asked, "node").select("node", "doc_id")
+        found = texts.join(firsts, "doc_id").select("node", "text").dropDuplicates(["node"])
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, some in text_slices(batches):
+                yield pa.RecordBatch.from_arrays([ids, _lists(*_distinct(*shingle_hashes(some, words)))], ["node", "set"])
+
+        listed = stage(found.mapInArrow(sets, "node long, set array<long>"))
+        sized = close.join(listed.toDF("src", "a"), "src").join(listed.toDF("dst", "b"), "dst")
+        common = F.size(F.array_intersect("a", "b"))
+        return stage(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
+
+    # the first member of a key against all others joins most of what belongs together
+    stars = members.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
+    linked = verified(stars)
+    labels = stage(components(linked))
+    # then every pair that a key holds and that isn't joined yet
+    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    parted = stage(placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key"))
+    placed = stage(placed.join(parted, "key"))
+    several = stage(placed.select("key", "label").distinct())
+    met = several.toDF("key", "l_src").join(several.toDF("key", "l_dst"), "key").filter("l_src < l_dst")
+    met = met.join(placed.toDF("key", "src", "l_src"), ["key", "l_src"]).join(placed.toDF("key", "dst", "l_dst"), ["key", "l_dst"])
+    rest = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    labels = components(linked.unionAll(verified(rest.join(stars, ["src", "dst"], "left_anti"))))
+    named = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    return rows.select("doc_id", "node").distinct().join(named, "node").select("doc_id", "label")
+
+
+def _labelled(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of every row, and (label, first: none, doc_id, text_key; text_key) of every text."""
+    reach_package(docs.sparkSession)
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"))
+    texts = docs.select(text_key(F.col(text_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labels = stage(similar_classes(texts, words, similarity).toDF("text_key", "label"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    return keyed, keyed.groupBy("text_key").agg(first).join(labels, "text_key")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id: the smallest doc_id that links of this similarity reach) of every row.
 
-    The search finds a pair with a probability that depends on its distance (tests measure it); whether what it finds is a link is
-    decided exactly. Texts without words are one group. Rows that share an id should not differ in text: the first decides.
+    All pairs of texts with this share of common shingles are found. Every row is judged by its own text, also where rows share
+    an id or have none. Texts without words are one group.
     """
-    parts = [*WORD_PARTS, *SHINGLE_PARTS]
-    prints = stage(long_fingerprints(docs, words, id_col, text_col).withColumn("node", F.xxhash64(*parts)))
-    classes = stage(prints.groupBy("node", *parts).agg(F.min("doc_id").alias("first_id")))
-    segments = [
-        F.shiftrightunsigned(w, SEGMENT_WIDTH * k).bitwiseAND(F.lit((1 << SEGMENT_WIDTH) - 1)) for w in WORD_PARTS for k in range(4)
-    ]
-    pairs = [(a, b) for a in range(LONG_SEGMENTS) for b in range(a + 1, LONG_SEGMENTS)]
-    keys = F.array(*[segments[a] + segments[b] * (1 << 16) + F.lit(n << 32) for n, (a, b) in enumerate(pairs)])
-    probes = classes.select("node", F.explode(keys).alias("key"))
-    # staged, so that adaptive execution can split the join where a group of near copies makes a key hot
-    tables = stage(probes.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last").drop("_last"))
-    met = probes.join(tables, "key").select("node", "hub")
-    met = met.filter("node <> hub").select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst")).distinct()
-    shingles = classes.select("node", F.array(*SHINGLE_PARTS).alias("s"))
-    both = met.join(shingles.toDF("src", "s_src"), "src").join(shingles.toDF("dst", "s_dst"), "dst")
-    distance = sum((F.bit_count(F.get("s_src", k).bitwiseXOR(F.get("s_dst", k))) for k in range(4)), F.lit(0))
-    close = stage(both.filter(distance <= most_bits(similarity)).select("src", "dst"))
-    # the exact check: hashes of the different shingles of the texts in question, one text for each class
-    asked = close.select(F.col("src").alias("node")).unionAll(close.select(F.col("dst").alias("node"))).distinct()
-    firsts = classes.join(asked, "node").select("node", F.col("first_id").alias("_first"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(firsts, F.col("doc_id").eqNullSafe(F.col("_first"))).select("node", "text").dropDuplicates(["node"])
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in text_slices(batches):
-            hashes, counts = _distinct(*shingle_hashes(found, words))
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, hashes.view(np.int64))], ["node", "set"])
-
-    listed = texts.select("node", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(sets, "node long, set array<long>")
-    listed = stage(listed)
-    sized = close.join(listed.toDF("src", "a"), "src").join(listed.toDF("dst", "b"), "dst")
-    common = F.size(F.array_intersect("a", "b"))
-    labels = components(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
-    joined = classes.join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
-    smallest = joined.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = joined.join(smallest, "label").select("node", "component_id")
-    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    keyed, texts = _labelled(docs, words, similarity, id_col, text_col)
+    texts = stage(texts)
+    firsts = texts.groupBy("label").agg(F.min("first")["doc_id"].alias("component_id"))
+    named = stage(texts.join(firsts, "label").select("text_key", "component_id"))
+    return keyed.join(named, "text_key").select("doc_id", "component_id")
+
+
+def first_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key) of one row of each of the similar groups, the one with the smallest id; null ids come last."""
+    _, texts = _labelled(docs, words, similarity, id_col, text_col)
+    return texts.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -117,3 +117,40 @@ def test_similar_groups_find_all_near_copies(frame):
     together = [(a, b) for a in got for b in got if a < b and expected[a] == expected[b]]
     assert sum(got[a] == got[b] for a, b in together) >= 0.98 * len(together)
     assert all(expected[a] == expected[b] for a in got for b in got if got[a] == got[b])
+
+
+def prose(rnd, n):
+    return ["".join(rnd.choices("aeioutnrs", k=rnd.randrange(2, 9))) for _ in range(n)]
+
+
+def similar(frame, texts):
+    return {r["doc_id"]: r["component_id"] for r in similar_groups(frame("doc_id long, text string", list(enumerate(texts)))).collect()}
+
+
+def expected_groups(texts):
+    sets = [set(shingles(t, 5)) for t in texts]
+    return groups(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
+def test_similar_groups_join_copies_that_are_only_like_their_original(frame):
+    """Copies at the threshold to their original and below it to each other: mostly a copy is the first member of the keys."""
+    rnd, texts = random.Random(11), []
+    for _ in range(20):
+        base = prose(rnd, rnd.randrange(150, 400))
+        texts.append(" ".join(base))
+        for _ in range(5):
+            copy = list(base)
+            for at in rnd.sample(range(5, len(base) - 5), len(base) // 46):
+                copy[at] = "".join(rnd.choices("xyz", k=6))
+            texts.append(" ".join(copy))
+    assert similar(frame, texts) == expected_groups(texts)
+
+
+def test_similar_groups_find_copies_cut_or_extended_at_the_end(frame):
+    rnd, texts = random.Random(12), []
+    for k in range(120):
+        base = prose(rnd, rnd.randrange(60, 400))
+        extent = 0.05 + 0.15 * k / 119
+        texts.append(" ".join(base))
+        texts.append(" ".join(base[: round(len(base) * (1 - extent))] if k % 2 else base + prose(rnd, round(len(base) * extent))))
+    assert similar(frame, texts) == expected_groups(texts)
