@@ -3,7 +3,8 @@
 Each of several orderings projects the vectors onto a few random directions, shifts the result and takes the position on
 a Hilbert curve as key. Spark range-partitions every ordering by key; a query is compared with the rows around its own
 position, and what the orderings find is merged and reranked by the exact distance. The window grows with the row count to the power 0.65 (a
-fixed window would lose recall on larger tables, a fixed share would cost the square).
+fixed window would lose recall on larger tables, a fixed share would cost the square), or further: the nearest of at most
+`MEASURED` rows are found by brute force in blocks, and the window is the one that holds enough of them.
 
 The index is fitted on at most `sample` vectors, chosen by hash, for scales only; every row is indexed. Equal vectors
 are indexed once with their smallest ids, so ties and a hot vector are exact.
@@ -26,6 +27,8 @@ from depotflow.operators.positions import with_position
 ORDERINGS, DIRECTIONS, BITS, SEED = 24, 6, 8, 20_240
 WINDOW, POWER, LEAST = 1.8, 0.65, 64
 SAMPLE = 10_000
+# The windows are widened until so large a share of the k nearest of some rows, found by brute force, lies inside them.
+RECALL, MEASURED = 0.95, 200
 MAP_ROWS = 500  # rows that are turned into keys at a time
 
 
@@ -61,6 +64,32 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
+def _window_for(classes: DataFrame, placed: DataFrame, k: int) -> int:
+    """The half window that holds RECALL of the k nearest classes of at most MEASURED classes, in the ordering that is best for each."""
+    some = classes.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(1))).limit(MEASURED).toPandas()  # at most MEASURED rows
+    if len(some) < 2:
+        return 0
+    asked, x = some["rep"].to_numpy(), np.stack(some["v"].to_list()).astype(float)
+
+    def brute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            y, reps = np.stack(frame["v"].to_list()).astype(float), frame["rep"].to_numpy()
+            d = np.square(x).sum(1)[:, None] - 2 * x @ y.T + np.square(y).sum(1)
+            d[asked[:, None] == reps] = np.inf
+            for a, row in zip(asked, d):
+                best = np.argsort(row, kind="stable")[:k]
+                best = best[np.isfinite(row[best])]
+                yield pd.DataFrame({"asker": a, "rep": reps[best], "d": row[best]})
+
+    near = classes.select("rep", "v").mapInPandas(brute, "asker long, rep long, d double")
+    order = F.row_number().over(Window.partitionBy("asker").orderBy("d", "rep"))
+    near = stage(near.withColumn("at", order).filter(F.col("at") <= k).select("asker", "rep"))
+    places = placed.select("t", "rep", "r")
+    pairs = near.join(places, "rep").join(places.toDF("t", "asker", "r_asker"), ["t", "asker"])
+    gaps = pairs.groupBy("asker", "rep").agg(F.min(F.abs(F.col("r") - F.col("r_asker"))).alias("gap")).toPandas()["gap"]  # at most k * MEASURED
+    return int(np.ceil(np.quantile(gaps.to_numpy(), RECALL))) if len(gaps) else 0
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
     orderings: int = ORDERINGS, directions: int = DIRECTIONS, bits: int = BITS, window: float = WINDOW, sample: int = SAMPLE,
@@ -82,8 +111,6 @@ def nearest(
     asked = rows.groupBy("v").agg(F.max("q").alias("q"))
     classes = stage(first.join(asked, "v").select(F.array_min("ids").alias("rep"), "v", "ids", "q"))
     n = classes.count()
-    half = max(LEAST, round(window * n**POWER / 2))
-    block = 2 * half
     rng = np.random.default_rng(SEED)
     axes = rng.normal(size=(orderings, dims, directions))
     shifts = rng.uniform(-0.5, 0.5, size=(orderings, directions))
@@ -104,6 +131,8 @@ def nearest(
 
     keyed = classes.select("rep", "v", "q").mapInPandas(keys, "t int, key long, rep long, q boolean, v array<float>")
     placed = with_position(keyed, ["t", "key", "rep"]).withColumn("r", F.col("position") % max(n, 1))
+    half = max(LEAST, round(window * n**POWER / 2), _window_for(classes, placed, k))
+    block = 2 * half
     placed = placed.withColumn("block", F.floor(F.col("r") / block))
     spread = F.sequence(F.floor(F.greatest(F.col("r") - half, F.lit(0)) / block), F.floor((F.col("r") + half) / block))
     asking = placed.filter("q").withColumn("block", F.explode(spread)).select("t", "block", "r", "rep", "v", F.lit(True).alias("asks"))

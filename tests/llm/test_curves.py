@@ -59,3 +59,11 @@ def test_unusable_vectors_take_no_part(frame):
     got = run(frame, [*rows, (40, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])])
     assert got == exact(rows, 10) and set(got) == {0, 30}
     assert run(frame, []) == {}
+
+
+def test_windows_widen_to_the_recall_that_is_measured(frame):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    truth, got = exact(rows, 40), run(frame, rows, 40, window=0.1)
+    assert sum(len({i for _, i in truth[q]} & {i for _, i in got[q]}) for q in truth) >= 0.9 * 10 * len(truth)
