@@ -99,12 +99,11 @@ def test_a_hot_key_is_split_in_a_shuffled_lookup(spark, tmp_path):
 
 
 def test_large_session_is_joined_in_blocks(spark):
-    from depotflow.operators.baskets import BLOCK_ITEMS, pair_lifts
+    from depotflow.operators.baskets import BLOCK_ITEMS, prefix_matches
 
     items = BLOCK_ITEMS * 3
-    baskets = spark.range(items).select(F.lit("A").alias("site"), F.lit(1).alias("day"), F.format_string("i%05d", "id").alias("item"))
-    support = baskets.select("site", "item", F.lit(1).cast("bigint").alias("c"), F.lit(2).cast("bigint").alias("n"))
-    pairs = pair_lifts(baskets, support, "site", ["day"])
+    members = spark.range(items).selectExpr("'A' as site", "1L as s", "format_string('i%05d', id) as item", "1L as c", "2L as n", "1.0D as t")
+    pairs = prefix_matches(members, "site")
     assert pairs.count() == items * (items - 1) // 2 and "_block" in plan(pairs)
 
 
