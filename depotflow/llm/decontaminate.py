@@ -18,7 +18,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from depotflow.llm.common import stage
+from depotflow.llm.common import stage, text_key
+from depotflow.operators.bitmaps import without
 
 WORDS, COVERAGE = 5, 0.8
 NAME, UNIT, NUMBER = "\u0001", "\u0002", "0"
@@ -127,6 +128,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """`docs` without the documents that hold an item of the benchmark."""
-    found = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` without the rows whose text holds an item of the benchmark; ids have no say, so rows that share one or have none
+    are judged singly."""
+    texts = docs.select(text_key(F.col("text")).alias("doc_id"), "text")
+    found = stage(contaminated(texts, benchmark).select("doc_id").distinct())
+    return without(docs, text_key(F.col("text")), found)

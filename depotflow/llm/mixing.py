@@ -15,6 +15,8 @@ Repeated rows are rated alike. Without labels all domains are equally likely. Ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import math
 
 import numpy as np
@@ -170,11 +172,13 @@ def mix(
     members = stage(rows.select("n_tokens", "posterior"))
     whole = sum(targets.values())
     steps = fit_steps(members, [budget * targets.get(x, 0.0) / whole for x in domains], floor)
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(UNIFORM)) / F.lit(float(UNIFORM))
+    nameless = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # rows without an id draw by their text
+    chance = F.pmod(F.xxhash64("doc_id", nameless, F.lit("mix")), F.lit(UNIFORM)) / F.lit(float(UNIFORM))
     rated = rows.withColumn("rate", _moved(steps, len(domains), floor)["rate"])
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
 
 
-def resample(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Every row as often as its copies say, with the given columns."""
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select(*columns)
+def resample(docs: DataFrame, mixed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every row of `docs` as often as the copies that `mixed` gives it say; all columns stay what they were, whatever their names."""
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return mixed(packed).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

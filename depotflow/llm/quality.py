@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from depotflow.llm.common import stage, text_rows, text_slices
+from depotflow.llm.common import stage, text_key, text_rows, text_slices
 from depotflow.llm.simhash import IS_SPACE, shingle_hashes
 
 # Chosen by cross-validation inside the rows that may be learned from (remainders 0 and 2 of the checksum).
@@ -69,8 +69,8 @@ def text_statistics(texts: list[bytes]) -> np.ndarray:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, x: array of STATISTICS) of every row."""
+def statistics(docs: DataFrame, carried: Column | None = None) -> DataFrame:
+    """(doc_id, x: array of STATISTICS) of every row; `carried` may take the place of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches):
@@ -78,7 +78,10 @@ def statistics(docs: DataFrame) -> DataFrame:
             offsets = np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]
             yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, x.ravel())], ["doc_id", "x"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, x array<double>")
+    rows = text_rows(docs)
+    if carried is not None:
+        rows = docs.select(carried.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,13 +150,26 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score from 0 to 1, predicted 0 or 1) of every row of `docs`."""
     stats = stage(statistics(docs))
-    model = fit(stats, labels)
+    return _scored(stats, fit(stats, labels)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+def rejected_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text_key) of the texts that are predicted bad; labels are learned from by id, every row is judged by its own text."""
+    both = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"))
+    stats = stage(statistics(docs, both))
+    model = fit(stats.select("doc_id.doc_id", "x"), labels)
+    keyed = stats.select(F.col("doc_id.text_key").alias("doc_id"), "x")
+    return _scored(keyed, model).filter("score < 0.5").select(F.col("doc_id").alias("text_key")).distinct()
+
+
+def _scored(stats: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of (doc_id, x)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().reshape(len(batch), len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return stats.mapInArrow(run, "doc_id long, score double").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    return stats.mapInArrow(run, "doc_id long, score double")

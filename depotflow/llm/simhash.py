@@ -10,8 +10,8 @@ copies is, so a star to the smallest one gives the same components as all pairs
 For near copies down to a given share of common shingles two bits are far too few. `similar_groups` joins the sets of shingles on
 prefixes: in an order that all sets share, two sets of that similarity have an element in common among the first few of both, so no pair
 is missed. Each key first offers its first member to all others; then all members of a key that are not in one
-component yet are compared. Sizes and parity bitmaps rule out pairs by bounds that hold for certain; what passes is
-checked exactly on the sets of shingles.
+component yet are compared. Sizes, positions of the common key and parity bitmaps rule out pairs by bounds that hold for certain; what
+passes is checked exactly on the sets of shingles. Only rows that a bitmap filter of the wanted keys lets through are shuffled.
 
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
 and never becomes a component's id unless nothing else is in it. Repeated rows come back as often as they came in.
@@ -28,6 +28,7 @@ from pyspark.sql.window import Window
 
 from depotflow.llm.common import reach_package, stage, text_key, text_rows, text_slices
 from depotflow.llm.components import components
+from depotflow.operators.bitmaps import only, without
 
 # Fixed values of the contract: white space, the five 64-bit primes of the public XXH64 description, and its seed.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -275,54 +276,112 @@ def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, node long, n long, map array<long>, prefix array<long>")
 
 
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """One of the staged rows for each node; what is shuffled are (node, row) and the rows of repeated nodes."""
+    light = rows.select("node", "row")
+    repeated = light.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    later = stage(light.join(repeated.drop("times"), "node").filter("row <> first").select("row"))
+    return without(rows, F.col("row"), later)
+
+
+def _least_overlap(similarity: float) -> Column:
+    """Elements that sets of sizes n_src and n_dst must share to have the similarity."""
+    return F.ceil(similarity / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) - 1e-6)
+
+
+def _possible(similarity: float) -> Column:
+    """Can two sets whose first common key lies at p_src and p_dst have the similarity? True for every pair that has it."""
+    sizes = F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - 1e-6
+    left = 1 + F.least(F.col("n_src") - F.col("p_src") - 1, F.col("n_dst") - F.col("p_dst") - 1)
+    return sizes & (left >= _least_overlap(similarity))
+
+
+def close_members(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst, n_src, n_dst) of members (key, node, n, pos, label) of one key, not under one label yet, that sizes and positions allow.
+
+    Sizes fall into bands so wide that only equal and neighbouring ones can be similar, so unlike sizes never meet.
+    """
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(-np.log(similarity) * 1.0001))
+    placed = members.withColumn("band", band)
+    left = placed.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{d}_src") for c, d in MEMBER])
+    right = placed.select("key", "band", *[F.col(c).alias(f"{d}_dst") for c, d in MEMBER])
+    met = left.join(right, ["key", "band"]).filter((F.col("l_src") != F.col("l_dst")) & _possible(similarity))
+    src_first = F.col("i_src") < F.col("i_dst")
+    ordered = [F.when(src_first, F.col(f"{d}_{x}")).otherwise(F.col(f"{d}_{y}")) for d in ("i", "n") for x, y in (("src", "dst"), ("dst", "src"))]
+    return met.select(*[c.alias(n) for c, n in zip(ordered, ("src", "dst", "n_src", "n_dst"))]).distinct()
+
+
+MEMBER = (("node", "i"), ("n", "n"), ("pos", "p"), ("label", "l"))
+
+
 def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """(doc_id, label) of the different doc_id of (doc_id: hash of the text, text): texts that a chain of pairs of this similarity
     connects share a label."""
-    rows = stage(set_rows(texts, words, similarity))
-    classes = stage(rows.groupBy("node").agg(F.min(F.struct("doc_id", "n", "map", "prefix")).alias("c")).select("node", "c.*"))
-    probes = classes.select("node", F.explode("prefix").alias("key"))
+    rows = stage(set_rows(texts, words, similarity).withColumn("row", F.monotonically_increasing_id()))
+    classes = _first_rows(rows)
+    probes = classes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
+    shared = stage(probes.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
     # staged, so that adaptive execution can split the joins where a group of near copies makes a key hot
-    tables = stage(probes.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).filter("hub <> _last").drop("_last"))
-    members = stage(probes.join(tables, "key").select("key", "node", "hub"))
-    shape = classes.select("node", "n", "map")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (src, dst) whose sets have the similarity; two bounds that no such pair breaks come first."""
-        both = pairs.join(shape.toDF("src", "n_src", "m_src"), "src").join(shape.toDF("dst", "n_dst", "m_dst"), "dst")
+    members = stage(only(probes, F.col("key"), shared))
+    del probes
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (src, dst, ...) that the parity bitmaps allow, with the number of bits they differ in."""
+        asked = stage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        maps = only(classes, F.col("node"), asked).select("node", "map")
+        both = pairs.join(maps.toDF("src", "m_src"), "src").join(maps.toDF("dst", "m_dst"), "dst")
         apart = sum((F.bit_count(F.get("m_src", k).bitwiseXOR(F.get("m_dst", k))) for k in range(MAP_WORDS)), F.lit(0))
         # similarity s leaves at most (1 - s) / (1 + s) of both sizes unshared
-        near = (F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - 1e-6) & (
-            apart <= (1 - similarity) / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) + 1e-6
-        )
-        close = stage(both.filter(near).select("src", "dst"))
-        asked = close.select(F.col("src").alias("node")).unionAll(close.select(F.col("dst").alias("node"))).distinct()
-        firsts = classes.join(asked, "node").select("node", "doc_id")
-        found = texts.join(firsts, "doc_id").select("node", "text").dropDuplicates(["node"])
+        bound = (1 - similarity) / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) + 1e-6
+        return both.select("src", "dst", apart.alias("apart"), bound.alias("bound")).filter("apart <= bound").drop("bound")
+
+    def verified(close: DataFrame) -> DataFrame:
+        """Those of the pairs (src, dst) whose sets have the similarity, from the texts themselves."""
+        asked = stage(close.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        firsts = stage(only(classes, F.col("node"), asked).select("node", "doc_id"))
+        found = only(texts, F.col("doc_id"), firsts.select("doc_id").distinct()).join(firsts, "doc_id").select("node", "text")
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids, some in text_slices(batches):
                 yield pa.RecordBatch.from_arrays([ids, _lists(*_distinct(*shingle_hashes(some, words)))], ["node", "set"])
 
-        listed = stage(found.mapInArrow(sets, "node long, set array<long>"))
+        listed = stage(found.dropDuplicates(["node"]).mapInArrow(sets, "node long, set array<long>"))
         sized = close.join(listed.toDF("src", "a"), "src").join(listed.toDF("dst", "b"), "dst")
         common = F.size(F.array_intersect("a", "b"))
         return stage(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
 
-    # the first member of a key against all others joins most of what belongs together
-    stars = members.filter("node <> hub").select(F.col("hub").alias("src"), F.col("node").alias("dst")).distinct()
-    linked = verified(stars)
+    # The first member of a key against all others joins most of what belongs together. Of the pairs that a set has with such
+    # members the closest is verified first, and the others only if they would still connect something.
+    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
+    met = members.join(hubs, "key").select(
+        F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
+        F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
+    )
+    stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
+    stars = stage(near(stage(stars)))
+    closest = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
+    linked = verified(stage(closest))
     labels = stage(components(linked))
+
+    def unjoined(pairs: DataFrame) -> DataFrame:
+        named = labels.toDF("src", "l_src"), labels.toDF("dst", "l_dst")
+        both = pairs.join(named[0], "src", "left").join(named[1], "dst", "left")
+        return both.filter(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
+
+    others = stage(unjoined(stars))
+    if others.limit(1).count():
+        linked = linked.unionAll(verified(others))
+        labels = stage(components(linked))
     # then every pair that a key holds and that isn't joined yet
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    parted = stage(placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key"))
-    placed = stage(placed.join(parted, "key"))
-    several = stage(placed.select("key", "label").distinct())
-    met = several.toDF("key", "l_src").join(several.toDF("key", "l_dst"), "key").filter("l_src < l_dst")
-    met = met.join(placed.toDF("key", "src", "l_src"), ["key", "l_src"]).join(placed.toDF("key", "dst", "l_dst"), ["key", "l_dst"])
-    rest = met.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    labels = components(linked.unionAll(verified(rest.join(stars, ["src", "dst"], "left_anti"))))
-    named = classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    return rows.select("doc_id", "node").distinct().join(named, "node").select("doc_id", "label")
+    placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    parted = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key")
+    placed = stage(only(placed, F.col("key"), stage(parted)))
+    tried = stars.select("src", "dst")
+    rest = stage(near(stage(close_members(placed, similarity))).select("src", "dst").join(tried, ["src", "dst"], "left_anti"))
+    if rest.limit(1).count():
+        labels = stage(components(linked.unionAll(verified(rest))))
+    named = rows.select("doc_id", "node").distinct().join(labels, "node", "left")
+    return named.select("doc_id", F.coalesce("label", "node").alias("label"))
 
 
 def _labelled(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -348,10 +407,24 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     return keyed.join(named, "text_key").select("doc_id", "component_id")
 
 
+def row_key(doc_id: Column, key: Column) -> Column:
+    """Tells rows apart by id and text; a null id is one of its own."""
+    return F.xxhash64(doc_id.isNull(), doc_id.cast("long"), key)
+
+
 def first_of_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key) of one row of each of the similar groups, the one with the smallest id; null ids come last."""
-    _, texts = _labelled(docs, words, similarity, id_col, text_col)
-    return texts.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key")
+    """One row of each of the similar groups, the one with the smallest id; null ids come last. Of equal rows one stays."""
+    keyed, texts = _labelled(docs, words, similarity, id_col, text_col)
+    own = row_key(F.col("doc_id"), F.col("text_key")).alias("row_key")
+    firsts = texts.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.text_key").select(own)
+    counted = keyed.select(own).groupBy("row_key").agg(F.count(F.lit(1)).alias("times"))
+    judged = stage(counted.join(firsts.withColumn("kept", F.lit(True)), "row_key", "left"))
+    key = row_key(F.col(id_col), text_key(F.col(text_col)))
+    kept = without(docs, key, judged.filter("kept is null").select("row_key"))
+    repeated = judged.filter("kept and times > 1").select("row_key")
+    if not repeated.limit(1).count():
+        return kept
+    return without(kept, key, repeated).unionAll(only(kept, key, repeated).dropDuplicates([id_col, text_col]))
 
 
 def simhash_groups(docs: DataFrame, words: int = 3, bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
+from depotflow.llm import quality
+from depotflow.llm.common import text_key
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = Path(corpus_pipeline.__file__).parent
@@ -82,6 +84,20 @@ def test_stages_survive_odd_rows_and_no_rows(spark, frame):
         assert docs.count() >= 0
 
 
+def test_rows_are_judged_by_their_texts_whatever_their_ids(spark, stages):
+    """With every third id null and others shared, the same texts stay as with ids of their own; odd column names survive."""
+    docs = stages["documents"].selectExpr("if(doc_id % 3 = 0, null, doc_id % 50) as doc_id", "text", "lang", "source", "n_chars", "doc_id as _id", "7.5D as rate")
+    docs = docs.cache()
+    bad = {r[0] for r in quality.rejected_texts(docs, spark.read.parquet(f"{FOLDER}/labels.parquet")).collect()}
+    keyed = {r["_id"]: r["k"] for r in docs.select("_id", text_key(docs["text"]).alias("k")).collect()}
+    assert {r["_id"] for r in corpus_pipeline.quality_filter(spark, docs, FOLDER).collect()} == {i for i, k in keyed.items() if k not in bad}
+    clean, found = (corpus_pipeline.decontamination(spark, d, FOLDER).collect() for d in (stages["documents"], docs))
+    assert sorted(r["_id"] for r in found) == sorted(r["doc_id"] for r in clean)
+    once = corpus_pipeline.near_dedup(spark, docs, FOLDER)
+    assert once.columns == docs.columns and once.count() == corpus_pipeline.near_dedup(spark, stages["documents"], FOLDER).count()
+    assert {r["rate"] for r in corpus_pipeline.mix_sources(spark, docs, FOLDER).collect()} == {7.5}
+
+
 @pytest.mark.parametrize("gone", ["depotflow.llm", "corpus_pipeline"])
 def test_entry_works_without_the_operators(gone):
     code = (

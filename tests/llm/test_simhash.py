@@ -154,3 +154,22 @@ def test_similar_groups_find_copies_cut_or_extended_at_the_end(frame):
         texts.append(" ".join(base))
         texts.append(" ".join(base[: round(len(base) * (1 - extent))] if k % 2 else base + prose(rnd, round(len(base) * extent))))
     assert similar(frame, texts) == expected_groups(texts)
+
+
+def test_a_key_with_many_unlike_members_joins_few_rows(spark, frame):
+    """500 sets of sizes from 20 to 5,000 that share one rare key: sizes and positions leave few of the 125,000 pairs."""
+    from depotflow.llm.simhash import close_members
+
+    rnd = random.Random(6)
+    rows = []
+    for node in range(500):
+        n = int(20 * 250 ** rnd.random())
+        rows.append((1, node, n, rnd.randrange(max(1, n // 5)), node))
+    found = {(r["src"], r["dst"]) for r in close_members(frame("key long, node long, n long, pos int, label long", rows), 0.8).collect()}
+    n, pos = {r[1]: r[2] for r in rows}, {r[1]: r[3] for r in rows}
+    may = lambda a, b: (
+        min(n[a], n[b]) >= 0.8 * max(n[a], n[b]) and 1 + min(n[a] - pos[a] - 1, n[b] - pos[b] - 1) >= 0.8 / 1.8 * (n[a] + n[b]) - 1e-6
+    )
+    assert found == {(a, b) for a in range(500) for b in range(a + 1, 500) if may(a, b)}
+    assert len(found) < 125_000 / 10
+    assert close_members(frame("key long, node long, n long, pos int, label long", [(1, k, 100, 0, 9) for k in range(50)]), 0.8).count() == 0
