@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from depotflow import schemas
 from depotflow.bindings import BASIS_DAYS, HOLDOUT_DAYS, TRIAL_END, TRIAL_START, TestTables
 from depotflow.operators import experiments
+from depotflow.operators.bitmaps import key_state
 from depotflow.operators.profiling import null_census, profile_table
 from depotflow.operators.versions import (
     after_watermark,
@@ -544,6 +545,9 @@ def adjacency_top(p: Products) -> DataFrame:
     return warehouse.adjacency(warehouse.cooccurrence(p.plain_tasks()))
 
 
+FEATURE_CUT = date(2000, 6, 30)  # end of the first of two deliveries
+
+
 # -- increments ------------------------------------------------------------------------------------------------
 
 
@@ -574,13 +578,11 @@ def incremental_orders(p: Products) -> DataFrame:
 
 @query
 def incremental_features(p: Products) -> DataFrame:
-    """Feature store filled in two steps; a look-back that reaches before the series uses the mean known then."""
-    demand = stage(p.t.series)  # read by both steps
-    cut = F.lit(date(2000, 6, 30))
-    empty = p.spark.createDataFrame([], "feature_id bigint, feature_date date")
-    first = forecasting.new_features(demand.filter(F.col("feature_date") <= cut), empty, date(1900, 1, 1))
-    both = first.unionByName(forecasting.new_features(demand, first))
-    return _rounded_features(both).drop("feature_id")
+    """Feature store filled in two steps; the second reads its own days and the state the first one left of each series."""
+    demand = stage(p.t.series)  # both deliveries
+    first, second = (demand.filter(day) for day in (F.col("feature_date") <= F.lit(FEATURE_CUT), F.col("feature_date") > F.lit(FEATURE_CUT)))
+    state = stage(forecasting.demand_state(first))
+    return _rounded_features(forecasting.feature_store(first).unionByName(forecasting.features_of_increment(second, state)))
 
 
 @query
@@ -639,20 +641,39 @@ def _metric_history(p: Products) -> DataFrame:
 # -- data checks -----------------------------------------------------------------------------------------------
 
 
+def star_tables(p: Products) -> dict[str, DataFrame]:
+    return {
+        "dim_date": p.month_end_dates(), "dim_warehouse": p.sites(), "dim_supplier": p.suppliers(), "dim_sku": p.skus(),
+        "fact_daily_demand": p.demand(), "fact_inventory_snapshot": p.inventory(),
+    }
+
+
+def star_report(tables: dict[str, DataFrame], sources: dict[str, DataFrame]) -> DataFrame:
+    return checks.star_checks(tables, sources, date(1995, 1, 1), date(2001, 6, 30))
+
+
 @query
 def dq_star(p: Products) -> DataFrame:
     # the raw rows stand in for source files, which the load and the completeness check both read
     p.t.demand_source, p.t.inventory_source = stage(p.t.demand_source), stage(p.t.inventory_source)
-    tables = {
-        "dim_date": p.month_end_dates(),
-        "dim_warehouse": p.sites(),
-        "dim_supplier": p.suppliers(),
-        "dim_sku": p.skus(),
-        "fact_daily_demand": p.demand(),
-        "fact_inventory_snapshot": p.inventory(),
-    }
-    sources = {"fact_daily_demand": p.t.demand_source, "fact_inventory_snapshot": p.t.inventory_source}
-    return checks.star_checks(tables, sources, date(1995, 1, 1), date(2001, 6, 30))
+    return star_report(star_tables(p), {"fact_daily_demand": p.t.demand_source, "fact_inventory_snapshot": p.t.inventory_source})
+
+
+@query
+def dq_demand_by_load(p: Products) -> DataFrame:
+    """Checks of the demand fact from the states that two loads left, merged; and its repeated keys, over both loads."""
+    first, last = date(1995, 1, 1), date(2001, 6, 30)
+    store, table, key = p.new_store(), "fact_daily_demand", "demand_key"
+    fact = p.demand()
+    dims = {"dim_date": p.month_end_dates(), "dim_sku": p.skus(), "dim_warehouse": p.sites()}
+    states = {d: stage(key_state(df, checks.DIMENSIONS[d])) for d, df in dims.items()}
+    for number, load in enumerate((fact.filter("date_key < 19980101"), fact.filter("date_key >= 19980101")), 1):
+        state = checks.fact_state(table, load, states, dims["dim_date"], first, last)
+        store.append("check_states", state.withColumn("load", F.lit(number)), ["load"])
+    merged = stage(checks.merge_fact_states(table, store.read("check_states"), first, last))
+    source = p.t.demand_source
+    parts = [checks.fact_report(table, merged, source, first, last), checks.duplicate_check(table, key, fact, merged)]
+    return checks.with_failure_pct(checks.report(parts))
 
 
 @query

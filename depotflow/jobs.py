@@ -121,19 +121,36 @@ class Jobs:
         return run_id
 
     def update_features(self, floor: date = forecasting.FIRST_LOAD_MARK) -> tuple[str, int]:
-        """Append features of dates that are not stored yet."""
-        stored = self._table("fact_feature_store")
-        fresh = stage(forecasting.new_features(self._active_demand(), stored, floor))
+        """Append features of dates after the largest stored one (after `floor` at first).
+
+        Only demand of those dates is read, next to the state that earlier runs left of each series. Demand that arrives later for a date
+        already stored does not change that state.
+        """
+        stored, demand = self._table("fact_feature_store"), self._active_demand()
+        mark = watermark(stored, "feature_date", floor)
+        increment = stage(demand.filter(F.col("feature_date") > F.lit(mark)))
+        state = self._series_state(demand, mark)
+        fresh = stage(with_dense_key(forecasting.features_of_increment(increment, state), "feature_id", None, after=stored))
         rows = fresh.count()
         if rows:
             self.store.append("fact_feature_store", self._stamped("fact_feature_store", fresh))
+            upto = watermark(fresh, "feature_date", mark)
+            self.store.refresh("series_state", forecasting.advanced_state(state, increment).withColumn("upto", F.lit(upto)))
         return ("OK" if rows else "UP_TO_DATE"), rows
 
+    def _series_state(self, demand: DataFrame, mark: date) -> DataFrame:
+        """The stored state, if it ends where the features do; otherwise (first run, or one that broke off) that of the demand up to there."""
+        if self.store.exists("series_state"):
+            state = self.store.read("series_state")
+            if state.agg(F.max("upto")).first()[0] == mark:
+                return state.drop("upto")
+        return stage(forecasting.demand_state(demand.filter(F.col("feature_date") <= F.lit(mark))))
+
     def forecast(self, basis_days: int = 61) -> int:
         """Replace the models and the forecasts that start the day after the last demand."""
         self._load("dim_model", generated.model_dimension(self.spark).withColumn("created_at", utc(self.run_at)), "programmatic")
-        demand = stage(self._active_demand())
-        last = demand.agg(F.max("feature_date")).scalar()
+        demand = self._active_demand()
+        last = F.lit(watermark(demand, "feature_date", forecasting.FIRST_LOAD_MARK))  # a literal, so that the basis is filtered in the scan
         forecasts = forecasting.baseline_forecasts(demand, F.date_sub(last, basis_days - 1), F.date_add(last, 1))
         _, skus, sites = self._dimensions()
         keyed = forecasts.join(skus.select("sku_id", "sku_key"), "sku_id").join(

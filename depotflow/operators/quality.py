@@ -64,17 +64,31 @@ def as_rows(one_row: DataFrame, checks: list[Column]) -> DataFrame:
     return one_row.select(F.inline(F.array(*checks)))
 
 
-def run_row_rules(df: DataFrame, rules: list[RowRule]) -> DataFrame:
-    """All rules in one pass over `df`."""
+def rule_counts(rules: list[RowRule]) -> list[Column]:
+    """Aggregates c0, f0, c1, ...: rows each rule looks at and rows that break it. They add up over parts of a table."""
     aggregates = []
     for i, rule in enumerate(rules):
         applies = F.lit(True) if rule.applies is None else rule.applies
         aggregates += [F.count_if(applies).alias(f"c{i}"), F.count_if(applies & rule.breaks).alias(f"f{i}")]
+    return aggregates
+
+
+def summed_counts(rules: list[RowRule]) -> list[Column]:
+    """Aggregates that add the counts of parts."""
+    return [F.coalesce(F.sum(f"{x}{i}"), F.lit(0)).alias(f"{x}{i}") for i in range(len(rules)) for x in "cf"]
+
+
+def rule_rows(counts: DataFrame, rules: list[RowRule]) -> DataFrame:
     checks = []
     for i, rule in enumerate(rules):
         checked, failed = F.col(f"c{i}"), F.col(f"f{i}")
         checks.append(check_row(rule.name, checked, failed, rule.detail(checked, failed), level=rule.level))
-    return as_rows(df.agg(*aggregates), checks)
+    return as_rows(counts, checks)
+
+
+def run_row_rules(df: DataFrame, rules: list[RowRule]) -> DataFrame:
+    """All rules in one pass over `df`."""
+    return rule_rows(df.agg(*rule_counts(rules)), rules)
 
 
 def with_reference_flags(fact: DataFrame, references: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -85,11 +99,6 @@ def with_reference_flags(fact: DataFrame, references: dict[str, tuple[DataFrame,
     return fact
 
 
-def is_orphan(column: str) -> Column:
-    """Has a key that the reference does not hold (after with_reference_flags)."""
-    return F.col(column).isNotNull() & F.col(f"_found_{column}").isNull()
-
-
 def duplicated_groups(df: DataFrame, name: str, keys: list[str], detail: Detail) -> DataFrame:
     """Counts key groups with more than one row."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -112,11 +121,9 @@ def surplus_rows(df: DataFrame, name: str, key: str) -> DataFrame:
     return as_rows(totals, [check_row(name, checked, checked - distinct, detail)])
 
 
-def same_row_count(name: str, source: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Compares the row counts of source and target."""
-    both = source.agg(F.count(F.lit(1)).alias("s")).withColumn(
-        "l", loaded.agg(F.count(F.lit(1)).alias("l")).scalar()
-    )
+def same_row_count(name: str, source: DataFrame, loaded: Column) -> DataFrame:
+    """Compares the row count of a source with the number of rows loaded."""
+    both = source.agg(F.count(F.lit(1)).alias("s")).withColumn("l", loaded)
     detail = F.concat(F.lit("source="), grouped(F.col("s")), F.lit(", loaded="), grouped(F.col("l")))
     return as_rows(both, [check_row(name, F.col("s"), F.abs(F.col("l") - F.col("s")), detail)])
 

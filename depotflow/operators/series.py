@@ -32,6 +32,15 @@ def demand_features(
     """
     rows = demand.filter(" and ".join(f"{k} is not null" for k in keys))
     y = F.col(quantity).cast("double")
+    if expanding_fill:
+        fill = F.avg(y).over(Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1))
+    else:
+        fill = F.avg(y).over(Window.partitionBy(*keys))
+    return _filled(rows.select("*", *_looked_back(keys, day, y, calendar), fill.alias("_fill")), rows.columns, day)
+
+
+def _looked_back(keys: list[str], day: str, y: Column, calendar: bool) -> list[Column]:
+    """Lags, means and deviations of the rows before, as `_<feature>`; NULL where there are none."""
     ordered = Window.partitionBy(*keys).orderBy(day)
     by_day = Window.partitionBy(*keys).orderBy(F.unix_date(F.col(day)))
 
@@ -41,22 +50,59 @@ def demand_features(
     def lagged(n: int) -> Column:
         return F.max(y).over(by_day.rangeBetween(-n, -n)) if calendar else F.lag(y, n).over(ordered)
 
-    if expanding_fill:
-        fill = F.avg(y).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    else:
-        fill = F.avg(y).over(Window.partitionBy(*keys))
     windowed = {f"lag_{n}": lagged(n) for n in LAGS}
     windowed |= {f"rolling_avg_{n}": F.avg(y).over(before(n)) for n in MEAN_SPANS}
     windowed |= {f"rolling_std_{n}": F.stddev_samp(y).over(before(n)) for n in DEVIATION_SPANS}
-    raw = rows.select("*", *[c.alias(f"_{n}") for n, c in windowed.items()], fill.alias("_fill"))
-    filled = {
-        n: F.coalesce(F.col(f"_{n}"), F.lit(0.0) if n.startswith("rolling_std") else F.col("_fill")) for n in windowed
-    }
-    return raw.select(
-        *rows.columns,
-        *[c.alias(n) for n, c in filled.items()],
-        *[c.alias(n) for n, c in calendar_features(day).items()],
+    return [c.alias(f"_{n}") for n, c in windowed.items()]
+
+
+def _filled(raw: DataFrame, columns: list[str], day: str) -> DataFrame:
+    names = [f"lag_{n}" for n in LAGS] + [f"rolling_avg_{n}" for n in MEAN_SPANS] + [f"rolling_std_{n}" for n in DEVIATION_SPANS]
+    filled = {n: F.coalesce(F.col(f"_{n}"), F.lit(0.0) if n.startswith("rolling_std") else F.col("_fill")) for n in names}
+    return raw.select(*columns, *[c.alias(n) for n, c in filled.items()], *[c.alias(n) for n, c in calendar_features(day).items()])
+
+
+TAIL_ROWS = max(*LAGS, *MEAN_SPANS, *DEVIATION_SPANS)  # no look-back reaches further
+
+
+def series_state(demand: DataFrame, keys: list[str], day: str, quantity: str) -> DataFrame:
+    """What later rows need of a series: (keys, tail: its last 28 (day, y) in order, total, n: sum and count of all its rows)."""
+    rows = demand.filter(" and ".join(f"{k} is not null" for k in keys)).select(*keys, F.col(day).alias("day"), F.col(quantity).cast("double").alias("y"))
+    newest = Window.partitionBy(*keys).orderBy(F.desc("day"))
+    last = rows.withColumn("_nth", F.row_number().over(newest)).filter(F.col("_nth") <= TAIL_ROWS)
+    tails = last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("day", "y"))).alias("tail"))  # at most 28 entries
+    totals = rows.groupBy(*keys).agg(F.coalesce(F.sum("y"), F.lit(0.0)).alias("total"), F.count("y").alias("n"))
+    return tails.join(totals, keys)
+
+
+def merge_series(states: DataFrame, keys: list[str]) -> DataFrame:
+    """One state for each series from the states of several parts; the parts may come in any order."""
+    merged = states.groupBy(*keys).agg(
+        F.sort_array(F.flatten(F.collect_list("tail"))).alias("_all"), F.sum("total").alias("total"), F.sum("n").alias("n")
+    )  # one entry for each part
+    tail = F.slice("_all", F.greatest(F.size("_all") - (TAIL_ROWS - 1), F.lit(1)), F.lit(TAIL_ROWS))
+    return merged.select(*keys, tail.alias("tail"), "total", "n")
+
+
+def features_after(increment: DataFrame, state: DataFrame, keys: list[str], day: str, quantity: str, calendar: bool = False) -> DataFrame:
+    """Feature columns of the rows of an increment, which all lie after the rows of the state.
+
+    The same values as `demand_features` of all rows: look-backs run over the tails and the increment, missing history is filled with the mean of
+    the whole series. Only states of the increment's series are read.
+    """
+    fresh = increment.filter(" and ".join(f"{k} is not null" for k in keys))
+    asked = state.join(fresh.select(*keys).distinct(), keys, "left_semi")
+    old = asked.select(*keys, F.inline("tail"), "total", "n").select(
+        *keys, F.col("day").alias(day), F.col("y").alias("_y"), F.col("total").alias("_total"), F.col("n").alias("_n"), F.lit(False).alias("_new")
     )
+    new = fresh.withColumns({"_y": F.col(quantity).cast("double"), "_new": F.lit(True)})
+    rows = new.unionByName(old, allowMissingColumns=True)
+    whole = Window.partitionBy(*keys)
+    known = F.coalesce(F.max("_total").over(whole), F.lit(0.0)), F.coalesce(F.max("_n").over(whole), F.lit(0))
+    added = F.when(F.col("_new"), F.col("_y"))
+    fill = F.try_divide(known[0] + F.coalesce(F.sum(added).over(whole), F.lit(0.0)), known[1] + F.count(added).over(whole))
+    raw = rows.select(*fresh.columns, "_new", *_looked_back(keys, day, F.col("_y"), calendar), fill.alias("_fill"))
+    return _filled(raw.filter("_new"), fresh.columns, day)
 
 
 def tail_statistics(demand: DataFrame, keys: list[str], day: str, quantity: str) -> DataFrame:

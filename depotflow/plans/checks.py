@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.functions.numbers import rounded
-from depotflow.operators.joins import lookup
+from depotflow.operators.bitmaps import key_state, repeated_keys, with_membership
 from depotflow.operators.quality import (
     PASSING_STATUSES,
     RowRule,
@@ -18,16 +18,19 @@ from depotflow.operators.quality import (
     check_row,
     duplicated_groups,
     grouped,
-    is_orphan,
     report,
+    rule_counts,
+    rule_rows,
     run_row_rules,
     same_row_count,
     sentence,
+    summed_counts,
     surplus_rows,
     text,
     with_failure_pct,
     with_reference_flags,
 )
+from depotflow.session import stage
 
 # Thresholds of the checks.
 LAG_MISMATCH_PCT = 5.0
@@ -48,46 +51,77 @@ NOT_NEGATIVE = {
 }
 
 
-def _null_pk(table: str, key: str) -> RowRule:
-    return RowRule(f"null_pk_{table}", F.col(key).isNull(), text(f"{table}.{key}"))
-
-
 def star_checks(tables: dict[str, DataFrame], sources: dict[str, DataFrame], first: date, last: date) -> DataFrame:
-    """26 checks: keys, references, duplicates, date range, signs, stock-out logic and completeness."""
+    """26 checks: keys, references, duplicates, date range, signs, stock-out logic and completeness.
+
+    One pass over each table gives its state: for each 32,768 neighbouring keys the bitmap of those present and the counts of
+    all rules. References are bits of the dimensions' states, so no check shuffles a fact by key. A fact is read
+    again, for repeated keys, only where a stretch of keys has more rows than keys.
+    """
+    states = {table: stage(key_state(tables[table], key)) for table, key in DIMENSIONS.items()}
     parts = []
     for table, key in DIMENSIONS.items():
-        parts.append(run_row_rules(tables[table], [_null_pk(table, key)]))
-        parts.append(duplicated_groups(tables[table], f"dup_pk_{table}", [key], text(f"{table}.{key}")))
-    # one row per key even when the dimension repeats a key, so that the joins leave the row counts alone
-    days = tables["dim_date"].groupBy("date_key").agg(F.min("full_date").alias("_earliest"), F.max("full_date").alias("_latest"))
-    for table, key in FACTS.items():
-        flagged = with_reference_flags(tables[table], {c: (tables[d], c) for c, d in FOREIGN_KEYS.items()})
-        flagged = lookup(flagged, days, {"date_key": "date_key"}, ["_earliest", "_latest"])
-        rules = [_null_pk(table, key)]
-        rules += [
-            RowRule(f"ri_{table}_{c}", is_orphan(c), text(f"{c} in {d}")) for c, d in FOREIGN_KEYS.items()
-        ]
-        outside = (F.col("_earliest") < F.lit(first)) | (F.col("_latest") > F.lit(last))
-        rules.append(RowRule(f"date_range_{table}", outside, text(f"{first} .. {last}")))
-        rules += [
-            RowRule(f"qty_non_negative_{table}_{c}", F.col(c) < 0, text(f"{table}.{c}"))
-            for c in NOT_NEGATIVE[table]
-        ]
-        if table == "fact_daily_demand":
-            rules.append(RowRule("revenue_non_negative", F.col("revenue") < 0, text("")))
-            rules.append(
-                RowRule(
-                    "stockout_consistency",
-                    F.col("quantity_fulfilled") > F.col("quantity_demanded"),
-                    text("more fulfilled than demanded"),
-                    applies=F.col("stockout_flag"),
-                )
-            )
-        parts.append(run_row_rules(flagged, rules))
-        parts.append(same_row_count(f"completeness_{table}", sources[table], tables[table]))
+        total, missing = F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("bucket").isNull(), F.col("rows"))), F.lit(0))
+        counts = states[table].agg(total.alias("c0"), missing.alias("f0"))
+        parts.append(rule_rows(counts, [RowRule(f"null_pk_{table}", F.lit(None), text(f"{table}.{key}"))]))
+        parts.append(duplicate_check(table, key, tables[table], states[table]))
+    for table in FACTS:
+        state = stage(fact_state(table, tables[table], states, tables["dim_date"], first, last))
+        parts.append(fact_report(table, state, sources[table], first, last))
     return with_failure_pct(report(parts))
 
 
+def fact_rules(table: str, first: date, last: date) -> list[RowRule]:
+    """Rules on the rows of a fact with `_found_<key>` and `_outside` flags."""
+    key = FACTS[table]
+    rules = [RowRule(f"null_pk_{table}", F.col(key).isNull(), text(f"{table}.{key}"))]
+    rules += [
+        RowRule(f"ri_{table}_{c}", F.col(c).isNotNull() & ~F.col(f"_found_{c}"), text(f"{c} in {d}")) for c, d in FOREIGN_KEYS.items()
+    ]
+    rules.append(RowRule(f"date_range_{table}", F.col("_outside"), text(f"{first} .. {last}")))
+    rules += [RowRule(f"qty_non_negative_{table}_{c}", F.col(c) < 0, text(f"{table}.{c}")) for c in NOT_NEGATIVE[table]]
+    if table == "fact_daily_demand":
+        rules.append(RowRule("revenue_non_negative", F.col("revenue") < 0, text("")))
+        rules.append(
+            RowRule(
+                "stockout_consistency", F.col("quantity_fulfilled") > F.col("quantity_demanded"), text("more fulfilled than demanded"),
+                applies=F.col("stockout_flag"),
+            )
+        )
+    return rules
+
+
+def fact_state(
+    table: str, fact: DataFrame, dimensions: dict[str, DataFrame], dates: DataFrame, first: date, last: date
+) -> DataFrame:
+    """Key bitmap and rule counts of the rows of one load of a fact; `dimensions` holds the states of the dimensions."""
+    flagged = fact
+    for column, dimension in FOREIGN_KEYS.items():
+        flagged = with_membership(flagged, column, dimensions[dimension], f"_found_{column}")
+    outside = dates.filter((F.col("full_date") < F.lit(first)) | (F.col("full_date") > F.lit(last)))
+    flagged = with_membership(flagged, "date_key", key_state(outside, "date_key"), "_outside")
+    return key_state(flagged, FACTS[table], rule_counts(fact_rules(table, first, last)))
+
+
+def merge_fact_states(table: str, states: DataFrame, first: date, last: date) -> DataFrame:
+    """One state of those of several loads."""
+    return states.groupBy("bucket").agg(
+        F.sum("rows").alias("rows"), F.bitmap_or_agg("bits").alias("bits"), *summed_counts(fact_rules(table, first, last))
+    )
+
+
+def fact_report(table: str, state: DataFrame, source: DataFrame, first: date, last: date) -> DataFrame:
+    """The checks of a fact from its merged state, without its rows."""
+    rules = fact_rules(table, first, last)
+    loaded = state.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar()
+    return report([rule_rows(state.agg(*summed_counts(rules)), rules), same_row_count(f"completeness_{table}", source, loaded)])
+
+
+def duplicate_check(table: str, key: str, df: DataFrame, state: DataFrame) -> DataFrame:
+    totals = repeated_keys(df, key, state).withColumn("c", state.agg(F.coalesce(F.sum("rows"), F.lit(0))).scalar())
+    return as_rows(totals, [check_row(f"dup_pk_{table}", F.col("c"), F.col("n"), F.lit(f"{table}.{key}"))])
+
+
 def feature_checks(features: DataFrame, demand: DataFrame, skus: DataFrame, sites: DataFrame) -> DataFrame:
     """5 checks of the feature store; the lag check looks at every row, not at a sample."""
     nulls = sum((F.col(c).isNull().cast("int") for c in CALENDAR_COLUMNS), F.lit(0))

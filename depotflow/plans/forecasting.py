@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.functions.numbers import rounded
 from depotflow.operators.joins import first_per_key
-from depotflow.operators.positions import with_dense_key
-from depotflow.operators.series import LAGS, MEAN_SPANS, DEVIATION_SPANS, demand_features, tail_statistics
+from depotflow.operators.series import (
+    DEVIATION_SPANS,
+    LAGS,
+    MEAN_SPANS,
+    demand_features,
+    features_after,
+    merge_series,
+    series_state,
+    tail_statistics,
+)
 
 # Fixed values of the forecast.
 HORIZON_DAYS = 30
@@ -44,14 +52,18 @@ def feature_store(demand: DataFrame, calendar: bool = False, expanding_fill: boo
     return features.drop("quantity_demanded")
 
 
-def new_features(demand: DataFrame, stored: DataFrame, floor: date = FIRST_LOAD_MARK) -> DataFrame:
-    """Features of dates after the largest stored date (after `floor` for an empty store), with continued ids.
+def demand_state(demand: DataFrame) -> DataFrame:
+    """What features of later days need of the days so far."""
+    return series_state(demand, SERIES, "feature_date", "quantity_demanded")
 
-    Look-backs and fill values come from the whole history, so the history is read; only new dates are written.
-    """
-    mark = stored.agg(F.coalesce(F.max("feature_date"), F.lit(floor))).scalar()
-    fresh = feature_store(demand).filter(F.col("feature_date") > mark)
-    return with_dense_key(fresh, "feature_id", None, after=stored)  # the windows' own partitioning is kept
+
+def advanced_state(state: DataFrame, increment: DataFrame) -> DataFrame:
+    return merge_series(state.unionByName(demand_state(increment)), SERIES)
+
+
+def features_of_increment(increment: DataFrame, state: DataFrame) -> DataFrame:
+    """Features of days after those of the state; no earlier day is read."""
+    return features_after(increment, state, SERIES, "feature_date", "quantity_demanded").drop("quantity_demanded")
 
 
 def baseline_forecasts(

@@ -83,11 +83,25 @@ def _star_report() -> str:
             "'more fulfilled than demanded'", applies="stockout_flag",
         )
     )
+    return _star_layout(rows)
+
+
+def _star_layout(rows: list[str]) -> str:
     return f"""SELECT "check" AS check_name, status, rows_checked, rows_failed,
         CASE WHEN rows_checked > 0 THEN round(rows_failed / rows_checked * 100, 4) ELSE 0.0 END AS failure_pct, detail
         FROM ({_all(rows)})"""
 
 
+def _demand_report() -> str:
+    """The rows of the star report that concern the demand fact, and its repeated keys."""
+    repeated = _row(
+        "dup_pk_fact_daily_demand", "(SELECT count(*) FROM star_demand)",
+        "(SELECT count(*) FROM (SELECT demand_key FROM star_demand GROUP BY 1 HAVING count(*) > 1))", "'fact_daily_demand.demand_key'",
+    )
+    return f"""SELECT * FROM ({_star_report()}) WHERE check_name LIKE '%fact_daily_demand%' OR check_name IN ('revenue_non_negative', 'stockout_consistency')
+        UNION ALL {_star_layout([repeated])}"""
+
+
 def _feature_report() -> str:
     total = "(SELECT count(*) FROM series_features)"
     pairs = """(SELECT lag_1, quantity_demanded FROM series_features f JOIN series d ON d.sku_id = f.sku_id
@@ -456,6 +470,7 @@ _QUERIES = {
     "metric_drift": DRIFT,
     # data checks
     "dq_star": _star_report(),
+    "dq_demand_by_load": _demand_report(),
     "dq_features": _feature_report(),
     "dq_monitor": _run_report(),
     "dq_customers": _customer_report(),

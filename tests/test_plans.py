@@ -128,3 +128,27 @@ def test_lines_are_not_shuffled_to_find_their_site(spark, staged_plans, name):
     assert "l_orderkey" not in text and "lineitem" in text
     assert "hashpartitioning(l_suppkey" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_stored_star_tables_are_read_once(spark, staged_plans, tmp_path):
+    """Row rules, references, repeated keys and counts of a fact come from one pass over it and one count of its source."""
+    from datetime import date
+
+    from depotflow.plans import checks
+
+    p = Products(spark, FOLDER)
+    built = {
+        "dim_date": p.month_end_dates(), "dim_warehouse": p.sites(), "dim_supplier": p.suppliers(), "dim_sku": p.skus(),
+        "fact_daily_demand": p.demand(), "fact_inventory_snapshot": p.inventory(),
+    }
+    for name, df in built.items():
+        df.write.parquet(f"{tmp_path}/{name}")
+    staged_plans.clear()
+    tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in built}
+    report = checks.star_checks(tables, {n: tables[n] for n in checks.FACTS}, date(1995, 1, 1), date(2001, 6, 30))
+    rows = report.collect()
+    text = "\n".join([plan(report).split("Initial Plan")[0], *staged_plans])
+    assert len(rows) == 26 and all(r["rows_failed"] == 0 for r in rows if r["check_name"].startswith("dup"))
+    for table in checks.FACTS:
+        assert text.count(f"/{table}]") <= 2, table
+    assert "hashpartitioning(demand_key" not in text and "hashpartitioning(sku_key" not in text

@@ -89,15 +89,30 @@ def test_mape_ignores_zero_actuals(frame):
     assert sorted((r.abc_class, r.model_id) for r in best.collect()) == [("A", 1), ("B", 7)]
 
 
-def test_incremental_features_equal_full_ones_after_the_look_back(frame, spark):
-    demand = frame(DDL, series({"a": 80, "b": 75}))
-    cut = F.lit(date(2023, 3, 1))
-    empty = spark.createDataFrame([], "feature_id bigint, feature_date date")
-    first = forecasting.new_features(demand.filter(F.col("feature_date") <= cut), empty, date(1900, 1, 1))
-    second = forecasting.new_features(demand, first)
-    full = forecasting.feature_store(demand)
-    fresh = second.drop("feature_id")
-    assert fresh.exceptAll(full).count() == 0 and fresh.count() + first.count() == full.count()
-    assert forecasting.new_features(demand, first.unionByName(second)).count() == 0
-    ids = first.unionByName(second).select("feature_id")
-    assert ids.distinct().count() == ids.agg(F.max("feature_id")).first()[0] == full.count()
+@pytest.mark.parametrize("cuts", [(date(2023, 3, 1),), (date(2023, 1, 5), date(2023, 1, 6), date(2023, 3, 18))])
+def test_features_from_states_equal_those_of_all_rows(frame, cuts):
+    """Several increments, also shorter than a look-back; a series that ends early and one that begins late."""
+    late = [r for r in series({"c": 80}) if r[0] > date(2023, 2, 20)]
+    demand = frame(DDL, series({"a": 80, "b": 75}) + late).cache()
+    day, state, begun = F.col("feature_date"), None, None
+    for begin, end in zip((date(1900, 1, 1), *cuts), (*cuts, date(2100, 1, 1))):
+        part = demand.filter((day > F.lit(begin)) & (day <= F.lit(end)))
+        if state is not None:
+            got = forecasting.features_of_increment(part, state)
+            # the mean that fills gaps is that of the rows known so far
+            full = forecasting.feature_store(demand.filter(day <= F.lit(end))).filter(day > F.lit(begin))
+            assert got.columns == full.columns and got.exceptAll(full).count() == 0 and got.count() == full.count() == part.count()
+        state = forecasting.demand_state(part) if state is None else forecasting.advanced_state(state, part)
+    whole = {(r.sku_id, r.warehouse_id): (r.tail, r.total, r.n) for r in forecasting.demand_state(demand).collect()}
+    assert {(r.sku_id, r.warehouse_id): (r.tail, r.total, r.n) for r in state.collect()} == whole
+
+
+def test_the_second_load_reads_no_history(frame, spark, tmp_path):
+    demand, day = frame(DDL, series({"a": 80})), F.col("feature_date")
+    history, fresh = demand.filter(day <= F.lit(date(2023, 3, 1))), demand.filter(day > F.lit(date(2023, 3, 1)))
+    history.write.parquet(f"{tmp_path}/history")
+    fresh.write.parquet(f"{tmp_path}/fresh")
+    forecasting.demand_state(spark.read.parquet(f"{tmp_path}/history")).write.parquet(f"{tmp_path}/state")
+    out = forecasting.features_of_increment(*(spark.read.parquet(f"{tmp_path}/{n}") for n in ("fresh", "state")))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == fresh.count() and "/fresh" in text and "/state" in text and "/history" not in text
