@@ -116,16 +116,21 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
         F.sha2(F.concat_ws("|", F.lit(secret), F.lit("host"), host), 256).alias("of_host"),
     )
     seeded = lambda e: F.sha2(F.concat_ws("|", F.lit(secret), e["kind"], e["canon"], e["attempt"]), 256)
-    return bound(given, lambda e: bound(seeded(e), lambda seed: _drawn(e["kind"], e["value"], e["canon"], seed, e["of_host"])))
+    return bound(given, lambda e: bound(seeded(e), lambda seed: _drawn(e["kind"], e["value"], e["canon"], seed, e["of_host"], e["attempt"].cast("int"))))
 
 
-def _drawn(kind: Column, value: Column, canon: Column, seed: Column, of_host: Column) -> Column:
+def _longer(text: Column, attempt: Column) -> Column:
+    """The text with its last character repeated once for each attempt, so that there are more surrogates for each further draw."""
+    return F.concat(text, F.repeat(F.right(text, F.lit(1)), attempt))
+
+
+def _drawn(kind: Column, value: Column, canon: Column, seed: Column, of_host: Column, attempt: Column) -> Column:
     ip = F.concat_ws(".", *[(_draw(seed, k, 254) + 1).cast("string") for k in range(4)])
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     ending = F.substring_index(host, ".", -1)
     front = F.substring(host, F.lit(1), F.char_length(host) - F.char_length(ending))
     # addresses of one host keep sharing one host
-    email = F.concat(_relettered(local, seed), F.lit("@"), _relettered(front, of_host), ending)
+    email = F.concat(_relettered(_longer(local, attempt), seed), F.lit("@"), _relettered(front, of_host), ending)
 
     def checked(drawn: Column) -> Column:
         digits = F.regexp_replace(drawn, "[^0-9]", "")
@@ -141,11 +146,13 @@ def _drawn(kind: Column, value: Column, canon: Column, seed: Column, of_host: Co
     hexed = F.substring(F.sha2(seed, 512), F.lit(1), F.char_length(kept))
     title = F.regexp_extract(value, r"^\p{L}+\.? ", 0)
     script = F.when(value.rlike(r" \p{IsCyrillic}"), "cyrillic").when(value.rlike(r" \p{IsLatin}"), "latin")
-    name = F.concat(title, _relettered(F.substring(value, F.char_length(title) + 1, F.char_length(value)), seed))
+    name = F.concat(title, _relettered(_longer(F.substring(value, F.char_length(title) + 1, F.char_length(value)), attempt), seed))
     two = F.size(F.split(F.substring(value, F.char_length(title) + 1, F.char_length(value)), " ")) > 1
     for (letters, gender), given in GIVEN.items():
         pick = lambda at, of: F.get(F.array(*map(F.lit, of)), _draw(seed, at, len(of)).cast("int"))
-        parts = F.concat(*[pick(k, SYLLABLES[letters]) for k in (1, 2, 3)])
+        some = F.array(*map(F.lit, SYLLABLES[letters]))
+        more = F.transform(F.slice(F.sequence(F.lit(0), attempt), 2, attempt), lambda k: F.get(some, _draw(seed, k + 3, len(SYLLABLES[letters])).cast("int")))  # noqa: B023
+        parts = F.concat(*[pick(k, SYLLABLES[letters]) for k in (1, 2, 3)], F.array_join(more, ""))  # one syllable more for each further draw
         surname = F.concat(F.initcap(parts), F.lit(SURNAME_ENDS[letters, gender]))
         whole = F.concat(title, F.when(two, F.concat(pick(0, given), F.lit(" "))).otherwise(""), surname)
         name = F.when((script == letters) & F.startswith(canon, F.lit(f"{gender}:")), whole).otherwise(name)
@@ -177,6 +184,7 @@ def draws(entities: DataFrame, secret: str, rounds: int = ROUNDS) -> DataFrame:
         known = stage(
             known.join(again, ["kind", "canon"], "left").select("kind", "canon", "value", (F.col("attempt") + F.coalesce("more", F.lit(0))).alias("attempt"))
         )
+    # names and addresses get longer with each draw, so this is about numbers of a format with hardly any free number
     raise ValueError(f"after {rounds} rounds some entities still share a surrogate")
 
 

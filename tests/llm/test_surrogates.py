@@ -83,3 +83,23 @@ def test_a_very_long_text(frame):
     text = "word " * 40_000 + "a@b.com " + "word " * 40_000
     (out, n) = run(frame, [text])[0]
     assert n == 1 and len(out) == len(text) and "a@b.com" not in out
+
+
+def test_more_names_than_the_first_pool_holds(frame):
+    """100,000 surnames, where three syllables make 4,096: every one gets a surrogate of its own, and none is a real one."""
+    letters = "abcdefghijklmnopqrst"
+    names = ["Qu" + "".join(letters[k // 20**p % 20] for p in range(4)) for k in range(100_000)]
+    texts = [" and ".join(f"Mr {n}" for n in names[k : k + 1000]) for k in range(0, len(names), 1000)]
+    found = {}
+    for i, (text, n) in run(frame, texts).items():
+        assert n == 1000
+        for name, other in zip(names[i * 1000 :], text.split(" and ")):
+            assert re.fullmatch(r"Mr [A-Z][a-z]+er", other)
+            found[name] = other[3:]
+    assert len(set(found.values())) == len(names) and not set(found.values()) & set(names)
+
+
+def test_short_addresses_outgrow_their_format(frame):
+    texts = [f"write to {a}@{b}.example.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in ("x", "y")]
+    got = {i: text for i, (text, _) in run(frame, texts).items()}
+    assert len(set(got.values())) == len(texts)
