@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from datetime import date
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from depotflow.functions.numbers import rounded
+from depotflow.operators.bitmaps import distinct_keys, key_state
+from depotflow.session import stage
 
 # Percentages above which a column is flagged.
 NULL_FLAG_PCT = 5.0
@@ -12,29 +17,91 @@ DUPLICATE_FLAG_PCT = 50.0
 EXEMPT_NAME_PARTS = ("key", "flag")
 
 
+# Integer columns with at most so many possible values for each row are counted in bitmaps, 8 bytes a row at most.
+VALUES_FOR_ROW = 64
+WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DateType)
+
+
 def _shown(c: Column, t: T.DataType) -> Column:
-    return (c.cast("decimal(28,4)") if isinstance(t, T.NumericType) else c).cast("string")
+    """Numbers with four digits; fractions that these can't show, and NaN and infinities, as they are."""
+    if isinstance(t, (T.DoubleType, T.FloatType)):
+        plain = (c == 0) | F.abs(c).between(1e-4, 1e15)
+        return F.when(plain, c.try_cast("decimal(28,4)").cast("string")).otherwise(c.cast("string"))
+    return (c.cast("decimal(38,4)") if isinstance(t, T.NumericType) else c).cast("string")
+
+
+def _as_long(c: Column, t: T.DataType) -> Column:
+    return (F.unix_date(c) if isinstance(t, T.DateType) else c).cast("bigint")
+
+
+def column_state(df: DataFrame) -> DataFrame:
+    """One row: row count, and for each column what adds up over parts of a table: filled cells, extremes, sum, and a distinct sketch."""
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        plain = c if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)) else c.cast("string")
+        aggregates += [F.count(c).alias(f"{f.name}#n"), F.min(c).alias(f"{f.name}#lo"), F.max(c).alias(f"{f.name}#hi"), F.hll_sketch_agg(plain).alias(f"{f.name}#d")]
+        aggregates += [x.alias(f"{f.name}#{n}") for n, x in _sums(c, f.dataType).items()]
+    return df.agg(*aggregates)
+
+
+def _sums(c: Column, t: T.DataType) -> dict[str, Column]:
+    """An exact sum to four digits, and a plain one for columns with values (NaN, 1e25) that it can't take."""
+    if not isinstance(t, T.NumericType):
+        return {}
+    exact = c.try_cast("decimal(28,4)")
+    return {"sum": F.sum(exact), "off": F.count_if(c.isNotNull() & exact.isNull()), "plain": F.sum(c.cast("double"))}
+
+
+def merge_column_states(states: DataFrame) -> DataFrame:
+    """The state of a table from those of its parts."""
+    kinds = {"lo": F.min, "hi": F.max, "d": F.hll_union_agg}
+    return states.agg(*[kinds.get(n.rpartition("#")[2], F.sum)(f"`{n}`").alias(n) for n in states.columns])
+
+
+def distinct_counts(df: DataFrame, extent: Row) -> DataFrame:
+    """(column, _distinct): exact numbers of different values, column by column.
+
+    Each count reads one column. Integers and days that lie close together are counted in bitmaps, so what is shuffled are
+    buckets of 32,768 neighbouring values; other columns are grouped by value, combined before the shuffle.
+    `extent` has the row count and the extremes of each column.
+    """
+    counts = []
+    for f in df.schema.fields:
+        c, low, high = F.col(f"`{f.name}`"), extent[f"{f.name}#lo"], extent[f"{f.name}#hi"]
+        if isinstance(f.dataType, WHOLE) and low is not None and _width(low, high) <= VALUES_FOR_ROW * extent["_rows"]:
+            state = key_state(df.select(_as_long(c, f.dataType).alias("v")), "v")
+            count = state.agg(distinct_keys(state).alias("_distinct"))
+        else:
+            count = df.select(c.alias("v")).filter("v is not null").distinct().agg(F.count(F.lit(1)).alias("_distinct"))
+        counts.append(count.select(F.lit(f.name).alias("column"), "_distinct"))
+    return reduce(DataFrame.unionAll, counts)
+
+
+def _width(low: int | date, high: int | date) -> int:
+    return (high - low).days if isinstance(low, date) else high - low
 
 
 def profile_table(df: DataFrame, table: str, approximate: bool = False) -> DataFrame:
     """One row per column: NULLs, distinct values, minimum, maximum, mean and two flags.
 
-    Counts, extremes and means take one pass. Exact distinct counts take a second one that shuffles each column's
-    values, combined by value first; `approximate` takes them as sketches in the first pass.
+    Counts, extremes and means take one pass, whose one row is staged. Distinct counts are exact (`distinct_counts`); `approximate` takes
+    them from the sketches of that pass.
     """
-    aggregates = [F.count(F.lit(1)).alias("_rows")]
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        aggregates += [F.count(c).alias(f"{f.name}#n"), F.min(c).alias(f"{f.name}#lo"), F.max(c).alias(f"{f.name}#hi")]
-        if isinstance(f.dataType, T.NumericType):
-            aggregates += [F.sum(c.cast("decimal(28,4)")).cast("double").alias(f"{f.name}#sum")]
-        if approximate:
-            aggregates += [F.approx_count_distinct(c).alias(f"{f.name}#d")]
+    return profile_of_state(df, stage(column_state(df)), table, approximate)
+
+
+def profile_of_state(df: DataFrame, state: DataFrame, table: str, approximate: bool = False) -> DataFrame:
+    """The profile from the (merged) state of the table; the rows are only read for exact distinct counts."""
     rows = []
     for f in df.schema.fields:
         filled, numeric = F.col(f"`{f.name}#n`"), isinstance(f.dataType, T.NumericType)
         no_text = F.lit(None).cast("string")
         ordered = numeric or isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+        total = F.lit(None).cast("double")
+        if numeric:
+            total = F.when(F.col(f"`{f.name}#off`") > 0, F.col(f"`{f.name}#plain`")).otherwise(F.col(f"`{f.name}#sum`").cast("double"))
+        mean = F.try_divide(total, filled.cast("double"))
         rows.append(
             F.struct(
                 F.lit(table).alias("table"),
@@ -44,19 +111,14 @@ def profile_table(df: DataFrame, table: str, approximate: bool = False) -> DataF
                 (F.col("_rows") - filled).alias("null_count"),
                 _shown(F.col(f"`{f.name}#lo`"), f.dataType).alias("min"),
                 (_shown(F.col(f"`{f.name}#hi`"), f.dataType) if ordered else no_text).alias("max"),
-                (
-                    rounded(F.try_divide(F.col(f"`{f.name}#sum`"), filled.cast("double")), 4)
-                    if numeric
-                    else F.lit(None).cast("double")
-                ).alias("mean"),
-                (F.col(f"`{f.name}#d`") if approximate else F.lit(None).cast("bigint")).alias("distinct_count"),
+                F.when(F.isnan(mean) | (F.abs(mean) > 1e15), mean).otherwise(rounded(mean, 4)).alias("mean"),
+                F.coalesce(F.hll_sketch_estimate(F.col(f"`{f.name}#d`")), F.lit(0)).cast("bigint").alias("distinct_count"),
             )
         )
-    profile = df.agg(*aggregates).select(F.inline(F.array(*rows)))
-    if not approximate:  # one aggregate with both kinds compiles and runs many times slower than the two apart
-        counts = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in df.columns])
-        named = [F.struct(F.lit(c).alias("column"), F.col(c).alias("_distinct")) for c in df.columns]
-        profile = profile.join(counts.select(F.inline(F.array(*named))), "column").withColumn("distinct_count", F.col("_distinct"))
+    profile = state.select(F.inline(F.array(*rows)))
+    if not approximate:
+        extent = state.select("_rows", *[f"`{f.name}#{x}`" for f in df.schema.fields for x in ("lo", "hi")]).first()
+        profile = profile.drop("distinct_count").join(distinct_counts(df, extent), "column").withColumnRenamed("_distinct", "distinct_count")
     share = F.when(F.col("row_count") > 0, rounded(F.col("null_count") / F.col("row_count") * 100, 4)).otherwise(0.0)
     repeated = F.when(
         F.col("row_count") > 0, rounded((F.lit(1.0) - F.col("distinct_count") / F.col("row_count")) * 100, 4)

@@ -181,3 +181,26 @@ def test_drift_compares_with_the_largest_smaller_run(frame):
     assert rows[1].prior_mape is None and rows[1].drift_status == "PASS"
     assert rows[3].prior_mape == 10.0 and (rows[3].drift_status, rows[3].growth_status) == ("FAIL", "FAIL")
     assert rows[7].prior_rows == 50 and (rows[7].drift_status, rows[7].growth_status) == ("PASS", "PASS")
+
+
+def test_profile_shows_small_large_and_odd_numbers(frame):
+    df = frame("a double, b bigint, c double, d date", [(1e-5, 2**62, 1e25, D1), (2.0, -(2**62), float("nan"), D2), (None, 5, 1.0, D2)])
+    got = {r.column: r for r in profile_table(df, "t").collect()}
+    assert (got["a"]["min"], got["a"]["max"], got["a"]["distinct_count"]) == ("1.0E-5", "2.0000", 2)
+    assert (got["b"]["min"], got["b"]["max"], got["b"]["distinct_count"]) == (f"{-(2**62)}.0000", f"{2**62}.0000", 3)
+    assert got["c"]["max"] == "NaN" and got["c"]["mean"] != got["c"]["mean"] and got["c"]["distinct_count"] == 3
+    assert (got["d"]["min"], got["d"]["max"], got["d"]["distinct_count"]) == ("2023-01-01", "2023-01-02", 2)
+
+
+def test_profile_of_merged_parts_is_that_of_the_table(spark, frame):
+    from depotflow.operators.profiling import column_state, merge_column_states, profile_of_state
+
+    df = spark.range(5000).selectExpr("id", "cast(id % 97 as int) as i", "id * 0.25D as x", "concat('s', id % 300) as s", "date_add(date'2020-01-01', cast(id % 700 as int)) as d")
+    states = column_state(df.filter("id % 3 = 0")).unionAll(column_state(df.filter("id % 3 <> 0")))
+    for approximate in (False, True):
+        merged = profile_of_state(df, merge_column_states(states), "t", approximate).collect()
+        assert sorted(map(tuple, merged)) == sorted(map(tuple, profile_table(df, "t", approximate).collect()))
+    exact = {r.column: r.distinct_count for r in profile_table(df, "t").collect()}
+    assert exact == {"id": 5000, "i": 97, "x": 5000, "s": 300, "d": 700}
+    text = profile_table(df, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in text
