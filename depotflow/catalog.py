@@ -13,6 +13,7 @@ from depotflow import schemas
 from depotflow.bindings import BASIS_DAYS, HOLDOUT_DAYS, TRIAL_END, TRIAL_START, TestTables
 from depotflow.operators import experiments
 from depotflow.operators.bitmaps import key_state
+from depotflow.operators.intervals import as_of
 from depotflow.operators.profiling import null_census, profile_table
 from depotflow.operators.versions import (
     after_watermark,
@@ -438,6 +439,13 @@ def _score_history(p: Products) -> DataFrame:
     return replace_snapshot(first, run(orders, second_at), "is_current_flag", F.lit(second_at))
 
 
+@query
+def orders_with_score(p: Products) -> DataFrame:
+    """Every order with the segment its customer had on the day of the order; none before the first scoring."""
+    orders = p.orders().select("order_id", "customer_id", "order_date")
+    return as_of(orders, stage(_score_history(p)), "customer_id", "order_date", ["rfm_segment", "scoring_date"])
+
+
 @query
 def customer_segments(p: Products) -> DataFrame:
     dim, scores, _ = p.mart_inputs()
@@ -466,6 +474,29 @@ def ab_assignment(p: Products) -> DataFrame:
     return p.trial().select("assignment_id", "customer_id", "test_name", "test_group", "assigned_at", "test_end_date")
 
 
+@query
+def ab_assignment_with_history(p: Products) -> DataFrame:
+    """The same test after two earlier ones: customers of the one that still runs are left out, those of the one that ended are not."""
+    spring = experiments.Trial("spring_trial", "A call brings back At Risk customers", "At Risk", "conversion_rate", date(2000, 2, 1), date(2000, 7, 31))
+    summer = experiments.Trial("summer_trial", "A coupon brings back At Risk customers", "At Risk", "conversion_rate", date(2000, 6, 15), date(2000, 9, 15))
+    registry = experiments.register(experiments.register(p.registry(), spring), summer)
+    number = F.substring("Customer_ID", 6, 12).cast("bigint")
+
+    def earlier(trial: experiments.Trial, every: int, at: int) -> DataFrame:
+        return p.t.customer_source.filter(number % every == 0).select(
+            (number * 2 + at).alias("assignment_id"), F.col("Customer_ID").alias("customer_id"), F.lit(trial.name).alias("test_name"),
+            F.when(number % 2 == 0, "test").otherwise("control").alias("test_group"), F.lit(trial.starts).alias("assigned_at"),
+            F.lit(trial.starts).alias("test_start_date"), F.lit(trial.ends).alias("test_end_date"), F.lit(None).cast("double").alias("primary_metric_value"),
+            F.lit(False).alias("converted_flag"), F.lit(None).cast("date").alias("conversion_date"), F.lit(0.0).alias("revenue_post_assignment"),
+        )
+
+    known = stage(earlier(spring, 5, 0).unionByName(earlier(summer, 3, 1)))
+    past = p.orders().filter(F.col("order_date") <= F.lit(TRIAL_START))
+    people = p.customers(past, stage(customers.rfm_scores(past)))
+    grown = experiments.assign(experiments.eligible(people, registry, known, p.WINBACK), known, p.WINBACK, TRIAL_START)
+    return grown.select("assignment_id", "customer_id", "test_name", "test_group", "assigned_at", "test_end_date")
+
+
 @query
 def ab_outcomes(p: Products) -> DataFrame:
     return p.trial_outcomes().select(
@@ -515,6 +546,14 @@ def locations_at_date(p: Products) -> DataFrame:
     )
 
 
+@query
+def tasks_with_location(p: Products) -> DataFrame:
+    """Every task with zone and capacity that the storage location of its item had on that day."""
+    place = F.concat(F.lit("LOC-"), F.substring("sku_id", 5, 12))
+    tasks = p.plain_tasks().select("task_id", "task_date", place.alias("location_id"))
+    return as_of(tasks, p.locations(), "location_id", "task_date", ["zone", "capacity_units", "active_flag"], days=8)
+
+
 @query
 def sku_velocity(p: Products) -> DataFrame:
     return warehouse.sku_velocity(p.plain_tasks())

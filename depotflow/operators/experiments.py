@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from depotflow.functions.numbers import exact_sum, rounded
 from depotflow.functions.stats import SIGNIFICANCE, two_proportions
+from depotflow.operators.intervals import distinct_keys_overlapping, span
 from depotflow.operators.joins import unknown
 from depotflow.operators.positions import with_dense_key, with_position
 
@@ -50,13 +51,11 @@ def register(registry: DataFrame, trial: Trial) -> DataFrame:
 
 def eligible(customers: DataFrame, registry: DataFrame, assignments: DataFrame, trial: Trial) -> DataFrame:
     """Active customers of the target segment, not in this test and not in another active test at the same time."""
-    overlapping = registry.filter(
-        (F.col("status") == "active")
-        & (F.col("test_name") != trial.name)
-        & (F.col("test_start_date") <= F.lit(trial.ends))
-        & (F.col("test_end_date") >= F.lit(trial.starts))
-    )
-    busy = assignments.join(overlapping.select("test_name"), "test_name", "left_semi").select("customer_id")
+    others = registry.filter((F.col("status") == "active") & (F.col("test_name") != trial.name))
+    spans = others.select("test_name", F.col("test_start_date").alias("_from"), F.col("test_end_date").alias("_to"))
+    taken = assignments.select("customer_id", "test_name").join(spans, "test_name")
+    wanted = registry.sparkSession.range(1).select(*span(F.lit(trial.starts), F.lit(trial.ends)))
+    busy = distinct_keys_overlapping(taken, ("_from", "_to"), wanted, ("_wanted_from", "_wanted_to"), "customer_id").select("customer_id")
     own = assignments.filter(F.col("test_name") == trial.name).select("customer_id")
     target = customers.filter((F.col("current_rfm_segment") == trial.target_segment) & F.col("active_flag"))
     return unknown(target.select("customer_id"), busy.unionByName(own), "customer_id")

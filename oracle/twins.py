@@ -396,6 +396,8 @@ _QUERIES = {
     "rfm_history": _history(),
     "rfm_at_date": f"""SELECT customer_id, scoring_date, rfm_segment, valid_from FROM ({_history()})
         WHERE valid_from <= TIMESTAMP '2000-12-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2000-12-01')""",
+    "orders_with_score": f"""SELECT order_id, o.customer_id, order_date, rfm_segment, scoring_date FROM ords o
+        LEFT JOIN ({_history()}) h ON h.customer_id = o.customer_id AND valid_from <= order_date AND (valid_to IS NULL OR valid_to > order_date)""",
     "customer_segments": """SELECT customer_id, customer_type, region, annual_rev_band, sla_hours, active_flag,
         current_rfm_segment AS rfm_segment, recency_days, frequency_count, round(monetary_value, 2) AS monetary_value,
         recency_score, frequency_score, monetary_score, scoring_date, last_order_date,
@@ -413,6 +415,24 @@ _QUERIES = {
         LEFT JOIN (SELECT customer_id, count(*) AS n, count(*) FILTER (otif_flag) AS otif FROM ords GROUP BY 1) USING (customer_id)
         WHERE active_flag AND current_rfm_segment IS NOT NULL GROUP BY ALL""",
     "ab_assignment": "SELECT * FROM assigned",
+    "ab_assignment_with_history": """SELECT * FROM (
+        WITH numbered AS (SELECT customer_id, CAST(substr(customer_id, 6, 12) AS BIGINT) AS k FROM cust),
+        earlier AS (
+            SELECT k * 2 AS assignment_id, customer_id, 'spring_trial' AS test_name, CASE WHEN k % 2 = 0 THEN 'test' ELSE 'control' END AS test_group,
+                DATE '2000-02-01' AS assigned_at, DATE '2000-07-31' AS test_end_date FROM numbered WHERE k % 5 = 0
+            UNION ALL
+            SELECT k * 2 + 1, customer_id, 'summer_trial', CASE WHEN k % 2 = 0 THEN 'test' ELSE 'control' END,
+                DATE '2000-06-15', DATE '2000-09-15' FROM numbered WHERE k % 3 = 0
+        ), split AS (
+            SELECT customer_id, CASE WHEN row_number() OVER (ORDER BY md5('42|winback_trial|' || customer_id), customer_id)
+                <= floor(count(*) OVER () * 0.5) THEN 'test' ELSE 'control' END AS test_group
+            FROM past_custdim WHERE current_rfm_segment = 'At Risk' AND active_flag
+            AND customer_id NOT IN (SELECT customer_id FROM earlier WHERE test_name = 'summer_trial')
+        )
+        SELECT * FROM earlier
+        UNION ALL
+        SELECT row_number() OVER (ORDER BY test_group DESC, customer_id) + (SELECT max(assignment_id) FROM earlier), customer_id,
+            'winback_trial', test_group, DATE '2000-08-01', DATE '2001-08-01' FROM split)""",
     "ab_outcomes": """SELECT assignment_id, customer_id, test_group, converted_flag, conversion_date, revenue_post_assignment,
         primary_metric_value FROM outcomes""",
     "ab_analysis": Z_TEST,
@@ -434,6 +454,9 @@ _QUERIES = {
     "location_scd2": "SELECT * FROM location_history",
     "locations_at_date": """SELECT location_id, warehouse_id, zone, storage_type, active_flag, capacity_units FROM location_history
         WHERE valid_from <= TIMESTAMP '2024-01-02 12:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-02 12:00:00')""",
+    "tasks_with_location": """SELECT task_id, task_date, 'LOC-' || substr(sku_id, 5, 12) AS location_id, zone, capacity_units, active_flag
+        FROM tasks t LEFT JOIN location_history h ON h.location_id = 'LOC-' || substr(sku_id, 5, 12)
+        AND valid_from <= task_date AND (valid_to IS NULL OR valid_to > task_date)""",
     "sku_velocity": velocity("tasks", "(SELECT d FROM last_task)"),
     "slotting_recommendations": "SELECT * FROM slot_history",
     "slotting_queue": """SELECT row_number() OVER (ORDER BY warehouse_id, sku_id) AS slotting_id, sku_id, warehouse_id,
