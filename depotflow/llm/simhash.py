@@ -311,6 +311,20 @@ def close_members(members: DataFrame, similarity: float) -> DataFrame:
     return met.select(*[c.alias(n) for c, n in zip(ordered, ("src", "dst", "n_src", "n_dst"))]).distinct()
 
 
+def _unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (src, dst) whose sets have different labels; a set without one is by itself."""
+    both = pairs.join(labels.toDF("src", "l_src"), "src", "left").join(labels.toDF("dst", "l_dst"), "dst", "left")
+    return both.filter(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
+
+
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of a key that are not joined to its last chosen one."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    first = named.groupBy("key").agg(F.max(F.struct("weight", "node", "label")).alias("_hub")).select("key", F.col("_hub.label").alias("_first"))
+    return named.join(first, "key").filter("label <> _first").select(*members.columns)
+
+
+HUB_ROUNDS = 3
 MEMBER = (("node", "i"), ("n", "n"), ("pos", "p"), ("label", "l"))
 
 
@@ -323,7 +337,8 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
     shared = stage(probes.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
     # staged, so that adaptive execution can split the joins where a group of near copies makes a key hot
     members = stage(only(probes, F.col("key"), shared))
-    del probes
+    common = members.groupBy("node").agg((F.count(F.lit(1)) / F.max(F.floor(F.col("n") * (1 - similarity)) + 1)).alias("weight"))
+    members = stage(members.join(common, "node"))
 
     def near(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (src, dst, ...) that the parity bitmaps allow, with the number of bits they differ in."""
@@ -350,34 +365,38 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
         common = F.size(F.array_intersect("a", "b"))
         return stage(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
 
-    # The first member of a key against all others joins most of what belongs together. Of the pairs that a set has with such
-    # members the closest is verified first, and the others only if they would still connect something.
-    hubs = members.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("hub"))
-    met = members.join(hubs, "key").select(
-        F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
-        F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
-    )
-    stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
-    stars = stage(near(stage(stars)))
-    closest = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
-    linked = verified(stage(closest))
-    labels = stage(components(linked))
-
-    def unjoined(pairs: DataFrame) -> DataFrame:
-        named = labels.toDF("src", "l_src"), labels.toDF("dst", "l_dst")
-        both = pairs.join(named[0], "src", "left").join(named[1], "dst", "left")
-        return both.filter(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
-
-    others = stage(unjoined(stars))
-    if others.limit(1).count():
-        linked = linked.unionAll(verified(others))
+    # The member of a key with the largest part of its first elements in common with others, as the original of a group of copies
+    # has, against all others joins most of what belongs together. Of the pairs that a set has with such members the closest is
+    # verified first, and the others only if they would still connect something. Then the members that are still apart from it choose
+    # another one among themselves.
+    linked, tried = None, None
+    labels = rows.select("node", F.col("node").alias("label")).limit(0)
+    for _ in range(HUB_ROUNDS):
+        placed = members if linked is None else stage(_apart(placed, labels))
+        if linked is not None and not placed.limit(1).count():
+            break
+        hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
+        met = placed.join(hubs, "key").select(
+            F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
+            F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
+        )
+        stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
+        stars = stage(near(stage(stars)))
+        closest = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
+        found = verified(stage(closest))
+        linked = found if linked is None else linked.unionAll(found)
         labels = stage(components(linked))
+        others = stage(_unjoined(stars, labels))
+        if others.limit(1).count():
+            linked = linked.unionAll(verified(others))
+            labels = stage(components(linked))
+        tried = stars.select("src", "dst") if tried is None else tried.unionAll(stars.select("src", "dst"))
     # then every pair that a key holds and that isn't joined yet
     placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     parted = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key")
     placed = stage(only(placed, F.col("key"), stage(parted)))
-    tried = stars.select("src", "dst")
-    rest = stage(near(stage(close_members(placed, similarity))).select("src", "dst").join(tried, ["src", "dst"], "left_anti"))
+    both = tried.unionAll(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    rest = stage(near(stage(close_members(placed, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti"))
     if rest.limit(1).count():
         labels = stage(components(linked.unionAll(verified(rest))))
     named = rows.select("doc_id", "node").distinct().join(labels, "node", "left")
