@@ -27,7 +27,7 @@ from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import shared_folder, stage, tune
 from depotflow.sources.generated import date_dimension, model_dimension, site_dimension
 from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
-from depotflow.sources.tables import TableStore, full_refresh, log_steps, publish_view
+from depotflow.sources.tables import TableStore, full_refresh, load_routed, log_steps, publish_view
 from depotflow.streaming.loads import drain, load_by_date, load_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,6 +385,18 @@ def orders_rejected(p: Products) -> DataFrame:
     )
 
 
+@query
+def orders_quarantine(p: Products) -> DataFrame:
+    """Orders held back for their unknown customer, after two deliveries of one file; the second adds nothing."""
+    store, table = p.new_store(), "fact_orders"
+    clean = stage(customers.clean_orders(p.t.repeated_order_source, ["ship_date", "sku_id", "warehouse_id", "revenue"]))
+    people = stage(customers.clean_customers(p.t.customer_source))
+    for delivery in (clean.filter("order_date < '1998-01-01'"), clean):
+        routed = customers.route_orders(delivery, people, store.read(table, clean.schema))
+        load_routed(store, table, routed, "order_id", customers.ACCEPTED, customers.REJECTED)
+    return store.read(f"quarantine_{table}").select("order_id", "customer_id", "sku_id", "order_date", "verdict")
+
+
 @query
 def fact_orders(p: Products) -> DataFrame:
     return p.orders().drop("warehouse_id")

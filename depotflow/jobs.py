@@ -28,7 +28,7 @@ from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import stage
 from depotflow.sources import generated
 from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
-from depotflow.sources.tables import LoadResult, TableStore, aligned, full_refresh, log_steps
+from depotflow.sources.tables import LoadResult, TableStore, aligned, full_refresh, load_routed, log_steps
 
 
 class Jobs:
@@ -228,15 +228,23 @@ class Jobs:
         return self.store.refresh("dim_customer", customers.load_customers(self._table("dim_customer"), clean))
 
     def load_orders(self) -> tuple[str, int]:
-        """Append orders of known customers that are not loaded, then bring the lifetime metrics up to date."""
+        """Append orders of known customers that are not loaded, then bring the lifetime metrics up to date.
+
+        Orders of unknown customers go to `quarantine_fact_orders`; the load log says how many rows took which way.
+        """
+        started = time.perf_counter()
         clean = customers.clean_orders(self._csv("outbound_orders"), ["order_date", "ship_date", "sku_id", "revenue"])
-        fresh = stage(customers.new_orders(clean, self._table("dim_customer"), self._table("fact_orders")))
-        rows = fresh.count()
-        if rows:
-            self.store.append("fact_orders", self._stamped("fact_orders", fresh))
+        routed = customers.route_orders(clean, self._table("dim_customer"), self._table("fact_orders"))
+        counts = load_routed(
+            self.store, "fact_orders", routed, "order_id", customers.ACCEPTED, customers.REJECTED, lambda df: self._stamped("fact_orders", df)
+        )
+        rows = counts[customers.ACCEPTED]
         updated = customers.with_lifetime_metrics(self._table("dim_customer"), self._table("fact_orders"))
         self.store.refresh("dim_customer", updated)
-        return ("OK" if rows else "UP_TO_DATE"), rows
+        status = "OK" if rows else "UP_TO_DATE"
+        note = f"{counts['rows']} delivered, {counts[customers.REJECTED]} of unknown customers"
+        log_steps(self.store, [("orders", status, rows, round(time.perf_counter() - started, 3), note)], utc(self.run_at), int(self.run_at.timestamp()), "load_log")
+        return status, rows
 
     def score_customers(self, strict: bool = False) -> DataFrame:
         """Close the current scores, add new ones, and write the segment back to the customers."""

@@ -59,6 +59,19 @@ def new_orders(clean: DataFrame, customers: DataFrame, loaded: DataFrame) -> Dat
     return unknown(known(clean, customers, "customer_id"), loaded, "order_id")
 
 
+# Where an order goes.
+ACCEPTED, LOADED, REJECTED = "accepted", "already loaded", "unknown customer"
+
+
+def route_orders(clean: DataFrame, customers: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Every order with its verdict; an order without a customer has an unknown one."""
+    people = customers.select(F.col("customer_id").alias("_person")).distinct().withColumn("_is_known", F.lit(True))
+    orders = loaded.select(F.col("order_id").alias("_order")).distinct().withColumn("_is_loaded", F.lit(True))
+    both = clean.join(people, F.col("customer_id") == F.col("_person"), "left").join(orders, F.col("order_id") == F.col("_order"), "left")
+    verdict = F.when(F.col("_is_known").isNull(), REJECTED).when(F.col("_is_loaded"), LOADED).otherwise(ACCEPTED)
+    return both.withColumn("verdict", verdict).select(*clean.columns, "verdict")
+
+
 def rejected_orders(clean: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders of customers the dimension does not hold."""
     return unknown(clean, customers, "customer_id")

@@ -6,6 +6,7 @@ complete version, so a failed or running refresh never shows and no path is over
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
@@ -54,7 +55,7 @@ class TableStore:
         version = max(self._versions(table), default=0) + 1
         # an aborted attempt may have left files without _SUCCESS under this number
         df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{self.root}/{table}/version={version}")
-        return self.read(table)
+        return self.read(table, df.schema if partition_by else None)  # without rows there are no partitions to tell the schema
 
     def append(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
         """Add rows to the current version (or start the first one)."""
@@ -90,6 +91,25 @@ def full_refresh(store: TableStore, table: str, df: DataFrame, partition_by: lis
     return LoadResult(table, rows, loaded, "OK" if rows == loaded else "ROW_COUNT_MISMATCH")
 
 
+def load_routed(
+    store: TableStore, table: str, routed: DataFrame, key: str, accepted: str, rejected: str, stamp: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> dict[str, int]:
+    """Write rows with a verdict once, as partitions by verdict; append the accepted ones to the table and the rejected ones, unless
+    they are there, to `quarantine_<table>`. Returns the rows of each verdict, counted by the write itself.
+    """
+    seen = Observation(f"route_{table}")
+    observed = routed.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("verdict") == v).alias(v) for v in (accepted, rejected)])
+    latest = store.refresh(f"routed_{table}", observed, ["verdict"])
+    found = {k: int(v) for k, v in seen.get.items()}
+    if found[accepted]:
+        store.append(table, stamp(latest.filter(F.col("verdict") == accepted).drop("verdict")))
+    if found[rejected]:
+        held = store.read(f"quarantine_{table}", latest.schema).select(F.col(key).alias("_held"))
+        fresh = latest.filter(F.col("verdict") == rejected)
+        store.append(f"quarantine_{table}", fresh.join(held, F.col(key) == F.col("_held"), "left_anti"))
+    return found
+
+
 # Load order, dimensions before facts.
 STAR_LOAD_ORDER = (
     "dim_date", "dim_warehouse", "dim_supplier", "dim_sku", "fact_daily_demand", "fact_inventory_snapshot",
@@ -105,8 +125,8 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def log_steps(store: TableStore, steps: list[tuple[str, str, int, float, str]], run_at: Column, run_id: int) -> None:
-    """Append one row per step (step, status, rows, seconds, notes) of a run to the run log."""
+def log_steps(store: TableStore, steps: list[tuple[str, str, int, float, str]], run_at: Column, run_id: int, log: str = "run_log") -> None:
+    """Append one row per step (step, status, rows, seconds, notes) of a run to a log."""
     spark = store.spark
     rows = spark.createDataFrame(steps, "step string, status string, rows_processed bigint, duration_s double, notes string")
-    store.append("run_log", rows.withColumns({"run_at": run_at, "run_id": F.lit(run_id).cast("bigint")}).coalesce(1))
+    store.append(log, rows.withColumns({"run_at": run_at, "run_id": F.lit(run_id).cast("bigint")}).coalesce(1))

@@ -387,6 +387,8 @@ _QUERIES = {
     "orders_clean": "SELECT * FROM first_orders WHERE customer_id IN (SELECT customer_id FROM cust)",
     "orders_rejected": """SELECT order_id, customer_id, sku_id, order_date FROM first_orders
         WHERE customer_id NOT IN (SELECT customer_id FROM cust)""",
+    "orders_quarantine": """SELECT order_id, customer_id, sku_id, order_date, 'unknown customer' AS verdict FROM first_orders
+        WHERE customer_id NOT IN (SELECT customer_id FROM cust)""",
     "fact_orders": f"SELECT {ORDER_COLUMNS} FROM ords",
     "customer_lifetime": f"""SELECT * EXCLUDE (current_rfm_segment) FROM ({customers_with("scores", "ords")})""",
     "rfm_scores": "SELECT * FROM scores",

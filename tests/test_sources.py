@@ -144,3 +144,21 @@ def test_stream_by_date_in_many_batches_and_replayed(spark, store, frame, tmp_pa
     frame(ddl, [(date(2024, 1, 4), 9), (date(2024, 1, 6), 9)]).coalesce(1).write.mode("append").parquet(landing)
     drain(spark, landing, schema, make("d2"), str(tmp_path / "p1"), files_per_batch=1)
     assert sorted(r.day.day for r in store.read("t").collect()) == [3, 4, 5, 6]  # the late 4 January is not loaded
+
+
+def test_rows_are_routed_in_one_write(spark, frame, tmp_path):
+    """Accepted rows go to the table, rejected ones once to the quarantine, and the counts come with the write; also without any rows."""
+    from depotflow.plans.customers import ACCEPTED, REJECTED, route_orders
+    from depotflow.sources.tables import TableStore, load_routed
+
+    store = TableStore(spark, str(tmp_path))
+    people = frame("customer_id string", [("a",), ("a",), (None,)])
+    orders = frame("order_id string, customer_id string, x int", [("1", "a", 1), ("2", "b", 2), ("3", None, 3), (None, "a", 4)])
+    seen = []
+    for delivery in (orders.limit(0), orders, orders):
+        routed = route_orders(delivery, people, store.read("orders", orders.schema).filter("order_id is not null"))
+        seen.append(load_routed(store, "orders", routed, "order_id", ACCEPTED, REJECTED))
+    assert seen[0] == {"rows": 0, ACCEPTED: 0, REJECTED: 0}
+    assert seen[1] == {"rows": 4, ACCEPTED: 2, REJECTED: 2} and seen[2] == {"rows": 4, ACCEPTED: 1, REJECTED: 2}
+    assert sorted(r.x for r in store.read("orders").collect()) == [1, 4, 4]  # a row without an id is never known as loaded
+    assert sorted(r.x for r in store.read("quarantine_orders").collect()) == [2, 3]
