@@ -144,6 +144,7 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
+        self.v.agreed.clear()
         self.start = (0, ((-1, 0),))  # nothing read, no piece before
         self.states, self.known = [self.start], {self.start: 0}
         self._table(16)

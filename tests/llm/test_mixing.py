@@ -71,7 +71,7 @@ def test_resample_repeats_rows(frame):
     docs, labels = corpus(frame, 200)
     weights = lambda rows: mix(rows, labels, {"plain": 0.9, "toxic": 0.1}, budget=2.0, floor=1.0)
     copies = {r["doc_id"]: r["copies"] for r in weights(docs).collect()}
-    own = docs.selectExpr("*", "7.5D as rate", "'mine' as copies", "1 as row", "2 as n_tokens")
+    own = docs.drop("rate").selectExpr("*", "7.5D as rate", "'mine' as copies", "1 as row", "2 as n_tokens")
     again = resample(own, weights)
     assert again.columns == own.columns and {(r["rate"], r["copies"]) for r in again.collect()} == {(7.5, "mine")}
     counts = {r["doc_id"]: r["count"] for r in again.groupBy("doc_id").count().collect()}
