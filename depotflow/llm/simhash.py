@@ -324,7 +324,8 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(first, "key").filter("label <> _first").select(*members.columns)
 
 
-HUB_ROUNDS = 3
+# Hubs are elected again, at most so often, until a round finds less than this part of the links before it; then all pairs left are compared.
+HUB_ROUNDS, NEW_PART = 3, 16
 MEMBER = (("node", "i"), ("n", "n"), ("pos", "p"), ("label", "l"))
 
 
@@ -367,14 +368,12 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
 
     # The member of a key with the largest part of its first elements in common with others, as the original of a group of copies
     # has, against all others joins most of what belongs together. Of the pairs that a set has with such members the closest is
-    # verified first, and the others only if they would still connect something. Then the members that are still apart from it choose
-    # another one among themselves.
-    linked, tried = None, None
+    # verified first, and the others, together with the next pairs, only if they would still connect something. Then the members that
+    # are still apart from it choose another one among themselves.
+    linked, tried, waiting = None, None, None
     labels = rows.select("node", F.col("node").alias("label")).limit(0)
     for _ in range(HUB_ROUNDS):
         placed = members if linked is None else stage(_apart(placed, labels))
-        if linked is not None and not placed.limit(1).count():
-            break
         hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
         met = placed.join(hubs, "key").select(
             F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
@@ -382,21 +381,22 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
         )
         stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
         stars = stage(near(stage(stars)))
-        closest = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
-        found = verified(stage(closest))
+        asked = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
+        found = verified(stage(asked if waiting is None else asked.unionAll(waiting)))
+        new, before = found.count(), 0 if linked is None else linked.count()
         linked = found if linked is None else linked.unionAll(found)
         labels = stage(components(linked))
-        others = stage(_unjoined(stars, labels))
-        if others.limit(1).count():
-            linked = linked.unionAll(verified(others))
-            labels = stage(components(linked))
+        waiting = stage(_unjoined(stars, labels))
         tried = stars.select("src", "dst") if tried is None else tried.unionAll(stars.select("src", "dst"))
+        if new * NEW_PART <= before:
+            break
     # then every pair that a key holds and that isn't joined yet
     placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     parted = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key")
     placed = stage(only(placed, F.col("key"), stage(parted)))
     both = tried.unionAll(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    rest = stage(near(stage(close_members(placed, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti"))
+    rest = near(stage(close_members(placed, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti")
+    rest = stage(rest.unionAll(waiting))
     if rest.limit(1).count():
         labels = stage(components(linked.unionAll(verified(rest))))
     named = rows.select("doc_id", "node").distinct().join(labels, "node", "left")
