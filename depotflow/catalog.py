@@ -27,6 +27,7 @@ from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import shared_folder, stage, tune
 from depotflow.sources.generated import date_dimension, model_dimension, site_dimension
 from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
+from depotflow.sources.reconcile import reconcile
 from depotflow.sources.tables import TableStore, full_refresh, load_routed, log_steps, publish_view
 from depotflow.streaming.loads import drain, load_by_date, load_by_key
 
@@ -414,6 +415,14 @@ def rfm_scores(p: Products) -> DataFrame:
     return customers.rfm_scores(p.orders())
 
 
+@query
+def rfm_scores_after_delta(p: Products) -> DataFrame:
+    """Scores after later orders, from the state the earlier ones left and the later orders alone."""
+    orders, early = p.orders(), F.col("order_date") <= F.lit(FEATURE_CUT)
+    base, hist = customers.rfm_state(orders.filter(early))
+    return customers.rfm_scores_of_state(*customers.advanced_rfm_state(base, hist, orders.filter(~early | F.col("order_date").isNull())))
+
+
 @query
 def rfm_scores_strict(p: Products) -> DataFrame:
     return customers.rfm_scores(p.orders(), strict=True)
@@ -615,6 +624,29 @@ def incremental_demand(p: Products) -> DataFrame:
     return store.read(table)
 
 
+def _reconciled(p: Products) -> tuple[TableStore, DataFrame]:
+    """Demand delivered twice: at first up to a day, without late rows of one site and with quantities that are corrected later."""
+    store, day = p.new_store(), F.col("date")
+    source = stage(star.clean_demand(p.t.demand_source).drop("category"))
+    late = (F.col("warehouse_id") == "EUROPE") & (F.dayofmonth(day) == 15)
+    wrong = (F.month(day) == 3) & (F.dayofmonth(day) == 20)
+    before = F.when(wrong, F.col("quantity_demanded") + 1).otherwise(F.col("quantity_demanded")).cast(source.schema["quantity_demanded"].dataType)
+    reconcile(store, "daily_demand", source.filter((day <= F.lit(FEATURE_CUT)) & ~late).withColumn("quantity_demanded", before), "date")
+    return store, reconcile(store, "daily_demand", source, "date")
+
+
+@query
+def reconciled_demand(p: Products) -> DataFrame:
+    """Demand after a second delivery that brings new days, late rows and corrections of old days."""
+    return _reconciled(p)[0].read("daily_demand").drop("month")
+
+
+@query
+def reconciled_days(p: Products) -> DataFrame:
+    """The days that the second delivery brought or mended."""
+    return _reconciled(p)[1]
+
+
 @query
 def incremental_orders(p: Products) -> DataFrame:
     """Orders loaded in overlapping deliveries by key difference, appended to a table."""

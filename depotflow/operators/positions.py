@@ -97,9 +97,12 @@ def fifths(ranked: DataFrame) -> DataFrame:
     )
 
 
-def quintile_scores(df: DataFrame, id_column: str, metrics: dict[str, bool]) -> DataFrame:
-    """Add `<metric>_score` in 1..5, 5 best; metrics maps the name to True when small values are good."""
-    marks = fifths(ranked_values(df, id_column, list(metrics)))
+def quintile_scores(df: DataFrame, id_column: str, metrics: dict[str, bool], ranks: DataFrame | None = None) -> DataFrame:
+    """Add `<metric>_score` in 1..5, 5 best; metrics maps the name to True when small values are good.
+
+    `ranks` of all values, where they are known already, spare sorting the rows.
+    """
+    marks = fifths(ranked_values(df, id_column, list(metrics)) if ranks is None else ranks)
     table = marks.agg(
         F.map_from_entries(
             F.collect_list(F.struct("metric", F.struct("edges", "by_edges", "cuts", "reverse_cuts")))

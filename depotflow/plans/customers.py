@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from depotflow.functions.dates import lenient_date
-from depotflow.functions.numbers import TOTAL, exact_mean, exact_sum, not_below_zero, percent, rounded, to_double, to_whole
+from depotflow.functions.numbers import TOTAL, exact, exact_mean, exact_sum, not_below_zero, percent, rounded, to_double, to_whole
 from depotflow.functions.rules import customer_segment
 from depotflow.functions.text import snake_columns, to_boolean
 from depotflow.operators.joins import first_per_key, known, unknown
+from depotflow.operators.histograms import add_up, histogram, ranked, taken_out
 from depotflow.operators.positions import quintile_scores
 from depotflow.operators.versions import overwrite_columns, upsert
 from depotflow.session import stage
@@ -90,21 +91,66 @@ def with_lifetime_metrics(customers: DataFrame, orders: DataFrame) -> DataFrame:
     return overwrite_columns(customers, lifetime_metrics(orders), "customer_id")
 
 
-def rfm_scores(orders: DataFrame, strict: bool = False) -> DataFrame:
-    """Scores and segment of every customer with orders, as of the last order date."""
-    base = orders.groupBy("customer_id").agg(
+def rfm_base(orders: DataFrame) -> DataFrame:
+    """What the scores need of each customer's orders; bases of parts of the orders merge."""
+    return orders.groupBy("customer_id").agg(
         F.max("order_date").alias("_last"),
         F.count(F.lit(1)).alias("frequency_count"),
         exact_sum("revenue").alias("monetary_value"),
     )
-    base = stage(base)  # customer grain; the orders are scanned once
+
+
+def rfm_scores(orders: DataFrame, strict: bool = False) -> DataFrame:
+    """Scores and segment of every customer with orders, as of the last order date."""
+    return _with_scores(stage(rfm_base(orders)), None, strict)  # customer grain; the orders are scanned once
+
+
+# The last order counts in days, so that a later scoring date does not change the histogram. Customers whose orders have no readable date count nowhere.
+RFM_HISTOGRAM = {name: f"if(_last is null, null, {value})" for name, value in {
+    "recency_days": "unix_date(_last)", "frequency_count": "frequency_count", "monetary_value": "monetary_value"}.items()}
+
+
+def rfm_state(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Base of each customer and histogram of the bases, both staged."""
+    base = stage(rfm_base(orders))
+    return base, stage(histogram(base, RFM_HISTOGRAM))
+
+
+def advanced_rfm_state(base: DataFrame, hist: DataFrame, new_orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The state after new orders; of the histogram only the values of customers with new orders change."""
+    money = base.schema["monetary_value"].dataType
+    fresh = rfm_base(new_orders).toDF("customer_id", "_last_new", "_frequency_new", "_monetary_new")
+    met = stage(base.withColumn("_old", F.lit(True)).join(fresh.withColumn("_new", F.lit(True)), "customer_id", "full"))
+    count = F.coalesce("frequency_count", F.lit(0)) + F.coalesce("_frequency_new", F.lit(0))
+    none = F.lit(0.0)  # money adds up as decimals, so that no digit depends on how the orders were dealt over loads
+    value = exact(F.coalesce("monetary_value", none), TOTAL) + exact(F.coalesce("_monetary_new", none), TOTAL)
+    value = F.when(F.col("monetary_value").isNotNull() | F.col("_monetary_new").isNotNull(), value)
+    grown = met.select(
+        "customer_id", F.greatest("_last", "_last_new").alias("_last"), count.cast("bigint").alias("frequency_count"),
+        value.cast(money).alias("monetary_value"), "_new",
+    )
+    out = taken_out(histogram(met.filter("_old and _new"), RFM_HISTOGRAM))
+    after = add_up(hist, out, histogram(grown.filter("_new"), RFM_HISTOGRAM))
+    return stage(grown.drop("_new")), stage(after)
+
+
+def rfm_scores_of_state(base: DataFrame, hist: DataFrame, strict: bool = False) -> DataFrame:
+    """`rfm_scores` of all orders behind a state, without reading or sorting them."""
+    return _with_scores(base, hist, strict)
+
+
+def _with_scores(base: DataFrame, hist: DataFrame | None, strict: bool) -> DataFrame:
     scoring_date = base.agg(F.max("_last")).scalar()
+    ranks = None
+    if hist is not None:
+        days = F.unix_date(scoring_date) - F.col("value")
+        ranks = ranked(hist.withColumn("value", F.when(F.col("metric") == "recency_days", days).otherwise(F.col("value"))))
     base = base.withColumn("scoring_date", scoring_date)
     base = base.withColumn("recency_days", F.datediff("scoring_date", "_last"))
     # an order without a readable date cannot be placed in time: such customers have no recency
     base = base.filter("recency_days is not null")
     scored = quintile_scores(
-        base, "customer_id", {"recency_days": True, "frequency_count": False, "monetary_value": False}
+        base, "customer_id", {"recency_days": True, "frequency_count": False, "monetary_value": False}, ranks
     )
     scores = {
         "recency_score": F.col("recency_days_score"),

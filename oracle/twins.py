@@ -392,6 +392,7 @@ _QUERIES = {
     "fact_orders": f"SELECT {ORDER_COLUMNS} FROM ords",
     "customer_lifetime": f"""SELECT * EXCLUDE (current_rfm_segment) FROM ({customers_with("scores", "ords")})""",
     "rfm_scores": "SELECT * FROM scores",
+    "rfm_scores_after_delta": "SELECT * FROM scores",
     "rfm_scores_strict": rfm("ords", strict=True),
     "rfm_segment_distribution": """SELECT rfm_segment AS segment, count(*) AS customer_count,
         round(100.0 * count(*) / (SELECT count(*) FROM scores), 2) AS pct_of_total, scoring_date FROM scores GROUP BY ALL""",
@@ -485,6 +486,14 @@ _QUERIES = {
     "incremental_demand": """SELECT full_date AS date, sku_id, warehouse_id, d.abc_class, d.xyz_class, quantity_demanded,
         quantity_fulfilled, quantity_unfulfilled, stockout_flag, revenue, fill_rate
         FROM star_demand d JOIN star_dates USING (date_key) JOIN star_skus USING (sku_key) JOIN sites USING (warehouse_key)""",
+    "reconciled_demand": """SELECT full_date AS date, sku_id, warehouse_id, d.abc_class, d.xyz_class, quantity_demanded,
+        quantity_fulfilled, quantity_unfulfilled, stockout_flag, revenue, fill_rate
+        FROM star_demand d JOIN star_dates USING (date_key) JOIN star_skus USING (sku_key) JOIN sites USING (warehouse_key)""",
+    "reconciled_days": """SELECT full_date AS day, count(*) FILTER (seen) AS rows_before, count(*) AS rows_after,
+        CASE WHEN count(*) FILTER (seen) = 0 THEN 'new' ELSE 'mended' END AS verdict
+        FROM (SELECT full_date, full_date <= DATE '2000-06-30' AND NOT (warehouse_id = 'EUROPE' AND day(full_date) = 15) AS seen
+              FROM star_demand JOIN star_dates USING (date_key) JOIN sites USING (warehouse_key))
+        GROUP BY full_date HAVING count(*) FILTER (seen) < count(*) OR (month(full_date) = 3 AND day(full_date) = 20)""",
     "incremental_orders": f"SELECT {ORDER_COLUMNS} FROM ords",
     "incremental_features": f"""WITH early AS (SELECT * FROM series WHERE feature_date <= DATE '2000-06-30'),
         a AS ({FEATURE_KEYS}, {calendar("feature_date")}, {features("early")}),
