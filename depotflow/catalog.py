@@ -27,9 +27,10 @@ from depotflow.plans import checks, customers, forecasting, star, warehouse
 from depotflow.session import shared_folder, stage, tune
 from depotflow.sources.generated import date_dimension, model_dimension, site_dimension
 from depotflow.sources.files import export_csv, read_all, read_csv, with_audit
+from depotflow.sources.keys import KeyedTable
 from depotflow.sources.reconcile import reconcile
 from depotflow.sources.tables import TableStore, full_refresh, load_routed, log_steps, publish_view
-from depotflow.streaming.loads import drain, load_by_date, load_by_key
+from depotflow.streaming.loads import drain, load_by_bucketed_key, load_by_date, load_by_key
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -680,6 +681,18 @@ def streamed_orders(p: Products) -> DataFrame:
     return store.read(table).withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
+@query
+def streamed_orders_by_bucket(p: Products) -> DataFrame:
+    """The order table through two file streams into key buckets; the second stream sees the files again and adds nothing."""
+    schema = p.t.table("orders").schema
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    table = KeyedTable(p.new_store(), "orders", "o_orderkey", ddl, buckets=16)
+    for attempt in ("first", "second"):
+        load = load_by_bucketed_key(table, ["o_orderdate", "o_custkey"])
+        drain(p.spark, p.t.folder, schema, load, f"{table.store.root}/progress-{attempt}", "orders.parquet")
+    return table.read().withColumn("o_orderdate", F.to_date("o_orderdate"))
+
+
 @query
 def streamed_lines(p: Products) -> DataFrame:
     """Line items through a file stream with a date watermark, in two steps."""

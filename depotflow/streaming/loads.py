@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from depotflow.operators.joins import first_per_key
 from depotflow.operators.versions import after_watermark, not_yet_loaded, watermark
+from depotflow.sources.keys import KeyedTable
 from depotflow.sources.tables import TableStore
 
 
@@ -47,6 +48,15 @@ def load_by_key(store: TableStore, table: str, key: str, tie_break: list[str], d
     return load
 
 
+def load_by_bucketed_key(table: KeyedTable, tie_break: list[str]) -> Callable[[DataFrame, int], None]:
+    """Like `load_by_key` into a keyed table, of which a batch reads only the buckets that may hold one of its keys."""
+
+    def load(batch: DataFrame, _: int) -> None:
+        table.add(batch, tie_break)
+
+    return load
+
+
 def load_by_date(
     store: TableStore, table: str, day: str, delivery: str, floor: date, cutoff: date, ddl: str
 ) -> Callable[[DataFrame, int], None]:

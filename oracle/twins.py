@@ -500,6 +500,7 @@ _QUERIES = {
         b AS (SELECT * FROM series_features WHERE feature_date > DATE '2000-06-30')
         SELECT {SIX_DIGITS} FROM (SELECT * FROM a UNION ALL BY NAME SELECT * FROM b)""",
     "streamed_orders": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders",
+    "streamed_orders_by_bucket": "SELECT * REPLACE (CAST(o_orderdate AS DATE) AS o_orderdate) FROM orders",
     "streamed_lines": "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CAST(l_shipdate AS DATE) AS day FROM lineitem",
     "metric_drift": DRIFT,
     # data checks
