@@ -7,9 +7,12 @@ most two bits exactly if they meet: one step from either side covers every way t
 the key holds the other segment too, a key never has more than 65 different fingerprints, however large a group of near
 copies is, so a star to the smallest one gives the same components as all pairs would.
 
-For near copies down to a given share of common shingles two bits are far too few. `similar_groups` joins the sets of shingles on
-prefixes: in an order that all sets share, two sets of that similarity have an element in common among the first few of both, so no pair
-is missed. Each key first offers its first member to all others; then all members of a key that are not in one
+For near copies down to a given share of common shingles no small number of bits is enough. `similar_groups` first takes what
+multi-index hashing finds: a table for each segment holds the fingerprints under the segment's value, every fingerprint probes the values of
+the small ball around its own, fetches what lies there and compares the whole fingerprints; the pairs found are checked exactly on the
+sets of shingles. A near copy may differ in more bits than the balls cover, so an exact join of the sets on prefixes completes the
+classes: in an order that all sets share, two sets of that similarity have an element in common among the first few of both, so no pair
+is missed. Each key offers its central member to all others; then all members of a key that are not in one
 component yet are compared. Sizes, positions of the common key and parity bitmaps rule out pairs by bounds that hold for certain; what
 passes is checked exactly on the sets of shingles. Only rows that a bitmap filter of the wanted keys lets through are shuffled.
 
@@ -28,7 +31,7 @@ from pyspark.sql.window import Window
 
 from depotflow.llm.common import reach_package, stage, text_key, text_rows, text_slices
 from depotflow.llm.components import components
-from depotflow.operators.bitmaps import only, without
+from depotflow.operators.bitmaps import might_hold, only, without
 
 # Fixed values of the contract: white space, the five 64-bit primes of the public XXH64 description, and its seed.
 WHITE_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -191,12 +194,40 @@ def links(prints: DataFrame, bits: int = 2) -> DataFrame:
     )
 
 
+def segment_pairs(prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst, n_src, n_dst) of the (node, n, fingerprint) that the tables of the segments yield, of sizes that allow the similarity.
+
+    A table holds every fingerprint under (number of the segment, its value). Every fingerprint probes each table at all values of the
+    ball of radius 1 around its own segment; two of at most three differing bits agree so far in one of the two segments. Of what a value
+    holds, the smallest node is fetched, so a value that many near copies share costs one row for each probe; the pairs among its
+    other nodes are left to the exact join of the sets.
+    """
+    low = (1 << SEGMENT_BITS) - 1
+    value = lambda s: F.shiftrightunsigned("fingerprint", s * SEGMENT_BITS).bitwiseAND(F.lit(low))
+    key = lambda s, v: v.bitwiseOR(F.lit(s << SEGMENT_BITS))
+    segments = range(64 // SEGMENT_BITS)
+    entries = prints.select("node", "n", "fingerprint", F.explode(F.array(*[key(s, value(s)) for s in segments])).alias("key"))
+    tables = stage(entries.groupBy("key").agg(F.min(F.struct("node", "n", "fingerprint")).alias("hub")))
+    masks = [0] + [1 << b for b in range(SEGMENT_BITS)]
+    ball = F.array(*[key(s, value(s).bitwiseXOR(F.lit(m))) for s in segments for m in masks])
+    probes = prints.select("node", "n", "fingerprint", F.explode(ball).alias("key"))
+    passed = might_hold(probes, F.col("key"), tables.select("key"), "_may").filter("_may").drop("_may")
+    fetched = passed.join(tables, "key").select(
+        F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
+        F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("hub.fingerprint"))).alias("bits"),
+    )
+    sizes = F.least("n_src", "n_dst") >= similarity * F.greatest("n_src", "n_dst") - 1e-6
+    return fetched.filter((F.col("src") != F.col("dst")) & (F.col("bits") <= PROBED_BITS) & sizes).drop("bits").distinct()
+
+
 SET_MIX = np.uint64(0xBF58476D1CE4E5B9)  # an odd multiplier
 # Bits of the parity bitmap of a set: the distance of two bitmaps never exceeds the number of elements the sets don't share.
 MAP_WORDS, MAP_SHIFT = 16, np.uint64(20)
 # How common a shingle is, is estimated from so many texts and kept for so many shingles. It decides the order of the search only,
 # never its result.
 ORDER_TEXTS, ORDER_SHINGLES, ORDER_LEAST = 20_000, 500_000, 3
+# Pairs that a segment's table yields are checked on their sets up to so many differing bits of the whole fingerprint.
+PROBED_BITS = 12
 KEY_BITS = 48  # of a shingle's hash; shingles that share them are told apart by the exact check
 
 
@@ -253,13 +284,15 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, node: hash of the set of shingles, n: its size, map: its parity bitmap, prefix: keys of the first elements) of
-    every row of (doc_id: hash of the text, text); elements are ordered by how common they are, rare ones first."""
+    """(doc_id, node: hash of the set of shingles, n: its size, fingerprint, map: its parity bitmap, prefix: keys of the first elements)
+    of every row of (doc_id: hash of the text, text); elements are ordered by how common they are, rare ones first."""
     known, often = _common_shingles(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in text_slices(batches):
-            hashes, counts = _distinct(*shingle_hashes(found, words))
+            shingles = shingle_hashes(found, words)
+            prints = pa.array(majority(*shingles).astype("<u8").view(np.int64))
+            hashes, counts = _distinct(*shingles)
             owner = np.repeat(np.arange(len(counts)), counts)
             rank = np.zeros(len(hashes), np.int64)
             if len(known):
@@ -271,9 +304,10 @@ def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             keys = ordered[place < np.repeat(taken, counts)] & np.uint64((1 << KEY_BITS) - 1)
             maps = _lists(_parity_maps(hashes, counts), np.full(len(counts), MAP_WORDS))
             nodes = pa.array(_set_hashes(hashes, counts).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids, nodes, pa.array(counts), maps, _lists(keys, taken)], ["doc_id", "node", "n", "map", "prefix"])
+            columns = [ids, nodes, pa.array(counts), prints, maps, _lists(keys, taken)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fingerprint", "map", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id long, node long, n long, map array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, node long, n long, fingerprint long, map array<long>, prefix array<long>")
 
 
 def _first_rows(rows: DataFrame) -> DataFrame:
@@ -311,10 +345,10 @@ def close_members(members: DataFrame, similarity: float) -> DataFrame:
     return met.select(*[c.alias(n) for c, n in zip(ordered, ("src", "dst", "n_src", "n_dst"))]).distinct()
 
 
-def _unjoined(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (src, dst) whose sets have different labels; a set without one is by itself."""
+def _unjoined(pairs: DataFrame, labels: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Pairs (src, dst, `more`) whose sets have different labels; a set without one is by itself."""
     both = pairs.join(labels.toDF("src", "l_src"), "src", "left").join(labels.toDF("dst", "l_dst"), "dst", "left")
-    return both.filter(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst")
+    return both.filter(F.coalesce("l_src", "src") != F.coalesce("l_dst", "dst")).select("src", "dst", *(more or []))
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -366,20 +400,27 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
         common = F.size(F.array_intersect("a", "b"))
         return stage(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
 
-    # The member of a key with the largest part of its first elements in common with others, as the original of a group of copies
+    # Round 0 takes the pairs that multi-index hashing of the fingerprints finds, the others join on keys. There
+    # the member of a key with the largest part of its first elements in common with others, as the original of a group of copies
     # has, against all others joins most of what belongs together. Of the pairs that a set has with such members the closest is
     # verified first, and the others, together with the next pairs, only if they would still connect something. Then the members that
     # are still apart from it choose another one among themselves.
     linked, tried, waiting = None, None, None
     labels = rows.select("node", F.col("node").alias("label")).limit(0)
-    for _ in range(HUB_ROUNDS):
-        placed = members if linked is None else stage(_apart(placed, labels))
-        hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
-        met = placed.join(hubs, "key").select(
-            F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
-            F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
-        )
-        stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
+    placed = members
+    for number in range(1 + HUB_ROUNDS):
+        if number == 0:
+            stars = segment_pairs(classes.select("node", "n", "fingerprint"), similarity)
+        else:
+            placed = placed if number == 1 else stage(_apart(placed, labels))
+            hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
+            met = placed.join(hubs, "key").select(
+                F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
+                F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
+            )
+            stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
+            if number == 1:
+                stars = _unjoined(stars, labels, ["n_src", "n_dst"])
         stars = stage(near(stage(stars)))
         asked = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
         found = verified(stage(asked if waiting is None else asked.unionAll(waiting)))
@@ -388,7 +429,7 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
         labels = stage(components(linked))
         waiting = stage(_unjoined(stars, labels))
         tried = stars.select("src", "dst") if tried is None else tried.unionAll(stars.select("src", "dst"))
-        if new * NEW_PART <= before:
+        if number and new * NEW_PART <= before:
             break
     # then every pair that a key holds and that isn't joined yet
     placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))

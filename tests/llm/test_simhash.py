@@ -7,8 +7,9 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
+from depotflow.llm import simhash
 from depotflow.llm.components import components
-from depotflow.llm.simhash import links, shingle_hashes, similar_groups, simhash_groups, xxh64
+from depotflow.llm.simhash import links, segment_pairs, shingle_hashes, similar_groups, simhash_groups, xxh64
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -173,3 +174,40 @@ def test_a_key_with_many_unlike_members_joins_few_rows(spark, frame):
     assert found == {(a, b) for a in range(500) for b in range(a + 1, 500) if may(a, b)}
     assert len(found) < 125_000 / 10
     assert close_members(frame("key long, node long, n long, pos int, label long", [(1, k, 100, 0, 9) for k in range(50)]), 0.8).count() == 0
+
+
+def test_segment_tables_find_pairs_within_three_bits(frame):
+    rnd = random.Random(21)
+    rows, mask = [], (1 << 64) - 1
+    for k in range(60):
+        p = rnd.getrandbits(64)
+        q = p
+        for b in rnd.sample(range(64), k % 6):
+            q ^= 1 << b
+        rows += [(2 * k, 100, p), (2 * k + 1, 100, q)]
+    rows.append((1000, 5, rows[0][2]))  # the same fingerprint, but of a size that rules the pair out
+    signed = [(i, n, p - (1 << 64) if p >> 63 else p) for i, n, p in rows]
+    found = {(r["src"], r["dst"]) for r in segment_pairs(frame("node long, n long, fingerprint long", signed), 0.8).collect()}
+    half = lambda x: min((x & 0xFFFFFFFF).bit_count(), (x >> 32).bit_count())
+    expected = {(2 * k, 2 * k + 1) for k in range(60) if half((rows[2 * k][2] ^ rows[2 * k + 1][2]) & mask) <= 1}
+    assert expected >= {(2 * k, 2 * k + 1) for k in range(60) if k % 6 <= 3}
+    assert {(min(a, b), max(a, b)) for a, b in found} == expected
+
+
+def test_near_copies_come_through_the_segment_tables(frame, monkeypatch):
+    """Copies whose fingerprints the balls cover are classed without any pair from the join on prefixes."""
+    rnd, texts = random.Random(22), []
+    for _ in range(12):
+        base = prose(rnd, 300)
+        texts += [" ".join(base), " ".join([*base, "tail"]), " ".join(["head", *base])]
+    expected, prints = expected_groups(texts), [fingerprint(t, 5) for t in texts]
+    covered = [
+        i % 3 == 0 or min(((prints[i] ^ prints[i - i % 3]) >> s & 0xFFFFFFFF).bit_count() for s in (0, 32)) <= 1 for i in range(len(texts))
+    ]
+    assert sum(covered) >= 30
+    monkeypatch.setattr(simhash, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(simhash, "prefix_sizes", lambda counts, similarity: np.zeros(len(counts), np.int64))
+    got = similar(frame, texts)
+    # a value yields its smallest node, so two texts may also be held together by the third one of their group
+    assert sum(got[i] == expected[i] for i in got) >= sum(covered) - 3
+    assert all(expected[i] == expected[got[i]] for i in got)
