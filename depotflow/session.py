@@ -15,7 +15,10 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # a task sorts what it reads, unpacked, in memory: its memory follows this size, and larger tables get more tasks
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
+    "spark.sql.files.maxPartitionBytes": "32m",
     # compressed columnar files understate what a broadcast of their rows would take
     "spark.sql.sources.fileCompressionFactor": "3.0",
 }
