@@ -277,8 +277,8 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
     part = F.pmod(F.xxhash64("doc_id"), F.lit(max(texts.count(), 1))) < ORDER_TEXTS
     held = texts.filter(part).dropDuplicates(["doc_id"]).mapInArrow(run, "h long").groupBy("h").count()
-    top = held.filter(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toPandas()
-    hashes, often = top["h"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    top = held.filter(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
+    hashes, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(hashes)
     return hashes[order], often[order]
 
@@ -330,16 +330,34 @@ def _possible(similarity: float) -> Column:
     return sizes & (left >= _least_overlap(similarity))
 
 
+def key_classes(members: DataFrame) -> DataFrame:
+    """Members (key, node, n, pos, label, before) of classes of keys: keys with the same members are one, at the first place they have.
+
+    `before` are the classes just before this one in the node's order, at most KEYS_BEFORE. Keys are told apart by hashes of their members;
+    different ones under one hash have the members of both, which costs a few pairs and loses none.
+    """
+    held = members.groupBy("key").agg(*[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_{k}") for k in range(2)], F.count(F.lit(1)).alias("_n"))
+    named = members.join(held.select("key", F.xxhash64("_0", "_1", "_n").alias("_class")), "key")
+    classes = named.groupBy(F.col("_class").alias("key"), "node").agg(*[F.min(c).alias(c) for c in ("n", "pos", "label")])
+    nearest = Window.partitionBy("node").orderBy("pos", "key").rowsBetween(-KEYS_BEFORE, -1)
+    return classes.withColumn("before", F.collect_list("key").over(nearest))
+
+
 def close_members(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs (src, dst, n_src, n_dst) of members (key, node, n, pos, label) of one key, not under one label yet, that sizes and positions allow.
 
-    Sizes fall into bands so wide that only equal and neighbouring ones can be similar, so unlike sizes never meet.
+    Sizes fall into bands so wide that only equal and neighbouring ones can be similar, so unlike sizes never meet. Two sets that share
+    many keys meet at the first of them: a key is passed over if both have a common one just before it, as what the bounds allow
+    here they allow there, too, and the first common key of a pair has none before it.
     """
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / float(-np.log(similarity) * 1.0001))
-    placed = members.withColumn("band", band)
-    left = placed.select("key", F.explode(F.array("band", F.col("band") + 1)).alias("band"), *[F.col(c).alias(f"{d}_src") for c, d in MEMBER])
+    placed = stage(key_classes(members).withColumn("band", band))
+    own = [F.col(c).alias(f"{d}_src") for c, d in MEMBER]
+    left = placed.select("key", F.col("band").alias("_own"), F.explode(F.array("band", F.col("band") + 1)).alias("band"), *own)
     right = placed.select("key", "band", *[F.col(c).alias(f"{d}_dst") for c, d in MEMBER])
-    met = left.join(right, ["key", "band"]).filter((F.col("l_src") != F.col("l_dst")) & _possible(similarity))
+    once = (F.col("_own") != F.col("band")) | (F.col("i_src") < F.col("i_dst"))  # of one band both ways would meet
+    apart = (F.col("l_src") != F.col("l_dst")) & once & _possible(similarity)
+    met = left.join(right, ["key", "band"]).filter(apart & ~F.arrays_overlap("b_src", "b_dst"))
     src_first = F.col("i_src") < F.col("i_dst")
     ordered = [F.when(src_first, F.col(f"{d}_{x}")).otherwise(F.col(f"{d}_{y}")) for d in ("i", "n") for x, y in (("src", "dst"), ("dst", "src"))]
     return met.select(*[c.alias(n) for c, n in zip(ordered, ("src", "dst", "n_src", "n_dst"))]).distinct()
@@ -360,7 +378,8 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 # Hubs are elected again, at most so often, until a round finds less than this part of the links before it; then all pairs left are compared.
 HUB_ROUNDS, NEW_PART = 3, 16
-MEMBER = (("node", "i"), ("n", "n"), ("pos", "p"), ("label", "l"))
+MEMBER = (("node", "i"), ("n", "n"), ("pos", "p"), ("label", "l"), ("before", "b"))
+KEYS_BEFORE = 8  # more of them cost room in every row and pass over hardly more keys
 
 
 def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -405,7 +424,7 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
     # has, against all others joins most of what belongs together. Of the pairs that a set has with such members the closest is
     # verified first, and the others, together with the next pairs, only if they would still connect something. Then the members that
     # are still apart from it choose another one among themselves.
-    linked, tried, waiting = None, None, None
+    linked, tried, waiting = 0, None, None
     labels = rows.select("node", F.col("node").alias("label")).limit(0)
     placed = members
     for number in range(1 + HUB_ROUNDS):
@@ -424,9 +443,10 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
         stars = stage(near(stage(stars)))
         asked = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
         found = verified(stage(asked if waiting is None else asked.unionAll(waiting)))
-        new, before = found.count(), 0 if linked is None else linked.count()
-        linked = found if linked is None else linked.unionAll(found)
-        labels = stage(components(linked))
+        new, before = found.count(), linked
+        linked += new
+        # earlier components are stars already
+        labels = stage(components(found.unionAll(labels.toDF("src", "dst"))))
         waiting = stage(_unjoined(stars, labels))
         tried = stars.select("src", "dst") if tried is None else tried.unionAll(stars.select("src", "dst"))
         if number and new * NEW_PART <= before:
@@ -439,7 +459,7 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
     rest = near(stage(close_members(placed, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti")
     rest = stage(rest.unionAll(waiting))
     if rest.limit(1).count():
-        labels = stage(components(linked.unionAll(verified(rest))))
+        labels = stage(components(verified(rest).unionAll(labels.toDF("src", "dst"))))
     named = rows.select("doc_id", "node").distinct().join(labels, "node", "left")
     return named.select("doc_id", F.coalesce("label", "node").alias("label"))
 

@@ -176,6 +176,55 @@ def test_a_key_with_many_unlike_members_joins_few_rows(spark, frame):
     assert close_members(frame("key long, node long, n long, pos int, label long", [(1, k, 100, 0, 9) for k in range(50)]), 0.8).count() == 0
 
 
+def test_pairs_meet_at_the_first_of_many_common_keys(frame):
+    """60 sets that share 90 keys in various orders of subsets: every pair is found, and the join makes hardly more rows than pairs."""
+    from depotflow.llm.simhash import close_members
+
+    rnd, rows = random.Random(9), []
+    for node in range(60):
+        keys = [k for k in range(100) if rnd.random() < 0.9]
+        rows += [(k, node, 1000, pos, node) for pos, k in enumerate(keys)]
+    met = close_members(frame("key long, node long, n long, pos int, label long", rows), 0.8)
+    assert {(r["src"], r["dst"]) for r in met.collect()} == {(a, b) for a in range(60) for b in range(a + 1, 60)}
+    made = [int(m.value()) for m in join_metrics(met)]
+    assert len(made) == 1 and 1770 <= made[0] <= 3000
+
+
+def test_pairs_of_random_keys_are_those_of_a_plain_join(frame):
+    from depotflow.llm.simhash import close_members
+
+    rnd, rows = random.Random(10), []
+    for node in range(80):
+        n = rnd.randrange(20, 200)
+        keys = rnd.sample(range(150), rnd.randrange(1, n // 5 + 2))  # each in an order of its own
+        rows += [(k, node, n, pos, node // 3) for pos, k in enumerate(keys)]
+    found = {(r["src"], r["dst"]) for r in close_members(frame("key long, node long, n long, pos int, label long", rows), 0.8).collect()}
+    plain = {
+        (a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and min(a[2], b[2]) >= 0.8 * max(a[2], b[2]) - 1e-6
+        and 1 + min(a[2] - a[3] - 1, b[2] - b[3] - 1) >= np.ceil(0.8 / 1.8 * (a[2] + b[2]) - 1e-6)
+    }
+    assert found == plain and len(plain) > 100
+
+
+def join_metrics(df):
+    """Numbers of rows that the inner joins of a collected query made."""
+    plans, found = [df._jdf.queryExecution().executedPlan()], []
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            plans.append(plan.executedPlan())
+            continue
+        if "QueryStage" in name:
+            plans.append(plan.plan())
+            continue
+        if "Join" in name:
+            found.append(plan.metrics().apply("numOutputRows"))
+        children = plan.children()
+        plans += [children.apply(k) for k in range(children.size())]
+    return found
+
+
 def test_segment_tables_find_pairs_within_three_bits(frame):
     rnd = random.Random(21)
     rows, mask = [], (1 << 64) - 1
