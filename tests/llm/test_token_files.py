@@ -35,6 +35,22 @@ def test_pieces_give_the_ids_of_whole_texts(library):
             assert part.tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_case_and_closing_marks_make_no_new_pieces_where_ids_stay(library, monkeypatch):
+    coder = Encoder(PATH)
+    coder.encode([b"Stock, stock. STOCK!!! stock %% stock"])
+    assert set(coder.number) == {"stock", ",", ".", "!!!", "%%"}
+    # small letters with these marks have a sign of their own, and special tokens are told by case
+    texts = ["H\u0331 T\u0308 W\u030a Y\u030a J\u030c h\u0331, Stop, <|ENDOFTEXT|>, <|endoftext|> Stop", "Fin\u00e9e!!, \u00dcber: \u00f7, \u00d7. I\u0307. \u00ad, a\u00ad, \u00ff. \u00df?"]
+    monkeypatch.setattr("depotflow.llm.token_files.CACHE_PIECES", 8)
+    for n in range(12):  # pieces are forgotten and learned again
+        more = [*texts, *(f"w{k} common, word{chr(97 + k)}{n}" for k in range(n % 5 * 3))]
+        ids, counts = coder.encode([t.encode() for t in more])
+        for text, part in zip(more, np.split(ids, np.cumsum(counts)[:-1])):
+            assert part.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    coder._forget()
+    assert len(coder.number) == 4 and all(coder.seen[k] >= 0 for k in coder.number.values())
+
+
 def test_files_hold_every_document_in_order(spark, frame, library):
     rnd = random.Random(7)
     texts = [" ".join(rnd.choices(["alpha", "Beta,", "γ", "don't", "12", "#"], k=rnd.randrange(0, 120))) for _ in range(150)] + TRICKY + [None]
