@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKET_BITS = 32_768  # fixed by the bitmap functions
 # The largest filter that `might_hold` broadcasts: 8,192 buckets, 32 MB.
 FILTER_BUCKETS, BITS_FOR_KEY = 8_192, 16
+# Tables that the optimizer takes for smaller are joined without a filter: it would cost two more jobs and save no shuffle to speak of.
+FILTERED_BYTES = 64_000_000
 
 
 def bucket(key: Column | str) -> Column:
@@ -96,9 +98,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def small(df: DataFrame) -> bool:
+    """Is the table too small for a filter, as far as the optimizer knows?"""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < FILTERED_BYTES
+
+
 def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """Rows whose key (never null) is not among `keys` (one column). Only rows that the filter can't clear are shuffled."""
+    """Rows whose key (never null) is not among `keys` (one column). Of a large table only rows that the filter can't clear are shuffled."""
     flag, own, other = unused(df, "_may", "_own", "_other")
+    if small(df):
+        return df.withColumn(own, key).join(keys.toDF(other), F.col(own) == F.col(other), "left_anti").select(*df.columns)
     flagged = might_hold(df, key, keys, flag)
     cleared = flagged.filter(~F.col(flag)).select(*df.columns)
     unclear = flagged.filter(flag).withColumn(own, key).join(keys.toDF(other), F.col(own) == F.col(other), "left_anti")
@@ -106,7 +115,9 @@ def without(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
 
 
 def only(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
-    """Rows whose key (never null) is among `keys` (one column). Only rows that the filter lets through are shuffled."""
+    """Rows whose key (never null) is among `keys` (one column). Of a large table only rows that the filter lets through are shuffled."""
     flag, own, other = unused(df, "_may", "_own", "_other")
+    if small(df):
+        return df.withColumn(own, key).join(keys.toDF(other), F.col(own) == F.col(other), "left_semi").select(*df.columns)
     passed = might_hold(df, key, keys, flag).filter(flag).withColumn(own, key)
     return passed.join(keys.toDF(other), F.col(own) == F.col(other), "left_semi").select(*df.columns)

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from depotflow.operators.bitmaps import distinct_keys, has_bit, key_state, merge_states, might_hold, repeated_keys, with_membership
+from depotflow.operators.bitmaps import (
+    distinct_keys, has_bit, key_state, merge_states, might_hold, only, repeated_keys, with_membership, without,
+)
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -49,3 +51,17 @@ def test_filter_misses_no_key(spark):
     assert got.filter("hit and id % 7 = 0 and id < 35000").count() == 5000
     assert got.filter("hit").count() < 12_000
     assert might_hold(spark.range(10), F.col("id"), keys.limit(0), "hit").filter("hit").count() == 0
+
+
+def test_small_tables_are_joined_without_a_filter(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("id % 300 as id", "id as _own")
+    keys = spark.range(0, 1000, 7)
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr("depotflow.operators.bitmaps.FILTERED_BYTES", 0)
+        kept, left = only(rows, F.col("id"), keys), without(rows, F.col("id"), keys)
+        assert kept.columns == left.columns == rows.columns
+        assert sorted(r["_own"] for r in kept.collect()) == [k for k in range(500) if k % 300 % 7 == 0]
+        assert sorted(r["_own"] for r in left.collect()) == [k for k in range(500) if k % 300 % 7]
+        for out in (kept, left):
+            assert ("bitmap_construct_agg" not in out._jdf.queryExecution().optimizedPlan().toString()) == small
