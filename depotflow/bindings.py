@@ -133,16 +133,19 @@ class TestTables:
         """Daily demand with the columns of its source file; revenue is missing when nothing was fulfilled."""
         kept = F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)
         amount = money(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-        daily = self.lines.groupBy("ship_date", "l_partkey", "warehouse_id").agg(
-            F.sum("l_quantity").cast("bigint").alias("_demanded"),
-            F.sum(kept).cast("bigint").alias("_fulfilled"),
-            F.sum(amount).alias("_revenue"),
+        daily = (
+            self.item_lines("ship_date", "l_quantity", kept.alias("_kept"), amount.alias("_amount"))
+            .groupBy("ship_date", "SKU_ID", "warehouse_id")
+            .agg(
+                F.sum("l_quantity").cast("bigint").alias("_demanded"),
+                F.sum("_kept").cast("bigint").alias("_fulfilled"),
+                F.sum("_amount").alias("_revenue"),
+            )
         )
-        parts = self.table("part").select("p_partkey", "p_type", "p_size")
         size = F.col("p_size")
-        return daily.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        return daily.join(self.items, "SKU_ID").select(
             F.col("ship_date").alias("Date"),
-            identifier("SKU", F.col("l_partkey")).alias("SKU_ID"),
+            "SKU_ID",
             F.col("p_type").alias("Category"),
             F.col("warehouse_id").alias("Warehouse_ID"),
             F.when(size <= 16, "A").when(size <= 33, "B").otherwise("C").alias("ABC_Class"),
@@ -153,23 +156,42 @@ class TestTables:
             F.when(F.col("_fulfilled") > 0, F.col("_revenue")).alias("Revenue"),
         )
 
+    @property
+    def items(self) -> DataFrame:
+        return self.table("part").select(identifier("SKU", F.col("p_partkey")).alias("SKU_ID"), "p_type", "p_size")
+
+    def item_lines(self, *columns: str | Column) -> DataFrame:
+        """Site, item id and the given columns of the lines whose item exists.
+
+        Where the items are too many to be broadcast, this join shuffles the lines by item id, narrow as they are, and splits a hot item;
+        sums by item, the join of its attributes and the lookup of its key find them in place.
+        """
+        lines = self.lines.select(identifier("SKU", F.col("l_partkey")).alias("SKU_ID"), "warehouse_id", *columns)
+        return lines.join(self.items.select("SKU_ID"), "SKU_ID", "left_semi")
+
     @cached_property
     def inventory_source(self) -> DataFrame:
         quantity = F.col("l_quantity")
 
-        def total(condition: Column) -> Column:
-            return F.sum(F.when(condition, quantity).otherwise(0.0)).cast("bigint")
+        def part_of(condition: Column) -> Column:
+            return F.when(condition, quantity).otherwise(0.0)
 
-        monthly = self.lines.groupBy(F.last_day("ship_date").alias("day"), "l_partkey", "warehouse_id").agg(
-            F.sum(quantity).cast("bigint").alias("on_hand"),
-            total(F.col("l_linestatus") == "O").alias("committed"),
-            total(F.col("l_returnflag") == "N").alias("in_transit"),
-            F.sum(money(F.col("l_extendedprice"))).alias("value"),
-        )
-        parts = self.table("part").select("p_partkey", "p_type")
-        return monthly.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
+        monthly = (
+            self.item_lines(
+                F.last_day("ship_date").alias("day"), quantity, part_of(F.col("l_linestatus") == "O").alias("_committed"),
+                part_of(F.col("l_returnflag") == "N").alias("_in_transit"), money(F.col("l_extendedprice")).alias("_value"),
+            )
+            .groupBy("day", "SKU_ID", "warehouse_id")
+            .agg(
+                F.sum(quantity).cast("bigint").alias("on_hand"),
+                F.sum("_committed").cast("bigint").alias("committed"),
+                F.sum("_in_transit").cast("bigint").alias("in_transit"),
+                F.sum("_value").alias("value"),
+            )
+        )
+        return monthly.join(self.items.drop("p_size"), "SKU_ID").select(
             F.col("day").alias("Snapshot_Date"),
-            identifier("SKU", F.col("l_partkey")).alias("SKU_ID"),
+            "SKU_ID",
             F.col("warehouse_id").alias("Warehouse_ID"),
             F.col("p_type").alias("Category"),
             F.col("on_hand").alias("On_Hand_Qty"),

@@ -18,6 +18,8 @@ RUNTIME_SETTINGS = {
     # a task sorts what it reads, unpacked, in memory: its memory follows this size, and larger tables get more tasks
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "600",
+    # parts that small are joined by hash; sorting both sides by ids that begin alike costs more
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16m",
     "spark.sql.files.maxPartitionBytes": "32m",
     # compressed columnar files understate what a broadcast of their rows would take
     "spark.sql.sources.fileCompressionFactor": "3.0",

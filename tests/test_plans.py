@@ -152,3 +152,15 @@ def test_stored_star_tables_are_read_once(spark, staged_plans, tmp_path):
     for table in checks.FACTS:
         assert text.count(f"/{table}]") <= 2, table
     assert "hashpartitioning(demand_key" not in text and "hashpartitioning(sku_key" not in text
+
+
+def test_lines_are_shuffled_once_for_their_item(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for source, day in (("demand_source", "ship_date"), ("inventory_source", "day")):
+            text = plan(getattr(Products(spark, FOLDER).t, source))
+            keys = re.findall(r"Exchange hashpartitioning\((\w+)#", text)
+            assert day not in keys and "l_partkey" not in keys and "SKU_ID" in keys
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
