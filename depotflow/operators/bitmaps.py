@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 BUCKET_BITS = 32_768  # fixed by the bitmap functions
+WORD_BITS = 64
 # The largest filter that `might_hold` broadcasts: 8,192 buckets, 32 MB.
 FILTER_BUCKETS, BITS_FOR_KEY = 8_192, 16
 # Tables that the optimizer takes for smaller are joined without a filter: it would cost two more jobs and save no shuffle to speak of.
@@ -25,18 +26,48 @@ def position(key: Column | str) -> Column:
 
 def has_bit(bits: Column, at: Column) -> Column:
     """Is the bit set? False without a bitmap."""
-    byte = F.ascii(F.decode(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1"))
-    return F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
+    return _is_set(F.ascii(F.decode(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1)), "ISO-8859-1")), at)
+
+
+def _is_set(byte: Column, at: Column) -> Column:
+    return F.coalesce(byte.cast("int").bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0, F.lit(False))
+
+
+def key_words(df: DataFrame, key: str, extra: list[Column] | None = None) -> DataFrame:
+    """(bucket, word, rows, held, ...): keys as bits of whole numbers of 64 neighbouring keys each; rows without a key are a bucket NULL.
+
+    Numbers are combined by plain hash aggregation, where a bitmap under construction would have the rows sorted.
+    """
+    at = position(key)
+    return df.groupBy(bucket(key).alias("bucket"), F.floor(at / WORD_BITS).cast("int").alias("word")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % WORD_BITS).cast("int"))).alias("held"),
+        *(extra or []),
+    )
 
 
 def key_state(df: DataFrame, key: str, extra: list[Column] | None = None) -> DataFrame:
     """(bucket, rows, bits, ...): how many rows each bucket has and which of its keys; rows without a key are a bucket NULL.
 
-    `extra` aggregates are computed in the same pass.
+    `extra` aggregates, counts that add up, are computed in the same pass.
     """
-    return df.groupBy(bucket(key).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("rows"), F.bitmap_construct_agg(position(key)).alias("bits"), *(extra or [])
-    )
+    words = key_words(df, key, extra)
+    counts = [F.sum(c).alias(c) for c in words.columns[4:]]
+    entry = F.when(F.col("word").isNotNull(), F.struct("word", _digits(F.col("held")).alias("digits")))
+    bits = _bitmap(F.sort_array(F.collect_list(entry)))  # a bucket has at most 512 words
+    return words.groupBy("bucket").agg(F.sum("rows").alias("rows"), bits.alias("bits"), *counts)
+
+
+def _digits(word: Column) -> Column:
+    """The eight bytes of a word as hex digits, lowest byte first."""
+    byte = lambda i: F.shiftrightunsigned(word, 8 * i).bitwiseAND(F.lit(255))
+    return F.concat(*[F.lpad(F.hex(byte(i)), 2, "0") for i in range(8)])
+
+
+def _bitmap(entries: Column) -> Column:
+    """The bitmap of (word, digits) entries in ascending order; missing words are zeros."""
+    filled = F.aggregate(entries, F.lit(""), lambda text, e: F.concat(F.rpad(text, e["word"] * 16, "0"), e["digits"]))
+    return F.unhex(F.rpad(filled, BUCKET_BITS // 4, "0"))
 
 
 def merge_states(states: DataFrame) -> DataFrame:
@@ -49,6 +80,11 @@ def distinct_keys(state: DataFrame) -> Column:
     return F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits"))), F.lit(0))
 
 
+def distinct_of_words(words: DataFrame) -> DataFrame:
+    """(n): the number of different keys in the words of a table."""
+    return words.agg(F.coalesce(F.sum(F.bit_count("held")), F.lit(0)).cast("bigint").alias("n"))
+
+
 def repeated_keys(df: DataFrame, key: str, state: DataFrame) -> DataFrame:
     """(n: key groups with more than one row; NULL is a group), from the merged state.
 
@@ -63,9 +99,12 @@ def repeated_keys(df: DataFrame, key: str, state: DataFrame) -> DataFrame:
 
 def with_membership(df: DataFrame, column: str, state: DataFrame, flag: str) -> DataFrame:
     """Add whether `column` is a key of the state; the join has one row for each bucket, not one for each key."""
-    bits = state.filter(F.col("bucket").isNotNull()).select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))
-    joined = df.join(bits, bucket(column) == F.col("_bucket"), "left")
-    return joined.withColumn(flag, has_bit(F.col("_bits"), position(column))).drop("_bucket", "_bits")
+    pairs = F.regexp_extract_all(F.hex("bits"), F.lit(".."), F.lit(0))
+    listed = F.transform(pairs, lambda digits: F.conv(digits, 16, 10).cast("smallint"))  # once for each bucket, not for each row
+    held = state.filter(F.col("bucket").isNotNull()).select(F.col("bucket").alias("_bucket"), listed.alias("_bytes"))
+    joined = df.join(held, bucket(column) == F.col("_bucket"), "left")
+    at = position(column)
+    return joined.withColumn(flag, _is_set(F.get("_bytes", (at / 8).cast("int")), at)).drop("_bucket", "_bytes")
 
 
 def might_hold(df: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:

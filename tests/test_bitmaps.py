@@ -65,3 +65,9 @@ def test_small_tables_are_joined_without_a_filter(spark, monkeypatch):
         assert sorted(r["_own"] for r in left.collect()) == [k for k in range(500) if k % 300 % 7]
         for out in (kept, left):
             assert ("bitmap_construct_agg" not in out._jdf.queryExecution().optimizedPlan().toString()) == small
+
+
+def test_rows_are_not_sorted_to_set_their_bits(spark):
+    state = key_state(spark.range(100_000).withColumn("odd", F.col("id") % 2), "id", [F.sum("odd").alias("c0")])
+    assert "SortAggregate" not in state._jdf.queryExecution().executedPlan().toString()
+    assert state.agg(F.sum("rows"), F.sum(F.bitmap_count("bits")), F.sum("c0")).first()[:] == (100_000, 100_000, 50_000)
