@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from depotflow.functions.numbers import rounded
-from depotflow.operators.bitmaps import distinct_keys, key_state
+from depotflow.operators.bitmaps import distinct_of_words, key_words
 from depotflow.session import stage
 
 # Percentages above which a column is flagged.
@@ -34,13 +34,18 @@ def _as_long(c: Column, t: T.DataType) -> Column:
     return (F.unix_date(c) if isinstance(t, T.DateType) else c).cast("bigint")
 
 
-def column_state(df: DataFrame) -> DataFrame:
-    """One row: row count, and for each column what adds up over parts of a table: filled cells, extremes, sum, and a distinct sketch."""
+def column_state(df: DataFrame, sketches: bool = True) -> DataFrame:
+    """One row: row count, and for each column what adds up over parts of a table: filled cells, extremes, sum, and a distinct sketch.
+
+    The sketches cost more than all the rest; only approximate distinct counts need them.
+    """
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        plain = c if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)) else c.cast("string")
-        aggregates += [F.count(c).alias(f"{f.name}#n"), F.min(c).alias(f"{f.name}#lo"), F.max(c).alias(f"{f.name}#hi"), F.hll_sketch_agg(plain).alias(f"{f.name}#d")]
+        aggregates += [F.count(c).alias(f"{f.name}#n"), F.min(c).alias(f"{f.name}#lo"), F.max(c).alias(f"{f.name}#hi")]
+        if sketches:
+            plain = c if isinstance(f.dataType, (T.StringType, T.IntegerType, T.LongType)) else c.cast("string")
+            aggregates.append(F.hll_sketch_agg(plain).alias(f"{f.name}#d"))
         aggregates += [x.alias(f"{f.name}#{n}") for n, x in _sums(c, f.dataType).items()]
     return df.agg(*aggregates)
 
@@ -70,8 +75,7 @@ def distinct_counts(df: DataFrame, extent: Row) -> DataFrame:
     for f in df.schema.fields:
         c, low, high = F.col(f"`{f.name}`"), extent[f"{f.name}#lo"], extent[f"{f.name}#hi"]
         if isinstance(f.dataType, WHOLE) and low is not None and _width(low, high) <= VALUES_FOR_ROW * extent["_rows"]:
-            state = key_state(df.select(_as_long(c, f.dataType).alias("v")), "v")
-            count = state.agg(distinct_keys(state).alias("_distinct"))
+            count = distinct_of_words(key_words(df.select(_as_long(c, f.dataType).alias("v")), "v")).toDF("_distinct")
         else:
             count = df.select(c.alias("v")).filter("v is not null").distinct().agg(F.count(F.lit(1)).alias("_distinct"))
         counts.append(count.select(F.lit(f.name).alias("column"), "_distinct"))
@@ -88,7 +92,7 @@ def profile_table(df: DataFrame, table: str, approximate: bool = False) -> DataF
     Counts, extremes and means take one pass, whose one row is staged. Distinct counts are exact (`distinct_counts`); `approximate` takes
     them from the sketches of that pass.
     """
-    return profile_of_state(df, stage(column_state(df)), table, approximate)
+    return profile_of_state(df, stage(column_state(df, sketches=approximate)), table, approximate)
 
 
 def profile_of_state(df: DataFrame, state: DataFrame, table: str, approximate: bool = False) -> DataFrame:
@@ -102,6 +106,7 @@ def profile_of_state(df: DataFrame, state: DataFrame, table: str, approximate: b
         if numeric:
             total = F.when(F.col(f"`{f.name}#off`") > 0, F.col(f"`{f.name}#plain`")).otherwise(F.col(f"`{f.name}#sum`").cast("double"))
         mean = F.try_divide(total, filled.cast("double"))
+        sketched = F.coalesce(F.hll_sketch_estimate(F.col(f"`{f.name}#d`")), F.lit(0)) if approximate else F.lit(0)
         rows.append(
             F.struct(
                 F.lit(table).alias("table"),
@@ -112,7 +117,7 @@ def profile_of_state(df: DataFrame, state: DataFrame, table: str, approximate: b
                 _shown(F.col(f"`{f.name}#lo`"), f.dataType).alias("min"),
                 (_shown(F.col(f"`{f.name}#hi`"), f.dataType) if ordered else no_text).alias("max"),
                 F.when(F.isnan(mean) | (F.abs(mean) > 1e15), mean).otherwise(rounded(mean, 4)).alias("mean"),
-                F.coalesce(F.hll_sketch_estimate(F.col(f"`{f.name}#d`")), F.lit(0)).cast("bigint").alias("distinct_count"),
+                sketched.cast("bigint").alias("distinct_count"),
             )
         )
     profile = state.select(F.inline(F.array(*rows)))

@@ -204,3 +204,12 @@ def test_profile_of_merged_parts_is_that_of_the_table(spark, frame):
     assert exact == {"id": 5000, "i": 97, "x": 5000, "s": 300, "d": 700}
     text = profile_table(df, "t")._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in text
+
+
+def test_exact_profile_makes_no_sketches(frame):
+    from depotflow.operators.profiling import column_state, profile_of_state
+
+    df = frame("a int, b string", [(1, "x"), (2, "x"), (None, None)])
+    state = column_state(df, sketches=False)
+    assert "hll_sketch" not in state._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["column"]: r["distinct_count"] for r in profile_of_state(df, state, "t").collect()} == {"a": 2, "b": 1}
