@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from depotflow.llm import decontaminate, mixing, quality, shards, simhash
 from depotflow.llm.common import text_key
 from depotflow.operators.bitmaps import without
-from depotflow.session import shared_folder, stage
+from depotflow.session import stage, stage_result, unstage
 
 SHARDS = 24
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -77,10 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents after all stages; what a stage returns is written as Parquet and read again by the next."""
+    """The documents after all stages; what a stage returns is staged for the next, and what it or the one before staged goes then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
-    for k, (name, step) in enumerate(STAGES):
-        step(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    for k, (_, step) in enumerate(STAGES):
+        before, docs = docs, stage_result(lambda: step(spark, docs, sf_dir))
+        if k:
+            unstage(before)
     return docs

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from depotflow.session import stage
+from depotflow.session import stage, stage_result, unstage
 
-__all__ = ["SLICE_BYTES", "bound", "partitions", "reach_package", "stage", "text_key", "text_rows", "text_slices"]
+__all__ = ["SLICE_BYTES", "bound", "partitions", "reach_package", "stage", "stage_result", "text_key", "text_rows", "text_slices", "unstage"]
 
 # Texts are worked on in slices of about so many bytes, so that temporary arrays stay small; one text is never split.
 SLICE_BYTES = 2_000_000

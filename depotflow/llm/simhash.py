@@ -13,8 +13,9 @@ the small ball around its own, fetches what lies there and compares the whole fi
 sets of shingles. A near copy may differ in more bits than the balls cover, so an exact join of the sets on prefixes completes the
 classes: in an order that all sets share, two sets of that similarity have an element in common among the first few of both, so no pair
 is missed. Each key offers its central member to all others; then all members of a key that are not in one
-component yet are compared. Sizes, positions of the common key and parity bitmaps rule out pairs by bounds that hold for certain; what
-passes is checked exactly on the sets of shingles. Only rows that a bitmap filter of the wanted keys lets through are shuffled.
+component yet are compared. Sizes, positions of the common key and parity bitmaps rule out pairs by bounds that hold for certain; long
+sets have a second bitmap that grows with them, as a short one says nothing about them. What passes is checked exactly on the sets of
+shingles. Only rows that a bitmap filter of the wanted keys lets through are shuffled.
 
 Nulls: a null text is empty, its fingerprint is zero and it links like any other; a null id counts as a row of its own
 and never becomes a component's id unless nothing else is in it. Repeated rows come back as often as they came in.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
-from depotflow.llm.common import reach_package, stage, text_key, text_rows, text_slices
+from depotflow.llm.common import reach_package, stage, stage_result, text_key, text_rows, text_slices, unstage
 from depotflow.llm.components import components
 from depotflow.operators.bitmaps import might_hold, only, without
 
@@ -223,9 +224,11 @@ def segment_pairs(prints: DataFrame, similarity: float) -> DataFrame:
 SET_MIX = np.uint64(0xBF58476D1CE4E5B9)  # an odd multiplier
 # Bits of the parity bitmap of a set: the distance of two bitmaps never exceeds the number of elements the sets don't share.
 MAP_WORDS, MAP_SHIFT = 16, np.uint64(20)
-# How common a shingle is, is estimated from so many texts and kept for so many shingles. It decides the order of the search only,
+# A set of more elements than the bitmap has bits also has a wide one, with a bit for each element or more: the smallest power of two.
+# How common a shingle is, is estimated from so many texts, or from so large a part of many, as passages that a fixed number would not
+# meet often enough are shared by ever more texts of a larger table. Kept for so many shingles, it decides the order of the search only,
 # never its result.
-ORDER_TEXTS, ORDER_SHINGLES, ORDER_LEAST = 20_000, 500_000, 3
+ORDER_TEXTS, ORDER_PART, ORDER_SHINGLES, ORDER_LEAST = 20_000, 1 / 16, 500_000, 3
 # Pairs that a segment's table yields are checked on their sets up to so many differing bits of the whole fingerprint.
 PROBED_BITS = 12
 KEY_BITS = 48  # of a shingle's hash; shingles that share them are told apart by the exact check
@@ -250,14 +253,29 @@ def _set_hashes(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[ends - counts]
 
 
-def _parity_maps(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(counts) * MAP_WORDS, np.uint64)
-    bit = (hashes >> MAP_SHIFT) % np.uint64(64 * MAP_WORDS)
-    at = np.repeat(np.arange(len(counts)), counts) * MAP_WORDS + (bit >> np.uint64(6)).astype(np.int64)
-    np.bitwise_xor.at(out, at, np.uint64(1) << (bit & np.uint64(63)))
+def _parity_maps(hashes: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The bitmaps of the sets, of so many words each, one after the other; a set without words has none."""
+    width = np.repeat(words, counts)
+    first, hashes = np.repeat(np.cumsum(words) - words, counts)[width > 0], hashes[width > 0]
+    bit = (hashes >> MAP_SHIFT) % (64 * width[width > 0]).astype(np.uint64)
+    out = np.zeros(words.sum(), np.uint64)
+    np.bitwise_xor.at(out, first + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
     return out
 
 
+def wide_words(counts: np.ndarray) -> np.ndarray:
+    """Words of the wide bitmaps of sets of these sizes."""
+    return np.where(counts > 64 * MAP_WORDS, 1 << np.ceil(np.log2(np.maximum(counts, 1) / 64)).astype(int).clip(0), 0)
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """In how many bits wide bitmaps differ; one twice as long as the other is folded, null for other lengths."""
+    half = lambda m: (F.size(m) / 2).cast("int")
+    folded = lambda m: F.zip_with(F.slice(m, 1, half(m)), F.slice(m, half(m) + 1, half(m)), lambda x, y: x.bitwiseXOR(y))
+    like = lambda m, other: F.when(F.size(m) > F.size(other), folded(m)).otherwise(F.col(m))
+    return F.aggregate(F.zip_with(like(a, b), like(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 def prefix_sizes(counts: np.ndarray, similarity: float) -> np.ndarray:
     """How many first elements of a set, in an order all sets share, hold one of every set of this similarity."""
     return np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1, 0)
@@ -275,7 +293,8 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
             hashes, _ = _distinct(*shingle_hashes(found, words))
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["h"])
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(texts.count(), 1))) < ORDER_TEXTS
+    n = texts.count()
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(n, 1))) < max(ORDER_TEXTS, ORDER_PART * n)
     held = texts.filter(part).dropDuplicates(["doc_id"]).mapInArrow(run, "h long").groupBy("h").count()
     top = held.filter(F.col("count") >= ORDER_LEAST).orderBy(F.desc("count"), "h").limit(ORDER_SHINGLES).toArrow()
     hashes, often = top["h"].to_numpy().view(np.uint64), top["count"].to_numpy()
@@ -284,8 +303,8 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
 
 
 def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, node: hash of the set of shingles, n: its size, fingerprint, map: its parity bitmap, prefix: keys of the first elements)
-    of every row of (doc_id: hash of the text, text); elements are ordered by how common they are, rare ones first."""
+    """(doc_id, node: hash of the set of shingles, n: its size, fingerprint, map, wide: its parity bitmaps, prefix: keys of the first
+    elements) of every row of (doc_id: hash of the text, text); elements are ordered by how common they are, rare ones first."""
     known, often = _common_shingles(texts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,12 +321,13 @@ def set_rows(texts: DataFrame, words: int, similarity: float) -> DataFrame:
             taken = prefix_sizes(counts, similarity)
             place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
             keys = ordered[place < np.repeat(taken, counts)] & np.uint64((1 << KEY_BITS) - 1)
-            maps = _lists(_parity_maps(hashes, counts), np.full(len(counts), MAP_WORDS))
+            lengths = np.full(len(counts), MAP_WORDS), wide_words(counts)
+            maps = [_lists(_parity_maps(hashes, counts, n), n) for n in lengths]
             nodes = pa.array(_set_hashes(hashes, counts).view(np.int64))
-            columns = [ids, nodes, pa.array(counts), prints, maps, _lists(keys, taken)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fingerprint", "map", "prefix"])
+            columns = [ids, nodes, pa.array(counts), prints, *maps, _lists(keys, taken)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "fingerprint", "map", "wide", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id long, node long, n long, fingerprint long, map array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, node long, n long, fingerprint long, map array<long>, wide array<long>, prefix array<long>")
 
 
 def _first_rows(rows: DataFrame) -> DataFrame:
@@ -386,38 +406,62 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
     """(doc_id, label) of the different doc_id of (doc_id: hash of the text, text): texts that a chain of pairs of this similarity
     connects share a label."""
     rows = stage(set_rows(texts, words, similarity).withColumn("row", F.monotonically_increasing_id()))
-    classes = _first_rows(rows)
+    classes, named = stage(_first_rows(rows)), stage(rows.select("doc_id", "node").distinct())
+    unstage(rows)
     probes = classes.select("node", "n", F.posexplode("prefix").alias("pos", "key"))
-    shared = stage(probes.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
-    # staged, so that adaptive execution can split the joins where a group of near copies makes a key hot
-    members = stage(only(probes, F.col("key"), shared))
-    common = members.groupBy("node").agg((F.count(F.lit(1)) / F.max(F.floor(F.col("n") * (1 - similarity)) + 1)).alias("weight"))
-    members = stage(members.join(common, "node"))
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (src, dst, ...) that the parity bitmaps allow, with the number of bits they differ in."""
+    def weighted() -> DataFrame:
+        """(node, n, pos, key, weight) of the keys that several sets have."""
+        shared = stage(probes.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("key"))
+        # filtered whatever the optimizer takes for the size of exploded rows; staged, so that adaptive execution can split the joins
+        # where a group of near copies makes a key hot
+        passed = might_hold(probes, F.col("key"), shared, "_may").filter("_may").drop("_may")
+        members = stage(passed.join(shared, "key", "left_semi").select(*probes.columns))
+        common = members.groupBy("node").agg((F.count(F.lit(1)) / F.max(F.floor(F.col("n") * (1 - similarity)) + 1)).alias("weight"))
+        return members.join(common, "node")
+
+    members = stage_result(weighted)
+
+    def with_maps(pairs: DataFrame, column: str) -> DataFrame:
         asked = stage(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-        maps = only(classes, F.col("node"), asked).select("node", "map")
-        both = pairs.join(maps.toDF("src", "m_src"), "src").join(maps.toDF("dst", "m_dst"), "dst")
+        maps = only(classes, F.col("node"), asked).select("node", column)
+        return pairs.join(maps.toDF("src", "m_src"), "src").join(maps.toDF("dst", "m_dst"), "dst")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (src, dst, n_src, n_dst) that the parity bitmaps allow, with the number of bits the short ones differ in."""
         apart = sum((F.bit_count(F.get("m_src", k).bitwiseXOR(F.get("m_dst", k))) for k in range(MAP_WORDS)), F.lit(0))
         # similarity s leaves at most (1 - s) / (1 + s) of both sizes unshared
         bound = (1 - similarity) / (1 + similarity) * (F.col("n_src") + F.col("n_dst")) + 1e-6
-        return both.select("src", "dst", apart.alias("apart"), bound.alias("bound")).filter("apart <= bound").drop("bound")
+        allowed = stage(with_maps(pairs, "map").withColumn("apart", apart).filter(F.col("apart") <= bound).drop("m_src", "m_dst"))
+        long = F.least("n_src", "n_dst") > 64 * MAP_WORDS
+        wide = with_maps(allowed.filter(long), "wide").filter(F.coalesce(_bits_apart("m_src", "m_dst") <= bound, F.lit(True)))
+        return allowed.filter(~long).unionAll(wide.select(*allowed.columns)).select("src", "dst", "apart")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, some in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists(*_distinct(*shingle_hashes(some, words)))], ["node", "set"])
 
     def verified(close: DataFrame) -> DataFrame:
         """Those of the pairs (src, dst) whose sets have the similarity, from the texts themselves."""
         asked = stage(close.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
         firsts = stage(only(classes, F.col("node"), asked).select("node", "doc_id"))
         found = only(texts, F.col("doc_id"), firsts.select("doc_id").distinct()).join(firsts, "doc_id").select("node", "text")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, some in text_slices(batches):
-                yield pa.RecordBatch.from_arrays([ids, _lists(*_distinct(*shingle_hashes(some, words)))], ["node", "set"])
-
         listed = stage(found.dropDuplicates(["node"]).mapInArrow(sets, "node long, set array<long>"))
         sized = close.join(listed.toDF("src", "a"), "src").join(listed.toDF("dst", "b"), "dst")
         common = F.size(F.array_intersect("a", "b"))
-        return stage(sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst"))
+        return sized.filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("src", "dst")
+
+    def hub_pairs(number: int) -> DataFrame:
+        """Pairs (src, dst, n_src, n_dst) of members with the chosen ones of a round."""
+        if number == 0:
+            return segment_pairs(classes.select("node", "n", "fingerprint"), similarity)
+        hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
+        met = placed.join(hubs, "key").select(
+            F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
+            F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
+        )
+        stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
+        return _unjoined(stars, labels, ["n_src", "n_dst"]) if number == 1 else stars
 
     # Round 0 takes the pairs that multi-index hashing of the fingerprints finds, the others join on keys. There
     # the member of a key with the largest part of its first elements in common with others, as the original of a group of copies
@@ -425,43 +469,38 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> DataFram
     # verified first, and the others, together with the next pairs, only if they would still connect something. Then the members that
     # are still apart from it choose another one among themselves.
     linked, tried, waiting = 0, None, None
-    labels = rows.select("node", F.col("node").alias("label")).limit(0)
+    labels = named.select("node", F.col("node").alias("label")).limit(0)
     placed = members
     for number in range(1 + HUB_ROUNDS):
-        if number == 0:
-            stars = segment_pairs(classes.select("node", "n", "fingerprint"), similarity)
-        else:
-            placed = placed if number == 1 else stage(_apart(placed, labels))
-            hubs = placed.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "pos")).alias("hub"))
-            met = placed.join(hubs, "key").select(
-                F.col("hub.node").alias("src"), F.col("node").alias("dst"), F.col("hub.n").alias("n_src"), F.col("n").alias("n_dst"),
-                F.col("hub.pos").alias("p_src"), F.col("pos").alias("p_dst"),
-            )
-            stars = met.filter((F.col("src") != F.col("dst")) & _possible(similarity)).select("src", "dst", "n_src", "n_dst").distinct()
-            if number == 1:
-                stars = _unjoined(stars, labels, ["n_src", "n_dst"])
-        stars = stage(near(stage(stars)))
+        if number > 1:
+            placed = stage(_apart(placed, labels))
+        stars = stage_result(lambda: near(stage(hub_pairs(number))))
         asked = stars.groupBy("dst").agg(F.min(F.struct("apart", "src")).alias("m")).select("m.src", "dst")
-        found = verified(stage(asked if waiting is None else asked.unionAll(waiting)))
+        close = stage(asked if waiting is None else asked.unionAll(waiting))
+        found = stage_result(lambda: verified(close))
         new, before = found.count(), linked
         linked += new
         # earlier components are stars already
-        labels = stage(components(found.unionAll(labels.toDF("src", "dst"))))
+        labels = stage_result(lambda: components(found.unionAll(labels.toDF("src", "dst"))))
         waiting = stage(_unjoined(stars, labels))
         tried = stars.select("src", "dst") if tried is None else tried.unionAll(stars.select("src", "dst"))
         if number and new * NEW_PART <= before:
             break
-    # then every pair that a key holds and that isn't joined yet
-    placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
-    parted = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key")
-    placed = stage(only(placed, F.col("key"), stage(parted)))
-    both = tried.unionAll(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    rest = near(stage(close_members(placed, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti")
-    rest = stage(rest.unionAll(waiting))
+
+    def left_over() -> DataFrame:
+        """Every pair that a key holds and that isn't joined yet."""
+        placed = members.join(labels, "node", "left").select("key", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        parted = placed.groupBy("key").agg(F.min("label").alias("_a"), F.max("label").alias("_z")).filter("_a <> _z").select("key")
+        apart = stage(only(placed, F.col("key"), stage(parted)))
+        both = tried.unionAll(tried.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        rest = near(stage(close_members(apart, similarity))).select("src", "dst").join(both, ["src", "dst"], "left_anti")
+        return rest.unionAll(waiting)
+
+    rest = stage_result(left_over)
     if rest.limit(1).count():
-        labels = stage(components(verified(rest).unionAll(labels.toDF("src", "dst"))))
-    named = rows.select("doc_id", "node").distinct().join(labels, "node", "left")
-    return named.select("doc_id", F.coalesce("label", "node").alias("label"))
+        found = stage_result(lambda: verified(rest))
+        labels = stage_result(lambda: components(found.unionAll(labels.toDF("src", "dst"))))
+    return named.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
 
 
 def _labelled(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -469,7 +508,7 @@ def _labelled(docs: DataFrame, words: int, similarity: float, id_col: str, text_
     reach_package(docs.sparkSession)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("text_key"))
     texts = docs.select(text_key(F.col(text_col)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labels = stage(similar_classes(texts, words, similarity).toDF("text_key", "label"))
+    labels = stage_result(lambda: similar_classes(texts, words, similarity).toDF("text_key", "label"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     return keyed, keyed.groupBy("text_key").agg(first).join(labels, "text_key")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,11 @@ RUNTIME_SETTINGS = {
     # compressed columnar files understate what a broadcast of their rows would take
     "spark.sql.sources.fileCompressionFactor": "3.0",
 }
+# Spark's own switch: shuffle files go when their query ends, and not only when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+# Folders staged within each `stage_result` that is under way, the innermost last.
+_within: list[list[str]] = []
 
 
 def build_session(app: str = "depotflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,22 +65,57 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_SHUFFLES) if before is None else spark.conf.set(FREE_SHUFFLES, before)
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` once as Parquet in the shared folder and read it back.
+    """Write `df` once as Parquet in the shared folder and read it back; the shuffle files of the write go with its end.
 
     Later branches then see identical rows whatever happens to an executor, read only the columns they need, and
     the optimizer knows the real size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
+    if _within:
+        _within[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_result(make: Callable[[], DataFrame]) -> DataFrame:
+    """`stage(make())`, then delete what `make` staged on the way: no other frame may read that."""
+    _within.append([])
+    try:
+        result = make()
+    finally:
+        made = _within.pop()
+    staged = stage(result)
+    for path in made:
+        _delete(result.sparkSession, path)
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete what `stage` wrote for this frame; neither it nor a frame built on it can be read any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in staged.inputFiles()}:
+        _delete(staged.sparkSession, folder)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application staged; frames built on it can no longer be read."""
-    jvm = spark._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/stage-*")
-    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.globStatus(pattern):
+    _delete(spark, f"{shared_folder(spark)}/stage-*")
+
+
+def _delete(spark: SparkSession, pattern: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:  # null for a folder that is gone
         fs.delete(status.getPath(), True)

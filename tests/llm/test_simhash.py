@@ -260,3 +260,46 @@ def test_near_copies_come_through_the_segment_tables(frame, monkeypatch):
     # a value yields its smallest node, so two texts may also be held together by the third one of their group
     assert sum(got[i] == expected[i] for i in got) >= sum(covered) - 3
     assert all(expected[i] == expected[got[i]] for i in got)
+
+
+def test_wide_bitmaps_never_differ_more_than_the_sets(frame):
+    """Of sets of any sizes; for long ones that have little in common they differ more than similar sets could."""
+    rnd, rows, truth = random.Random(31), [], []
+    for k in range(60):
+        n, m = int(1030 * 8 ** rnd.random()), 0
+        m = int(n * (0.8 + 0.2 * rnd.random()))
+        a = {rnd.getrandbits(64) for _ in range(n)}
+        b = set(rnd.sample(sorted(a), int(m * (0.3 if k % 2 else 0.97))))
+        b |= {rnd.getrandbits(64) for _ in range(m - len(b))}
+        maps = []
+        for x in (a, b):
+            counts = np.array([len(x)])
+            maps.append(simhash._parity_maps(np.array(sorted(x), np.uint64), counts, simhash.wide_words(counts)).view(np.int64).tolist())
+        rows.append((k, *maps))
+        truth.append((len(a ^ b), (len(a) + len(b)) / 9))
+    assert {len(r[1]) == len(r[2]) for r in rows} >= {False, True}
+    found = frame("k int, a array<long>, b array<long>", rows).select("k", simhash._bits_apart("a", "b").alias("bits")).collect()
+    for r in found:
+        apart, bound = truth[r["k"]]
+        # a set of 1,024 elements or fewer has no wide bitmap
+        assert r["bits"] is None or r["bits"] <= apart and (r["k"] % 2 == 0 or r["bits"] > bound), r
+    assert sum(r["bits"] is not None for r in found) > 50
+
+
+def test_long_texts_with_common_passages_are_not_fetched(frame, monkeypatch):
+    """Their sets share many rare keys, but only the sets of the two near copies are made to be compared."""
+    rnd = random.Random(32)
+    texts = [" ".join(passage + prose(rnd, 2800)) for passage in [prose(rnd, 1800) for _ in range(3)] for _ in range(2)]
+    base = prose(rnd, 4000)
+    texts += [" ".join(base), " ".join([*base, "tail"])]
+    fetched, plain = [], simhash.stage
+
+    def spied(df):
+        out = plain(df)
+        if "set" in out.columns:
+            fetched.extend(r["node"] for r in out.select("node").collect())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", spied)
+    assert similar(frame, texts) == expected_groups(texts)
+    assert len(set(fetched)) <= 2
