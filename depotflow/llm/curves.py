@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of several orderings projects the vectors onto a few random directions, shifts the result and takes the position on
-a Hilbert curve as key. Spark range-partitions every ordering by key; a query is compared with the rows around its own
-position, and what the orderings find is merged and reranked by the exact distance. The window grows with the row count to the power 0.65 (a
+a Hilbert curve as key. Spark range-partitions every ordering by key, without the vectors; a query is compared with the rows around its own
+position in any ordering, and the nearest are ranked by the exact distance. For that the vectors travel once, with their positions in all
+orderings, and once more for every `QUERIES` queries. The window grows with the row count to the power 0.65 (a
 fixed window would lose recall on larger tables, a fixed share would cost the square), or further: the nearest of at most
 `MEASURED` rows are found by brute force in blocks, and the window is the one that holds enough of them.
 
@@ -17,7 +18,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -30,6 +32,10 @@ SAMPLE = 10_000
 # The windows are widened until so large a share of the k nearest of some rows, found by brute force, lies inside them.
 RECALL, MEASURED = 0.95, 200
 MAP_ROWS = 500  # rows that are turned into keys at a time
+# About so many rows are compared with so many queries in one group, a few queries at a time.
+ROWS, QUERIES, AT_ONCE = 16_384, 8_192, 64
+# What the expanded square of a distance may be off by, as a part of the squares in it; far more than doubles make it.
+SLACK = 1e-9
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,30 +70,36 @@ def _usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0)
 
 
-def _window_for(classes: DataFrame, placed: DataFrame, k: int) -> int:
+def _matrix(lists: pa.Array | pa.ChunkedArray, kind: type) -> np.ndarray:
+    """Lists of one length, none of them null, as the rows of a matrix."""
+    flat = (lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(kind).reshape(len(lists), -1)
+
+
+def _window_for(indexed: DataFrame, k: int) -> int:
     """The half window that holds RECALL of the k nearest classes of at most MEASURED classes, in the ordering that is best for each."""
-    some = classes.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(1))).limit(MEASURED).toPandas()  # at most MEASURED rows
+    some = indexed.select("rep", "v").orderBy(F.xxhash64("rep", F.lit(1))).limit(MEASURED).toArrow()  # at most MEASURED rows
     if len(some) < 2:
         return 0
-    asked, x = some["rep"].to_numpy(), np.stack(some["v"].to_list()).astype(float)
+    asked, x = some["rep"].to_numpy(), _matrix(some["v"], float)
 
-    def brute(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            y, reps = np.stack(frame["v"].to_list()).astype(float), frame["rep"].to_numpy()
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, y = batch.column(0).to_numpy(), _matrix(batch.column(1), float)
             d = np.square(x).sum(1)[:, None] - 2 * x @ y.T + np.square(y).sum(1)
             d[asked[:, None] == reps] = np.inf
-            for a, row in zip(asked, d):
-                best = np.argsort(row, kind="stable")[:k]
-                best = best[np.isfinite(row[best])]
-                yield pd.DataFrame({"asker": a, "rep": reps[best], "d": row[best]})
+            least = np.partition(d, min(k, len(reps)) - 1, axis=1)[:, min(k, len(reps)) - 1] if len(reps) else np.zeros(len(d))
+            at, best = np.nonzero((d <= least[:, None]) & np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(asked[at]), pa.array(reps[best]), pa.array(d[at, best])], ["asker", "rep", "d"])
 
-    near = classes.select("rep", "v").mapInPandas(brute, "asker long, rep long, d double")
+    near = indexed.select("rep", "v").mapInArrow(brute, "asker long, rep long, d double")
     order = F.row_number().over(Window.partitionBy("asker").orderBy("d", "rep"))
     near = stage(near.withColumn("at", order).filter(F.col("at") <= k).select("asker", "rep"))
-    places = placed.select("t", "rep", "r")
-    pairs = near.join(places, "rep").join(places.toDF("t", "asker", "r_asker"), ["t", "asker"])
-    gaps = pairs.groupBy("asker", "rep").agg(F.min(F.abs(F.col("r") - F.col("r_asker"))).alias("gap")).toPandas()["gap"]  # at most k * MEASURED
-    return int(np.ceil(np.quantile(gaps.to_numpy(), RECALL))) if len(gaps) else 0
+    places = indexed.select("rep", "places")
+    pairs = near.join(places, "rep").join(places.toDF("asker", "own"), "asker")
+    gaps = F.array_min(F.zip_with("places", "own", lambda a, b: F.abs(a - b)))
+    found = pairs.select(gaps.alias("gap")).toArrow()["gap"].to_numpy()  # at most k * MEASURED
+    return int(np.ceil(np.quantile(found, RECALL))) if len(found) else 0
 
 
 def nearest(
@@ -119,39 +131,63 @@ def nearest(
     centre = fitted.mean(0)
     scale = np.einsum("nd,tdp->tnp", fitted - centre, axes).std(axis=1) + 1e-12
 
-    def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for s in range(0, len(frame), MAP_ROWS):
-                part = frame.iloc[s : s + MAP_ROWS]
-                x = np.stack(part["v"].to_list()).astype(float) - centre
-                for t in range(orderings):
-                    unit = ((x @ axes[t]) / scale[t] + shifts[t]) / 7 + 0.5  # three and a half deviations each way
-                    cells = np.clip(unit * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
-                    yield pd.DataFrame({"t": t, "key": hilbert_keys(cells, bits), "rep": part["rep"], "q": part["q"], "v": part["v"]})
-
-    keyed = classes.select("rep", "v", "q").mapInPandas(keys, "t int, key long, rep long, q boolean, v array<float>")
-    placed = with_position(keyed, ["t", "key", "rep"]).withColumn("r", F.col("position") % max(n, 1))
-    half = max(LEAST, round(window * n**POWER / 2), _window_for(classes, placed, k))
-    block = 2 * half
-    placed = placed.withColumn("block", F.floor(F.col("r") / block))
-    spread = F.sequence(F.floor(F.greatest(F.col("r") - half, F.lit(0)) / block), F.floor((F.col("r") + half) / block))
-    asking = placed.filter("q").withColumn("block", F.explode(spread)).select("t", "block", "r", "rep", "v", F.lit(True).alias("asks"))
-    around = placed.select("t", "block", "r", "rep", "v", F.lit(False).alias("asks"))
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        ask, have = frame[frame["asks"]], frame[~frame["asks"]].sort_values("rep")
-        out = []
+    flat = axes.transpose(1, 0, 2).reshape(dims, -1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in range(0, len(batch), MAP_ROWS):
+                part = batch.slice(s, MAP_ROWS)
+                x = (_matrix(part.column(1), float) - centre) @ flat
+                unit = (x.reshape(-1, orderings, directions) / scale + shifts) / 7 + 0.5  # three and a half deviations each way
+                cells = np.clip(unit * (1 << bits), 0, (1 << bits) - 1).astype(np.int64)
+                found = hilbert_keys(cells.reshape(-1, directions), bits)
+                ends = np.arange(0, len(found) + 1, orderings, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, found)], ["rep", "keys"])
+
+    keyed = stage(classes.select("rep", "v").mapInArrow(keys, "rep long, keys array<long>"))
+    placed = with_position(keyed.select("rep", F.posexplode("keys").alias("t", "key")), ["t", "key", "rep"])
+    r = F.col("position") % max(n, 1)
+    places = F.array(*[F.max(F.when(F.col("t") == t, r)) for t in range(orderings)])
+    # dealt by rep before, as rows of one rep rarely meet in a task and summing up there only widens them
+    spots = placed.select("rep", "t", "position").repartition("rep").groupBy("rep").agg(places.alias("places"))
+    indexed = stage(classes.select("rep", "v", "q").join(spots, "rep"))
+    half = max(LEAST, round(window * n**POWER / 2), _window_for(indexed, k))
+    blocks, parts = -(-n // ROWS) or 1, -(-indexed.filter("q").count() // QUERIES) or 1
+    block, part = F.pmod(F.xxhash64("rep"), F.lit(blocks)), F.pmod(F.xxhash64("rep"), F.lit(parts))
+    each = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long")))
+    around = indexed.select(block.alias("block"), each(parts).alias("part"), "rep", "v", "places", F.lit(False).alias("asks"))
+    asking = indexed.filter("q").select(each(blocks).alias("block"), part.alias("part"), "rep", "v", "places", F.lit(True).alias("asks"))
+
+    def compare(group: pa.Table) -> pa.Table:
+        ask, have = group.filter(group["asks"]), group.filter(pc.invert(group["asks"])).sort_by("rep")
+        askers, reps, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         if len(ask) and len(have):
-            x, at, reps = np.stack(have["v"].to_list()).astype(float), have["r"].to_numpy(), have["rep"].to_numpy()
-            for r, rep, v in zip(ask["r"], ask["rep"], ask["v"]):
-                near = np.flatnonzero(np.abs(at - r) <= half)
-                d = np.sqrt(np.square(x[near] - np.asarray(v, float)).sum(axis=1))
-                best = np.argsort(d, kind="stable")[: k + 1]  # one of them may be the query's own class
-                out.append(pd.DataFrame({"asker": rep, "rep": reps[near[best]], "score": d[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"asker": [], "rep": [], "score": []})
-
-    # a group holds one block of 2 * half rows and the queries whose window reaches it
-    found = asking.unionByName(around).groupBy("t", "block").applyInPandas(compare, "asker long, rep long, score double").distinct()
+            x, rep, at = _matrix(have["v"], float), have["rep"].to_numpy(), _matrix(have["places"], np.int64).T
+            v, asker, own = _matrix(ask["v"], float), ask["rep"].to_numpy(), _matrix(ask["places"], np.int64).T
+            ways = np.argsort(at, axis=1)
+            sorted_at = np.take_along_axis(at, ways, 1)
+            first = [np.searchsorted(a, o - half) for a, o in zip(sorted_at, own)]
+            last = [np.searchsorted(a, o + half, "right") for a, o in zip(sorted_at, own)]
+            squares = np.square(x).sum(1)
+            for s in range(0, len(ask), AT_ONCE):
+                rough = squares - 2 * v[s : s + AT_ONCE] @ x.T  # the squared distance less a constant of each query
+                for i in range(s, min(s + AT_ONCE, len(ask))):
+                    inside = np.zeros(len(x), bool)
+                    for way, a, b in zip(ways, first, last):
+                        inside[way[a[i] : b[i]]] = True
+                    near = np.flatnonzero(inside)
+                    if len(near) > k + 1:  # one of them may be the query's own class
+                        close = rough[i - s, near]
+                        near = near[close <= np.partition(close, k)[k] + SLACK * (squares.max() + np.square(v[i]).sum())]
+                    d = np.sqrt(np.square(x[near] - v[i]).sum(axis=1))
+                    best = np.argsort(d, kind="stable")[: k + 1]
+                    askers.append(np.full(len(best), asker[i]))
+                    reps.append(rep[near[best]])
+                    scores.append(d[best])
+        return pa.table({"asker": np.concatenate(askers), "rep": np.concatenate(reps), "score": np.concatenate(scores)})
+
+    # a group holds a block of the rows and a part of the queries
+    found = asking.unionByName(around).groupBy("block", "part").applyInArrow(compare, "asker long, rep long, score double")
     ids = classes.select("rep", F.col("ids"))
     best = F.row_number().over(Window.partitionBy("asker").orderBy("score", "rep"))
     top = found.withColumn("at", best).filter(F.col("at") <= k + 1).drop("at").join(ids, "rep")
