@@ -116,12 +116,14 @@ def nearest(
     rows = rows.filter(_usable(F.col("v")))
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dims = lengths["d"] if lengths else 1
-    rows = rows.filter(F.size("v") == dims)
+    # the hash goes before the vector in every key, as sorting by vectors is slow
+    rows = rows.filter(F.size("v") == dims).withColumn("h", F.xxhash64("v"))
     # one row for each different vector, with its k + 1 smallest ids (one of them may be the query's own)
-    order = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    first = rows.withColumn("at", order).filter(F.col("at") <= k + 1).groupBy("v").agg(F.collect_list("vec_id").alias("ids"))
-    asked = rows.groupBy("v").agg(F.max("q").alias("q"))
-    classes = stage(first.join(asked, "v").select(F.array_min("ids").alias("rep"), "v", "ids", "q"))
+    order = F.row_number().over(Window.partitionBy("h", "v").orderBy("vec_id"))
+    first = rows.withColumn("at", order).filter(F.col("at") <= k + 1).groupBy("h", "v").agg(F.collect_list("vec_id").alias("ids"))
+    asked = rows.filter("q").select("h", "v", "q").distinct()
+    joined = first.join(asked, ["h", "v"], "left")
+    classes = stage(joined.select(F.array_min("ids").alias("rep"), "h", "v", "ids", F.coalesce("q", F.lit(False)).alias("q")))
     n = classes.count()
     rng = np.random.default_rng(SEED)
     axes = rng.normal(size=(orderings, dims, directions))
@@ -191,7 +193,7 @@ def nearest(
     ids = classes.select("rep", F.col("ids"))
     best = F.row_number().over(Window.partitionBy("asker").orderBy("score", "rep"))
     top = found.withColumn("at", best).filter(F.col("at") <= k + 1).drop("at").join(ids, "rep")
-    queries = rows.filter("q").select("vec_id", "v").join(classes.filter("q").select(F.col("rep").alias("asker"), "v"), "v")
+    queries = rows.filter("q").select("vec_id", "h", "v").join(classes.filter("q").select(F.col("rep").alias("asker"), "h", "v"), ["h", "v"])
     pairs = queries.select(F.col("vec_id").alias("query_id"), "asker").join(top, "asker")
     pairs = pairs.select("query_id", "score", F.explode("ids").alias("vec_id")).filter("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -5,7 +5,9 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+from depotflow.llm import curves
 from depotflow.llm.curves import hilbert_keys, nearest
+from depotflow.operators import positions
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
 
@@ -67,3 +69,26 @@ def test_windows_widen_to_the_recall_that_is_measured(frame):
     rows = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
     truth, got = exact(rows, 40), run(frame, rows, 40, window=0.1)
     assert sum(len({i for _, i in truth[q]} & {i for _, i in got[q]}) for q in truth) >= 0.9 * 10 * len(truth)
+
+
+def test_vectors_are_staged_once_and_not_for_every_ordering(frame, monkeypatch):
+    rng, staged = np.random.default_rng(6), []
+    for module in (curves, positions):
+        monkeypatch.setattr(module, "stage", lambda df, plain=module.stage: staged.append(plain(df)) or staged[-1])
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(300, 8)).astype(np.float32).tolist())]
+    assert run(frame, rows) == exact(rows, 10)
+    assert {f.count() for f in staged if "v" in f.columns} == {300}
+
+
+def test_blocks_and_parts_give_what_one_group_gives(frame, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, v) for i, v in enumerate(rng.integers(-2, 3, (400, 4)).astype(float).tolist()) if any(v)]
+    whole = run(frame, rows, 7)
+    for name, value in (("ROWS", 60), ("QUERIES", 9), ("AT_ONCE", 4)):
+        monkeypatch.setattr(curves, name, value)
+    assert run(frame, rows, 7) == whole
+
+
+def test_zeros_of_either_sign_make_equal_vectors(frame):
+    rows = [(k, [0.0 if k % 2 else -0.0, 1.0 + k // 20]) for k in range(60)]
+    assert run(frame, rows) == exact(rows, 10)
